@@ -1,4 +1,4 @@
 """One check per operator: a Spark query and, where SQL can say it, its twin."""
-from . import windows
+from . import normalize, windows
 
-ALL_CHECKS = [windows]
+ALL_CHECKS = [normalize, windows]
