@@ -182,7 +182,7 @@ r(code, event_type, severity, rule_id) AS (VALUES (4624, 'windows_logon_success'
  (4648, 'windows_explicit_credentials', 'medium', 'WIN-AUTH-4648'), (4672, 'windows_special_privileges', 'high', 'WIN-AUTH-4672'), (4720, 'windows_user_created', 'high', 'WIN-ACCOUNT-4720'),
  (4726, 'windows_user_deleted', 'medium', 'WIN-ACCOUNT-4726'), (4728, 'windows_group_member_added', 'high', 'WIN-ACCOUNT-GROUP-ADD'), (1102, 'windows_audit_log_cleared', 'critical', 'WIN-AUDIT-1102'),
  (7045, 'windows_service_installed', 'high', 'WIN-SYSTEM-7045'), (4104, 'powershell_script_block', 'medium', 'WIN-PS-4104'), (4688, 'windows_process_high_risk', 'high', 'WIN-PROC-4688'))
-SELECT event_id, code::BIGINT AS event_code, host AS computer, event_type, CASE WHEN code = 4104 AND k % 2 = 0 THEN 'high' ELSE severity END AS severity, rule_id
+SELECT event_id, code::BIGINT AS event_code, host AS computer, r.event_type, CASE WHEN code = 4104 AND k % 2 = 0 THEN 'high' ELSE severity END AS severity, rule_id
 FROM c JOIN r USING (code) WHERE code <> 4688 OR k % 2 = 0"""
 
 

@@ -58,3 +58,12 @@ def first_match(*pairs, default=None) -> Column:
 def matched_names(*pairs) -> Column:
     """Names of all true tests, in rule order."""
     return F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in pairs]))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Repeating a long expression in the tree makes plans explode; a lambda
+    variable keeps it a leaf.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .common import let
+
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 IPV4_FIND_RE = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-# Texts that stand for "no address".
-PLACEHOLDERS = ("", "-", "null", "none", "unknown")
 # RFC 1918 ranges, loopback and link-local count as internal.
 PRIVATE_CIDRS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")
 
@@ -24,31 +24,35 @@ def ipv4_to_long(c: Column) -> Column:
 
 
 def _canonical_ipv6(text: Column) -> Column:
-    halves = F.split(F.lower(text), "::")
-    side = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
-    head, tail = side(halves[0]), side(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    missing = F.lit(8) - F.size(head) - F.size(tail)
-    full = F.when(F.size(halves) == 1, head).when(
-        (F.size(halves) == 2) & (missing >= 1), F.concat(head, F.array_repeat(F.lit("0"), missing), tail)
-    )
-    ok = (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    joined = F.concat(F.lit(":"), F.array_join(F.transform(full, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"), F.lit(":"))
-    out = joined
-    # The leftmost longest run of two or more zero groups becomes "::".
-    for run in range(2, 9):
-        zeros = ":" + "0:" * run
-        at = F.instr(joined, zeros)
-        out = F.when(at > 0, F.concat(F.substring(joined, F.lit(1), at - 1), F.lit("::"),
-                                      F.substring(joined, at + len(zeros), F.lit(100)))).otherwise(out)
-    out = F.regexp_replace(F.regexp_replace(out, "^:(?!:)", ""), "(?<!:):$", "")
-    return F.when(F.coalesce(ok, F.lit(False)), out)
+    split_side = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
+
+    def groups(halves):
+        head, tail = split_side(halves[0]), split_side(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+        missing = F.lit(8) - F.size(head) - F.size(tail)
+        return F.when(F.size(halves) == 1, head).when(
+            (F.size(halves) == 2) & (missing >= 1), F.concat(head, F.array_repeat(F.lit("0"), missing), tail))
+
+    def squeeze(joined):
+        # The leftmost longest run of two or more zero groups becomes "::".
+        def cut(run):
+            zeros = ":" + "0:" * run
+            return F.concat(F.substring_index(joined, zeros, 1), F.lit("::"), F.substring(joined, F.instr(joined, zeros) + len(zeros), F.lit(100)))
+
+        out = F.coalesce(*[F.when(F.instr(joined, ":" + "0:" * run) > 0, cut(run)) for run in range(8, 1, -1)], joined)
+        return F.regexp_replace(F.regexp_replace(out, "^:(?!:)", ""), "(?<!:):$", "")
+
+    def join(full):
+        ok = (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        text = F.array_join(F.transform(full, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+        return F.when(ok, let(F.concat(F.lit(":"), text, F.lit(":")), squeeze))
+
+    return let(F.split(F.lower(text), "::"), lambda h: let(groups(h), join))
 
 
 def normalize_ip(c: Column) -> Column:
     """Canonical address or NULL: outer quotes and blanks go, an IPv4 port goes."""
     text = F.regexp_replace(c, "^[\\s\"']+|[\\s\"']+$", "")
-    text = F.when(text.contains(".") & text.rlike(":[0-9]+$"), F.regexp_replace(text, ":[0-9]+$", "")).otherwise(text)
-    text = F.when(F.lower(text).isin(*PLACEHOLDERS), F.lit(None)).otherwise(text)
+    text = F.regexp_replace(text, r"(?<=\.\d{1,3}):[0-9]+$", "")
     return F.when(is_ipv4(text), text).when(text.contains(":"), _canonical_ipv6(text))
 
 
