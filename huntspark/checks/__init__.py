@@ -1,4 +1,4 @@
 """One check per operator: a Spark query and, where SQL can say it, its twin."""
-from . import normalize, windows
+from . import normalize, predicates, rules, windows
 
-ALL_CHECKS = [normalize, windows]
+ALL_CHECKS = [normalize, predicates, rules, windows]

@@ -66,4 +66,4 @@ def let(value: Column, body) -> Column:
     Repeating a long expression in the tree makes plans explode; a lambda
     variable keeps it a leaf.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
