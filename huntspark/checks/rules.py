@@ -9,7 +9,7 @@ from .predicates import FP, ITEMS, items
 
 TEXT_PACK = {"web_listeners": ["nginx"], "empty_listener_is_web": False, "shell_names": ["sh"], "shell_paths": [], "structural": {"id": "web_shell", "severity": "P0"},
              "p0_regex": [("names_the", "command", r"\bthe the\b")], "p1_regex": [("numbers", "command", r"[0-9]{4}")], "p1_keywords": [("accents", "command", "é"), ("numbers", "command", "http")],
-             "p1_keyword_regex": [("qu_word", "command", r"\bqu[a-z]")], "fallback": {"plain": ["and"], "severity": "P2", "elevations": [{"id": "and_of", "severity": "P1", "pattern": r"and .*of"}]},
+             "p1_keyword_regex": [("qu_word", "command", r"(^| )qu[a-z]")], "fallback": {"plain": ["and"], "severity": "P2", "elevations": [{"id": "and_of", "severity": "P1", "pattern": r"and .*of"}]},
              "noise": [("noise", "command", "s")], "boost": {"web_ports": [80], "cwd": ["/tmp"], "text": ["ing "]}, "tags": {"numbers": ["num", "odd"], "accents": ["lang", "odd"], "web_shell": ["web"]}}
 
 
@@ -22,7 +22,7 @@ def r01(spark, d):
 
 
 R01_SQL = r"""WITH t AS (SELECT doc_id, text, lower(text) AS l, doc_id % 6 = 0 AS web, doc_id % 12 = 0 AS st FROM documents),
-m AS (SELECT *, regexp_matches(text, '\bthe the\b') AS p0, regexp_matches(text, '[0-9]{4}') AS a, contains(l, 'é') AS b, contains(l, 'http') AS c, regexp_matches(l, '\bqu[a-z]') AS q,
+m AS (SELECT *, regexp_matches(text, '\bthe the\b') AS p0, regexp_matches(text, '[0-9]{4}') AS a, contains(l, 'é') AS b, contains(l, 'http') AS c, regexp_matches(l, '(^| )qu[a-z]') AS q,
   regexp_matches(l, '\band\b') AS pl, regexp_matches(text, 'and .*of') AS el, contains(l, 's') AS nz FROM t),
 n AS (SELECT *, NOT (st OR p0 OR a OR b OR c OR q) AS nothing FROM m),
 k AS (SELECT *, CASE WHEN st OR p0 THEN 0 WHEN NOT nothing THEN 1 WHEN pl AND el THEN 1 WHEN pl THEN 2 ELSE 3 END AS r0,
