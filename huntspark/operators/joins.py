@@ -162,7 +162,7 @@ def matrix_join(left: DataFrame, right: DataFrame, spec: JoinSpec, anchor_us: in
     soft = [i for i, k in enumerate(keys) if i not in must]
     hits = sum((F.coalesce(_test(keys[i], i), F.lit(False)).cast("int") for i in soft), F.lit(0))
     matched = F.map_from_entries(F.array_compact(F.array(*[
-        F.when(F.lit(i in must) | F.coalesce(_test(k, i), F.lit(False)), F.struct(F.lit(k.left), F.col(f"__l{i}"))) for i, k in enumerate(keys)])))
+        F.when(F.lit(i in must) | F.coalesce(_test(k, i), F.lit(False)), F.struct(F.lit(k.left).alias("k"), F.col(f"__l{i}").alias("v"))) for i, k in enumerate(keys)])))
     return edges.select(F.lit(spec.join_id).alias("join_id"), "left_ref", "right_ref", "left_us", "right_us", matched.alias("match_keys"),
                         F.round(F.least(F.lit(spec.top), F.lit(spec.base) + F.lit(spec.step) * hits), 2).alias("confidence"))
 
