@@ -1,4 +1,4 @@
 """One check per operator: a Spark query and, where SQL can say it, its twin."""
-from . import joins, normalize, predicates, rules, windows
+from . import joins, normalize, predicates, rollups, rules, windows
 
-ALL_CHECKS = [normalize, predicates, rules, joins, windows]
+ALL_CHECKS = [normalize, predicates, rules, joins, rollups, windows]
