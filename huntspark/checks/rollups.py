@@ -334,7 +334,7 @@ def a23(spark, d):
     return A.chain_confidence(li, ["l_orderkey"], 0.82).select("l_orderkey", "confidence")
 
 
-A23_SQL = "SELECT l_orderkey, round(least(0.82, sum(CASE WHEN l_linenumber % 3 = 0 THEN 0.7 ELSE CAST(l_discount + 0.8 AS DECIMAL(10, 6)) END) / count(*)), 2)::DOUBLE AS confidence FROM lineitem GROUP BY 1"
+A23_SQL = "SELECT l_orderkey, round(CAST(least(0.82, sum(CASE WHEN l_linenumber % 3 = 0 THEN 0.7 ELSE CAST(l_discount + 0.8 AS DECIMAL(10, 6)) END) / count(*)) AS DECIMAL(18, 8)), 2)::DOUBLE AS confidence FROM lineitem GROUP BY 1"
 
 
 def a24(spark, d):

@@ -122,7 +122,7 @@ W05_SQL = f"""WITH {EV}, r AS (SELECT event_id, us, user_id, event_type, row_num
   WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us, event_id)),
 a AS (SELECT user_id, event_type, min(rn) AS arn, min(us) AS aus FROM r WHERE us - b <= {72 * HOUR}::BIGINT GROUP BY ALL)
 SELECT r.event_id, r.us, r.user_id, r.event_type, aus AS admitted_us,
-  CASE WHEN rn > arn THEN 'suppress' ELSE 'emit' END AS decision
+  CASE WHEN rn >= arn THEN 'suppress' ELSE 'emit' END AS decision
 FROM r LEFT JOIN a ON r.user_id = a.user_id AND r.event_type = a.event_type"""
 
 T0 = 1_704_067_200_000_000  # 2024-01-01

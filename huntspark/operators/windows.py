@@ -75,8 +75,8 @@ def rolling_admission(df: DataFrame, keys: list[str], us: str, id_col: str, occu
     """Adds ``admitted_us`` (NULL if never) and ``decision`` per row.
 
     A key is admitted for good at the first row that is the ``occurrences``-th
-    within the rolling window (bounds included). Rows up to and including that
-    one are ``emit``, later ones ``suppress``.
+    within the rolling window (bounds included). That row and all later ones are
+    ``suppress``, the rows before it ``emit``.
     """
     width = window_sec * 1_000_000 * 16
     rn = numbered(df, keys, us, [F.col(us), F.col(id_col)], "__rn", width)
@@ -88,7 +88,7 @@ def rolling_admission(df: DataFrame, keys: list[str], us: str, id_col: str, occu
                 .where(F.col("__us") - F.col("__first") <= window_sec * 1_000_000))
     adm = hits.groupBy(*keys).agg(F.min(F.struct("__rn", "__us")).alias("__a"))
     return (rn.join(adm, keys, "left").withColumn("admitted_us", F.col("__a.__us"))
-            .withColumn("decision", F.when(F.col("__rn") > F.col("__a.__rn"), "suppress").otherwise("emit"))
+            .withColumn("decision", F.when(F.col("__rn") >= F.col("__a.__rn"), "suppress").otherwise("emit"))
             .drop("__rn", "__a"))
 
 
