@@ -1,4 +1,4 @@
 """One check per operator: a Spark query and, where SQL can say it, its twin."""
-from . import joins, normalize, predicates, rollups, rules, sources, windows
+from . import joins, normalize, predicates, questions, rollups, rules, sources, windows
 
-ALL_CHECKS = [sources, normalize, predicates, rules, joins, rollups, windows]
+ALL_CHECKS = [questions, sources, normalize, predicates, rules, joins, rollups, windows]

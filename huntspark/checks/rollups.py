@@ -44,13 +44,13 @@ L01_SQL = f"WITH {RISKS}, z AS ({A01_SELECT}) SELECT incident_id, severity, aler
 
 
 def a02(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.concat(F.lit("P"), (F.col("l_quantity").cast("int") % 4).cast("string")).alias("severity"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.concat(F.lit("P"), (F.col("l_quantity").cast("int") % 4).cast("string")).alias("severity"), (F.col("l_partkey") * 1_000_000_000 + F.col("l_suppkey") * 100_000 + F.round(F.col("l_extendedprice") % 997 * 100).cast("bigint")).alias("seq"),
                                             F.array(F.concat(F.lit("r"), (F.col("l_suppkey") % 6).cast("string")), F.col("l_linestatus")).alias("matched_rules"))
     m = A.merge_items(li, ["l_orderkey", "l_returnflag"], "seq")
     return m.select("l_orderkey", "l_returnflag", "severity", "seq", "merged", F.array_join("matched_rules", ",").alias("rules"))
 
 
-A02_SQL = """WITH i AS (SELECT l_orderkey AS ok, l_returnflag AS rf, CAST(l_quantity AS INT) % 4 AS rank, l_partkey * 10 + l_linenumber AS seq, ['r' || (l_suppkey % 6), l_linestatus] AS rules FROM lineitem),
+A02_SQL = """WITH i AS (SELECT l_orderkey AS ok, l_returnflag AS rf, CAST(l_quantity AS INT) % 4 AS rank, l_partkey * 1000000000 + l_suppkey * 100000 + round(l_extendedprice % 997 * 100)::BIGINT AS seq, ['r' || (l_suppkey % 6), l_linestatus] AS rules FROM lineitem),
 p AS (SELECT *, min(rank) OVER (PARTITION BY ok, rf ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM i),
 o AS (SELECT ok, rf, CASE WHEN best IS NULL OR rank < best THEN 0 ELSE 1 END AS c, CASE WHEN best IS NULL OR rank < best THEN rank ELSE seq END AS pos, unnest(rules) AS rule, generate_subscripts(rules, 1) AS ix FROM p),
 r AS (SELECT ok, rf, rule, min((c, pos, ix)) AS k FROM o GROUP BY 1, 2, 3), q AS (SELECT ok, rf, string_agg(rule, ',' ORDER BY k) AS rules FROM r GROUP BY 1, 2)

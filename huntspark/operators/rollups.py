@@ -103,7 +103,7 @@ def merge_items(items: DataFrame, keys: list[str], seq: str) -> DataFrame:
             test = test & w
         lead = lead | test
     rules = (d.join(firsts.select(*keys, *[f"__m{r}" for r in range(5)]), keys)
-             .select(*keys, F.when(lead, F.struct(F.lit(0).alias("c"), F.col("__rank").cast("bigint").alias("p"))).otherwise(F.struct(F.lit(1).alias("c"), F.col(seq).cast("bigint").alias("p"))).alias("o"), F.posexplode("matched_rules").alias("i", "rule"))
+             .select(*keys, F.struct(F.when(lead, 0).otherwise(1).alias("c"), F.when(lead, F.col("__rank")).alias("r"), F.when(~lead, F.col(seq)).alias("s")).alias("o"), F.posexplode("matched_rules").alias("i", "rule"))
              .groupBy(*keys, "rule").agg(F.min(F.struct("o", "i")).alias("o"))
              .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "rule"))), lambda s: s["rule"]).alias("__rules")))
     out = firsts.select(*keys, "__best.*", "merged").join(rules, keys, "left")
