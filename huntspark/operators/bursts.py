@@ -25,6 +25,8 @@ from .blocks import carried, numbered, running_total
 
 BLOCK_WINDOWS = 16
 FAN_IN = 64
+SMALL_KEY = 20_000
+BUCKET_ROWS = 100_000
 
 
 def window_reach(rows: DataFrame, keys: list[str], window_us: int) -> DataFrame:
@@ -54,7 +56,41 @@ def _squeeze(upto, exits):
 
 
 def greedy_starts(cand: DataFrame, keys: list[str], window_us: int) -> DataFrame:
-    """Wave starts among candidates (keys, us, rn, reach), as the same columns."""
+    """Wave starts among candidates (keys, us, rn, reach), as the same columns.
+
+    Keys with few candidates are walked directly, a group is then at most
+    ``SMALL_KEY`` rows; only larger ones go through the block scan.
+    """
+    per_key = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    large = per_key.where(F.col("__n") > SMALL_KEY).select(*keys)
+    total = cand.count()
+    if large.isEmpty():
+        return _walk_keys(cand, keys, total)
+    small = _walk_keys(cand.join(large, keys, "left_anti"), keys, total)
+    return small.unionByName(_scan_blocks(cand.join(large, keys, "left_semi"), keys, window_us))
+
+
+def _walk_keys(cand: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Walk whole keys, many per group: buckets of about ``BUCKET_ROWS`` rows, sorted by key and position."""
+    buckets, columns = max(1, -(-total // BUCKET_ROWS)), cand.columns
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "rn"])
+        key, free, picked = None, 1, []
+        for i, (k, rn, reach) in enumerate(zip(zip(*[pdf[k] for k in keys]), pdf["rn"].tolist(), pdf["reach"].tolist())):
+            if k != key:
+                key, free = k, 1
+            if rn >= free:
+                picked.append(i)
+                free = reach + 1
+        return pdf.iloc[picked][columns]
+
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    return cand.groupBy(bucket).applyInPandas(walk, cand.schema)
+
+
+def _scan_blocks(cand: DataFrame, keys: list[str], window_us: int) -> DataFrame:
+    """The chain of a large key, solved block by block."""
     width = max(window_us, 1) * BLOCK_WINDOWS
     kt = ", ".join(f"{k} {cand.schema[k].dataType.simpleString()}" for k in keys)
     blocks = cand.withColumn("blk", F.floor(F.col("us") / width).cast("bigint"))

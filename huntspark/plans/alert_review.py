@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import gateway as G, predicates as Q, rollups as A, rules as R
+from ..session import cut_lineage
 
 
 def review_alerts(alerts: DataFrame, requests: DataFrame, host_rows: DataFrame, profiles: DataFrame, types: dict, false_positives: dict, start_us: int, end_us: int,
@@ -19,7 +20,7 @@ def review_alerts(alerts: DataFrame, requests: DataFrame, host_rows: DataFrame,
     """
     d = alerts.withColumn("__t", R.attack_type(F.col("text"), F.col("rule_name"), types)).select("*", "__t.attack_type", "__t.matched").drop("__t")
     d = R.layer1_verdict(d, Q.false_positive_reason(d, false_positives), generic_rules)
-    misses = G.gateway_misses(requests, alerts, **(miss or {"patterns": [p for t in types.values() for p in t["patterns"]]}))
+    misses = cut_lineage(G.gateway_misses(requests, alerts, **(miss or {"patterns": [p for t in types.values() for p in t["patterns"]]})))
     critical = misses.agg(F.count_if(F.col("severity") == "critical").alias("__crit"))
     d = d.join(G.success_evidence(alerts, requests, host_rows, context_min, before_min, after_min), "alert_id", "left").crossJoin(F.broadcast(critical))
     has_host = F.lit(not host_rows.isEmpty())
@@ -27,8 +28,9 @@ def review_alerts(alerts: DataFrame, requests: DataFrame, host_rows: DataFrame,
     up = R.upgrade_verdict(first, F.coalesce("success", F.lit(False)), F.col("__crit")).drop("attack_outcome")
     d = R.layer2_outcome(up, F.coalesce("success", F.lit(False)), has_host)
     cov = G.gateway_coverage(alerts, requests, start_us, end_us, tight_sec).select("alert_id", "coverage")
+    d = cut_lineage(d)
     asked = alerts.drop("attack_success").join(d.select("alert_id", (F.col("attack_outcome") == "success_confirmed").alias("attack_success")), "alert_id")
     hint = G.success_hint(asked, requests, hint_minutes, patterns=[p for t in types.values() for p in t["patterns"]]).select("alert_id", F.col("level").alias("hint_level"), F.col("evidence_ref").alias("hint_ref"))
-    d = d.join(cov, "alert_id", "left").join(hint, "alert_id", "left").join(A.repeat_count(alerts), ["src_ip", "rule_id"], "left")
+    d = cut_lineage(d.join(cov, "alert_id", "left").join(hint, "alert_id", "left").join(A.repeat_count(alerts), ["src_ip", "rule_id"], "left"))
     d = R.alert_action(R.alert_confidence(d, F.lit(ceiling)), F.coalesce("repeats", F.lit(1)), F.col("hint_level"))
     return R.ip_block_guard(d, profiles).drop("__crit", "repeats"), misses

@@ -75,7 +75,8 @@ def rule_items(rows: DataFrame, module: str, pack: dict, ceiling: float = 0.95,
 
 def assess(modules: list[DataFrame], policy: dict | None = None, whitelist: list[dict] | None = None, rule_map: dict | None = None, tactics: dict | None = None) -> DataFrame:
     """Union of module items, merged, judged by policy before whitelist, mapped to techniques."""
-    items = reduce(DataFrame.unionByName, modules)
+    # The items are few against the evidence; written once, the merge can read them twice.
+    items = cut_lineage(reduce(DataFrame.unionByName, modules))
     merged = A.merge_items(items.withColumn("__ref", F.coalesce("evidence_ref", F.col("us").cast("string"), F.lit(""))).withColumn("__lp", F.coalesce(F.col("listener_port").cast("string"), F.lit(""))),
                            ["risk_module", "host", "__ref", "__lp"], "risk_id").drop("__ref", "__lp", "merged")
     d = R.whitelist(R.behavior_policy(merged, policy or {}), whitelist or [])
