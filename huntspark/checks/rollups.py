@@ -319,7 +319,7 @@ SELECT * FROM (SELECT source, snippet, priority::BIGINT AS priority, row_number(
 
 def a22(spark, d):
     sr = table(spark, d, "part").select("p_brand", F.col("p_type").alias("stage"), F.concat(F.lit("r"), (F.col("p_size") % 10).cast("string")).alias("rule"))
-    pt = table(spark, d, "region").crossJoin(F.broadcast(table(spark, d, "part").select(F.col("p_type").alias("stage")).distinct())).select(F.concat(F.lit("pat"), F.col("r_regionkey").cast("string")).alias("pattern_id"), F.col("r_regionkey").alias("position"), "stage",
+    pt = table(spark, d, "part").select(F.col("p_type").alias("stage")).distinct().withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.concat(F.lit("pat"), F.col("position").cast("string")).alias("pattern_id"), "position", "stage",
         F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("pattern_id", "position", "stage", F.concat(F.lit("r"), ((F.col("position") * 3 + F.col("i")) % 10).cast("string")).alias("rule"))
     return A.chain_pattern(sr, pt, ["p_brand"])
 
@@ -339,11 +339,12 @@ A23_SQL = "SELECT l_orderkey, round(CAST(least(0.82, sum(CASE WHEN l_linenumber
 
 def a24(spark, d):
     e = evidence(spark, d)
-    tl = e.groupBy("host").agg(F.collect_set(F.when(F.col("k") % 11 == 0, F.col("event_id"))).alias("evidence_refs"))
-    return A.timeline_sources(tl, e.select(F.col("event_id").alias("evidence_id"), F.col("event_type").alias("asset_type")), "host", ["view", "error", "signup"]).drop("evidence_refs")
+    # A timeline row is one second of a host.
+    tl = e.groupBy(F.concat_ws("/", "host", F.floor(F.col("us") / 1_000_000).cast("string")).alias("step")).agg(F.collect_set(F.when(F.col("k") % 11 == 0, F.col("event_id"))).alias("evidence_refs"))
+    return A.timeline_sources(tl, e.select(F.col("event_id").alias("evidence_id"), F.col("event_type").alias("asset_type")), "step", ["view", "error", "signup"]).drop("evidence_refs")
 
 
-A24_SQL = f'WITH {EV} SELECT host, bool_or(k % 11 = 0 AND event_type = \'view\') AS "view", bool_or(k % 11 = 0 AND event_type = \'error\') AS error, bool_or(k % 11 = 0 AND event_type = \'signup\') AS signup FROM ev GROUP BY 1'
+A24_SQL = f'WITH {EV} SELECT host || \'/\' || (us // 1000000) AS step, bool_or(k % 11 = 0 AND event_type = \'view\') AS "view", bool_or(k % 11 = 0 AND event_type = \'error\') AS error, bool_or(k % 11 = 0 AND event_type = \'signup\') AS signup FROM ev GROUP BY 1'
 
 
 def a25(spark, d):

@@ -53,8 +53,8 @@ S02_SQL = f"WITH {EV} SELECT event_id, us, host, event_type, k FROM ev WHERE eve
 
 def s02_array(spark, d):
     path = shared_dir(spark, "arrays")
-    e = evidence(spark, d).groupBy("event_type", (F.col("user_id") % 4).alias("part")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("event_id", "host")))).alias("value"))
-    e.repartition(20, "event_type", "part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    e = evidence(spark, d).groupBy(F.floor(F.col("event_id") / 200).alias("part")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("event_id", "host")))).alias("value"))
+    e.repartition(20, "part").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return S.read_payloads(spark, path, "event_id BIGINT, host STRING", form="array").drop("object_key")
 
 

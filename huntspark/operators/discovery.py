@@ -58,7 +58,7 @@ def suggest_aliases(keys: DataFrame, canonical: list[str], existing: dict[str, s
     low = F.lower("key")
     near = F.get(F.filter(F.array(*[F.lit(c) for c in canonical]), lambda c: low.contains(c) | c.contains(low)), F.lit(0))
     skip = F.col("key").isin(*canonical, *existing.values(), "")
-    d = keys.select("key").distinct().join(F.broadcast(syn), "key", "left")
+    d = keys.select("key").distinct().join(syn, "key", "left")
     return d.select("key", F.coalesce("__c", F.when(~skip, near)).alias("alias_of")).where("alias_of IS NOT NULL")
 
 
@@ -182,7 +182,7 @@ def recommendations(missing: DataFrame, label: str, priority: str, seq: str) ->
     sizes = d.groupBy(priority).agg(F.count(F.lit(1)).alias("__n"))
     better = sizes.alias("a").join(sizes.select(F.col(priority).alias("__p"), F.col("__n").alias("__m")), F.col("__p") < F.col(priority), "left")
     before = better.groupBy(priority).agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
-    return (numbered(d, [priority], seq, [F.col(seq)], "__rn", 10_000).join(F.broadcast(before), priority)
+    return (numbered(d, [priority], seq, [F.col(seq)], "__rn", 10_000).join(before, priority)
             .withColumn("position", F.col("__before") + F.col("__rn")).drop("__before", "__rn"))
 
 

@@ -106,8 +106,7 @@ def gateway_coverage(alerts: DataFrame, requests: DataFrame, start_us: int, end_
     # Any time in scope: the keys alone decide.
     offers = _offers(scoped, False).select("path_key", "__ip", "__m").distinct()
     loose = _asks(alerts, True).join(offers, ["path_key", "__ip", "__m"], "left_semi").select("alert_id").distinct().withColumn("__loose", F.lit(True))
-    n = requests.agg(F.count(F.lit(1)).alias("__all"), F.count_if(F.col("us").between(start_us, end_us)).alias("__in"))
-    a = a.join(loose, "alert_id", "left").crossJoin(F.broadcast(n))
+    a = a.join(loose, "alert_id", "left").withColumns({"__all": requests.agg(F.count(F.lit(1))).scalar(), "__in": scoped.agg(F.count(F.lit(1))).scalar()})
     hit = F.col("__tight") | (F.col("us").isNull() & F.col("__loose"))
     return a.withColumn("coverage", first_match((F.col("__all") == 0, "log_missing"), (F.col("__in") == 0, "no_investigation_window"), (hit, "matched"),
                                                 (F.col("__loose"), "outside_tight_window"), default="no_matching_request")).drop("__tight", "__loose", "__all", "__in")
@@ -210,8 +209,7 @@ def campaign_success(requests: DataFrame, host_rows: DataFrame, start_us: int, e
     hit = F.col("__v").isNotNull()
     agg = rows.agg(F.count_if(hit & F.col("indicator").isNotNull()).alias("success_count"), F.count_if(hit).alias("supporting_count"), F.count_if(~hit).alias("unmatched_count"),
                    F.array_sort(F.collect_set(F.when(hit, F.col("indicator")))).alias("indicators"))
-    n = targets.agg(F.count(F.lit(1)).alias("target_count"))
-    return agg.crossJoin(F.broadcast(n)).select(
+    return agg.withColumn("target_count", targets.agg(F.count(F.lit(1))).scalar()).select(
         (F.col("success_count") > 0).alias("attack_success"), "success_count", "supporting_count", F.when(F.col("target_count") == 0, F.col("unmatched_count")).otherwise(F.lit(0)).cast("bigint").alias("uncorrelated_count"),
         "target_count", "indicators", F.when(F.col("target_count") > 0, "field_correlated").otherwise("uncorrelated").alias("attribution"),
         F.when(F.col("success_count") > 0, "escalate_investigate").otherwise("log_and_monitor").alias("recommended_action"))

@@ -173,8 +173,9 @@ def prefix_join(left: DataFrame, right: DataFrame, left_path: str, right_path: s
     Every path offers its own prefixes (of lengths the other side has) as keys,
     so nothing is compared with everything.
     """
-    lens = lambda df, c: F.broadcast(df.select(F.length(c).alias("__n")).where("__n > 0").distinct().agg(F.collect_set("__n").alias("__ns")))
-    offers = lambda df, c, other, oc: (df.crossJoin(lens(other, oc)).withColumn("__k", F.explode(
+    # The distinct path lengths of the other side, one short array.
+    lens = lambda df, c: df.select(F.length(c).alias("__n")).where("__n > 0").distinct().agg(F.collect_set("__n")).scalar()
+    offers = lambda df, c, other, oc: (df.withColumn("__ns", lens(other, oc)).withColumn("__k", F.explode(
         F.transform(F.filter("__ns", lambda n: n <= F.length(F.col(c))), lambda n: F.left(F.col(c), n)))).drop("__ns"))
     l, r = left.where(F.col(left_path) != ""), right.where(F.col(right_path) != "")
     down = offers(l, left_path, r, right_path).join(r, F.col("__k") == F.col(right_path)).drop("__k")
@@ -222,8 +223,8 @@ def join_coverage(edges: DataFrame, gaps: DataFrame, chain: list[str]) -> DataFr
     m, g = edges.select("join_id").distinct().withColumn("__m", F.lit(True)), gaps.where("gap = 'no_match'").select("join_id").distinct().withColumn("__g", F.lit(True))
     per = _ids(edges.sparkSession, list(dict.fromkeys(chain))).join(m, "join_id", "left").join(g, "join_id", "left").select(
         "join_id", F.when(F.col("__m"), "matched").when(F.col("__g"), "no_match").otherwise("not_evaluated").alias("status"))
-    ratio = per.agg(F.round(F.count_if(F.col("status") == "matched") / F.count(F.lit(1)), 2).alias("coverage_ratio"))
-    return per.crossJoin(F.broadcast(ratio))
+    ratio = per.agg(F.round(F.count_if(F.col("status") == "matched") / F.count(F.lit(1)), 2))
+    return per.withColumn("coverage_ratio", ratio.scalar())
 
 
 def scenario_edges(tables: dict[str, DataFrame], specs: dict[str, JoinSpec], patterns: dict[str, dict], priority: list[tuple[str, str]],
@@ -266,7 +267,7 @@ def related_in_window(left: DataFrame, right: DataFrame, left_id: str, hosts: st
     return left.join(hit.where(F.col(out)).select(left_id, out).distinct(), left_id, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
-def nearest_asof(left: DataFrame, right: DataFrame, keys: list[str], us: str, left_id: str, right_id: str, retention_us: int) -> DataFrame:
+def nearest_asof(left: DataFrame, right: DataFrame, keys: list[str], us: str, left_id: str, right_id: str, retention_us: int, block_sec: int = 3600) -> DataFrame:
     """Nearest right row in time, either side, per left row; NULL beyond ``retention_us``.
 
     The earlier row wins a tie. Adds ``near_id`` and ``near_us``.
@@ -275,8 +276,8 @@ def nearest_asof(left: DataFrame, right: DataFrame, keys: list[str], us: str, le
          .unionByName(right.select(*keys, us, F.lit(None).cast("bigint").alias("__id"), F.struct(F.col(us).alias("us"), F.col(right_id).cast("bigint").alias("id")).alias("__r")))
          .where(F.col(us).isNotNull()).withColumn("__c", F.col("__id").isNotNull().cast("int")).withColumn("__o", F.coalesce("__id", "__r.id")))
     # A right row at the same time counts as earlier: it sorts before the left row.
-    u = carried(u, keys, us, [us, "__c", "__o"], F.col("__r"), "__p")
-    u = carried(u, keys, us, [us, "__c", "__o"], F.col("__r"), "__n", forward=False).where("__id IS NOT NULL")
+    u = carried(u, keys, us, [us, "__c", "__o"], F.col("__r"), "__p", block_sec * 1_000_000)
+    u = carried(u, keys, us, [us, "__c", "__o"], F.col("__r"), "__n", block_sec * 1_000_000, forward=False).where("__id IS NOT NULL")
     gp, gn = F.col(us) - F.col("__p.us"), F.col("__n.us") - F.col(us)
     best = F.when(gp.isNotNull() & (gn.isNull() | (gp <= gn)), F.col("__p")).otherwise(F.col("__n"))
     near = u.select(F.col("__id").alias(left_id), best.alias("__b"), F.col(us).alias("__t"))

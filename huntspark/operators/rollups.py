@@ -128,9 +128,9 @@ def batch_summary(results: DataFrame, misses: DataFrame | None = None, top: int
                       n("hint_level", "likely").alias("hint_likely"), n("hint_level", "possible").alias("hint_possible"),
                       F.count_if(F.col("coverage").isin("log_missing", "no_investigation_window")).alias("gateway_log_missing"), n("coverage", "no_matching_request").alias("gateway_log_unmatched"))
     ips = results.select("src_ip") if misses is None else results.select("src_ip").unionByName(misses.select("src_ip"))
-    out = one.crossJoin(F.broadcast(_top_list(results.where("attack_type <> 'unknown'"), "attack_type", top, "top_attack_types"))).crossJoin(F.broadcast(_top_list(ips, "src_ip", top, "top_ips")))
+    out = one.withColumns({"top_attack_types": _top_list(results.where("attack_type <> 'unknown'"), "attack_type", top, "t").scalar(), "top_ips": _top_list(ips, "src_ip", top, "t").scalar()})
     if misses is not None:
-        out = out.crossJoin(F.broadcast(misses.agg(F.count(F.lit(1)).alias("gateway_miss_count"))))
+        out = out.withColumn("gateway_miss_count", misses.agg(F.count(F.lit(1))).scalar())
     return out
 
 
@@ -201,7 +201,7 @@ def query_integrity(attempts: DataFrame, declared: DataFrame | None = None) -> D
 def integrity_status(attempts: DataFrame, gaps: DataFrame) -> DataFrame:
     """incomplete / no_known_gaps / unknown for the whole fetch."""
     seen = attempts.agg(F.count_if(F.col("status").isin("success", "cache_hit", "failed")).alias("__o"))
-    return seen.crossJoin(F.broadcast(gaps.agg(F.count(F.lit(1)).alias("gap_count")))).select(
+    return seen.withColumn("gap_count", gaps.agg(F.count(F.lit(1))).scalar()).select(
         F.when(F.col("gap_count") > 0, "incomplete").when(F.col("__o") > 0, "no_known_gaps").otherwise("unknown").alias("status"), "gap_count")
 
 

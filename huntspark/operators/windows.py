@@ -16,10 +16,7 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     parts = [F.coalesce(text_or_null(F.col(k)), F.lit("")) for k in keys]
     empty = F.concat(*parts) == ""
     row = F.struct(*[F.col(c) for c in df.columns])
-    # Rows without any key keep their own identity as group.
-    solo = F.when(empty, F.sha2(F.to_json(row), 256))
-    return (df.select(row.alias("r"), F.struct(*order).alias("o"), *[p.alias(f"k{i}") for i, p in enumerate(parts)], solo.alias("s"))
-            .where(F.col("s").isNull())
+    return (df.where(~empty).select(row.alias("r"), F.struct(*order).alias("o"), *[p.alias(f"k{i}") for i, p in enumerate(parts)])
             .groupBy(*[f"k{i}" for i in range(len(parts))]).agg(F.min_by("r", "o").alias("r")).select("r.*")
             .unionByName(df.where(empty)))
 
@@ -95,29 +92,33 @@ def rolling_admission(df: DataFrame, keys: list[str], us: str, id_col: str, occu
 def narrow_window(df: DataFrame, activity: Column, us: str, start_us: int, end_us: int, pad_us: int) -> DataFrame:
     """Rows inside [first activity - pad, last activity + pad], clamped to the asked bounds.
 
-    Without activity the asked window stays. The bounds are one row, joined back.
+    Without activity the asked window stays. The bounds are one row, read as scalars.
     """
     inside = F.col(us).between(start_us, end_us)
     act = df.where(inside & activity).agg(F.min(us).alias("__f"), F.max(us).alias("__l"))
-    bounds = act.select(F.greatest(F.lit(start_us), F.coalesce(F.col("__f") - pad_us, F.lit(start_us))).alias("from_us"),
-                        F.least(F.lit(end_us), F.coalesce(F.col("__l") + pad_us, F.lit(end_us))).alias("to_us"))
-    return df.where(inside).crossJoin(F.broadcast(bounds)).where(F.col(us).between(F.col("from_us"), F.col("to_us")))
+    low = act.select(F.greatest(F.lit(start_us), F.coalesce(F.col("__f") - pad_us, F.lit(start_us)))).scalar()
+    high = act.select(F.least(F.lit(end_us), F.coalesce(F.col("__l") + pad_us, F.lit(end_us)))).scalar()
+    return df.where(inside).withColumns({"from_us": low, "to_us": high}).where(F.col(us).between(F.col("from_us"), F.col("to_us")))
 
 
-def sequence_refs(df: DataFrame, kind: str, us: str, id_col: str, evidence_id: Column, pad: int = 4) -> DataFrame:
-    """``ref``: the row's evidence id, else its kind and its number within the kind."""
-    d = numbered(df, [kind], us, [F.col(us), F.col(id_col)], "__rn")
+def sequence_refs(df: DataFrame, kind: str, us: str, id_col: str, evidence_id: Column, pad: int = 4, block_sec: int = 60) -> DataFrame:
+    """``ref``: the row's evidence id, else its kind and its number within the kind.
+
+    There are few kinds, so each holds a large share of the rows: the blocks are
+    short, and a kind is numbered by as many tasks as it has minutes.
+    """
+    d = numbered(df, [kind], us, [F.col(us), F.col(id_col)], "__rn", block_sec * 1_000_000)
     n = F.col("__rn").cast("string")
     label = F.concat_ws("-", F.col(kind), F.when(F.length(n) < pad, F.lpad(n, pad, "0")).otherwise(n))
     return d.withColumn("ref", F.coalesce(text_or_null(evidence_id), label)).drop("__rn")
 
 
-def counter_delta(df: DataFrame, series: list[str], us: str, id_col: str, counter: Column, out: str = "delta") -> DataFrame:
+def counter_delta(df: DataFrame, series: list[str], us: str, id_col: str, counter: Column, out: str = "delta", block_sec: int = 3600) -> DataFrame:
     """Growth of a cumulative counter; a drop is a reset and yields the value itself.
 
     The first row of a series has no predecessor: NULL.
     """
-    d = carried(df.withColumn("__cur", counter), series, us, [us, id_col], F.col("__cur"), "__prev")
+    d = carried(df.withColumn("__cur", counter), series, us, [us, id_col], F.col("__cur"), "__prev", block_sec * 1_000_000)
     return d.withColumn(out, F.when(F.col("__prev").isNull(), F.lit(None))
                         .when(F.col("__cur") >= F.col("__prev"), F.col("__cur") - F.col("__prev"))
                         .otherwise(F.col("__cur"))).drop("__cur", "__prev")

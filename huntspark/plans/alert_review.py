@@ -22,7 +22,7 @@ def review_alerts(alerts: DataFrame, requests: DataFrame, host_rows: DataFrame,
     d = R.layer1_verdict(d, Q.false_positive_reason(d, false_positives), generic_rules)
     misses = cut_lineage(G.gateway_misses(requests, alerts, **(miss or {"patterns": [p for t in types.values() for p in t["patterns"]]})))
     critical = misses.agg(F.count_if(F.col("severity") == "critical").alias("__crit"))
-    d = d.join(G.success_evidence(alerts, requests, host_rows, context_min, before_min, after_min), "alert_id", "left").crossJoin(F.broadcast(critical))
+    d = d.join(G.success_evidence(alerts, requests, host_rows, context_min, before_min, after_min), "alert_id", "left").withColumn("__crit", critical.scalar())
     has_host = F.lit(not host_rows.isEmpty())
     first = R.layer2_outcome(d, F.coalesce("success", F.lit(False)), has_host)
     up = R.upgrade_verdict(first, F.coalesce("success", F.lit(False)), F.col("__crit")).drop("attack_outcome")

@@ -49,7 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def fits_broadcast(df: DataFrame, max_rows: int = 200_000) -> bool:
-    """True when the table is proven small: counts at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows

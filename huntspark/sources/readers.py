@@ -150,7 +150,7 @@ def load_inventory(hosts: DataFrame, scope: DataFrame | None = None) -> DataFram
 def incremental_read(df: DataFrame, channel: str, record_id: str, cursors: DataFrame) -> DataFrame:
     """Rows after the stored cursor of their channel; a channel without cursor is read whole."""
     c = cursors.select(F.col("channel").alias("__ch"), F.col("last_id").alias("__last"))
-    return df.join(F.broadcast(c), F.col(channel) == F.col("__ch"), "left").where(F.col("__last").isNull() | (F.col(record_id) > F.col("__last"))).drop("__ch", "__last")
+    return df.join(c, F.col(channel) == F.col("__ch"), "left").where(F.col("__last").isNull() | (F.col(record_id) > F.col("__last"))).drop("__ch", "__last")
 
 
 def advance_cursors(cursors: DataFrame, written: DataFrame, channel: str, record_id: str) -> DataFrame:

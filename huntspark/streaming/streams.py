@@ -9,7 +9,7 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.joins import snapshot_diff
@@ -17,13 +17,18 @@ from ..operators.rollups import assemble_fragments
 from ..session import shared_dir
 
 
-def follow_files(spark: SparkSession, path: str, schema, fmt: str = "json", glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Growing folder as a stream, with the file's ``_path`` and ``_modified`` time."""
+def follow_files(spark: SparkSession, path: str, schema, fmt: str = "json", glob: str | None = None, files_per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
+    """Growing folder as a stream, with the file's ``_path`` and ``_modified`` time.
+
+    ``bytes_per_batch`` bounds what one batch, and so one key of a batch, can hold.
+    """
     r = spark.readStream.schema(schema).format(fmt)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        r = r.option("maxBytesPerTrigger", bytes_per_batch)
     return r.load(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_modified"))
 
 
@@ -201,24 +206,35 @@ def stream_rate_windowed(stream: DataFrame, ts: str, keys: list[str], limit: int
 def snapshot_diffs(keys: list[str], fields: list[str], snapshot: str) -> Callable:
     """Batch step for ``drain``: each snapshot id of a batch is compared with the one before it.
 
-    The last snapshot is kept next to the output, under the batch number, so a
-    repeated batch reads the same predecessor. The first snapshot is a baseline.
+    All snapshots of a batch are compared in one join, each row standing as the
+    predecessor of the next id. The last snapshot is kept next to the output,
+    under the batch number, so a repeated batch reads the same predecessor. The
+    very first snapshot is a baseline.
     """
     def step(batch: DataFrame, epoch: int, out: str) -> None:
         spark = batch.sparkSession
-        ids = [r[0] for r in batch.select(snapshot).distinct().orderBy(snapshot).limit(1000).collect()]
         kept = f"{out}.last"
-        previous = spark.read.parquet(f"{kept}/{epoch - 1}") if epoch > 0 else None
-        found = None
-        for i in ids:
-            cur = batch.where(F.col(snapshot) == i)
-            ev = snapshot_diff(previous if previous is not None else cur, cur, keys, fields, full=previous is None).withColumn(snapshot, F.lit(i))
-            found = ev if found is None else found.unionByName(ev)
-            previous = cur
-        if previous is not None:
-            previous.write.mode("overwrite").parquet(f"{kept}/{epoch}")
-        if found is not None:
-            found.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        stored = spark.read.parquet(f"{kept}/{epoch - 1}") if epoch > 0 else None
+        if batch.isEmpty():
+            if stored is not None:
+                stored.write.mode("overwrite").parquet(f"{kept}/{epoch}")
+            return
+        cols = [snapshot, *keys, *fields]
+        ids = batch.select(snapshot).distinct()
+        first, last = ids.agg(F.min(snapshot)).scalar(), ids.agg(F.max(snapshot)).scalar()
+        # The distinct ids of one batch: as few rows as the batch has snapshots.
+        after = ids.select(snapshot, F.lead(snapshot).over(Window.orderBy(snapshot)).alias("__next")).where("__next IS NOT NULL")
+        previous = batch.select(*cols).join(after, snapshot).drop(snapshot).withColumnRenamed("__next", snapshot).select(*cols)
+        if stored is not None:
+            previous = previous.unionByName(stored.select(*cols).withColumn(snapshot, first))
+            current = batch.select(*cols)
+        else:
+            current = batch.select(*cols).where(F.col(snapshot) != first)
+        found = snapshot_diff(previous, current, [snapshot, *keys], fields)
+        if stored is None:
+            found = found.unionByName(snapshot_diff(batch, batch.select(*cols).where(F.col(snapshot) == first), [snapshot, *keys], fields, full=True))
+        found.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        batch.select(*cols).where(F.col(snapshot) == last).write.mode("overwrite").parquet(f"{kept}/{epoch}")
     return step
 
 
