@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import web
-from ..operators import gateway as G, joins as J, lateral as L
+from ..operators import gateway as G, joins as J, lateral as L, windows as W
 from .base import DAY, EV, HOUR, evidence, table
 
 H6 = 6 * HOUR
@@ -429,6 +429,19 @@ SELECT m.id AS stage_id, round(greatest(m.c, coalesce(up.c, 0)), 2)::DOUBLE AS c
 UNION ALL SELECT -id, c, 'heuristic_fallback' FROM h WHERE id NOT IN (SELECT hr.id FROM hr JOIN mr USING (ref))"""
 
 
+def j22_entry(spark, d):
+    e = evidence(spark, d).where("event_type IN ('view', 'click')").select("host", "us", (F.col("k") % 3).alias("outcome_rank"), (F.col("k") % 4).alias("vector_rank"), F.array(F.col("event_id")).alias("evidence_refs"), "event_type", "event_id")
+    pick = lambda t: W.best_entry(e.where(F.col("event_type") == t), ["host"], [F.col("event_id") % 5], "us", "event_id").drop("event_type", "event_id")
+    out = J.merge_initial_access(pick("view"), pick("click"), ["host"])
+    return out.withColumn("supporting_refs", F.array_join(F.transform("supporting_refs", lambda x: x.cast("string")), ","))
+
+
+J22E_SQL = f"""WITH {EV}, c AS (SELECT host, us, k % 3 AS o, k % 4 AS v, event_id, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS h, row_number() OVER (PARTITION BY host, event_type ORDER BY event_id % 5, us, event_id) AS rn FROM ev WHERE event_type IN ('view', 'click')),
+r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY o, v, h, us) AS pos FROM c WHERE rn = 1)
+SELECT host, min(us) FILTER (pos = 1) AS us, min(o) FILTER (pos = 1) AS outcome_rank, min(v) FILTER (pos = 1) AS vector_rank, min(event_id) FILTER (pos = 1) AS primary_ref, coalesce(string_agg(event_id::VARCHAR, ',') FILTER (pos = 2), '') AS supporting_refs,
+ string_agg(CASE h WHEN 0 THEN 'matrix' ELSE 'heuristic' END, '+' ORDER BY h DESC) AS correlation_source FROM r GROUP BY host"""
+
+
 def j22_attach(spark, d):
     m, _ = _stages(spark, d)
     e = table(spark, d, "part").select(F.concat(F.lit("j"), (F.col("p_size") % 7).cast("string")).alias("join_id"), F.col("p_partkey").cast("string").alias("left_ref"), (F.col("p_partkey") * 2).cast("string").alias("right_ref"))
@@ -538,6 +551,6 @@ CHECKS = {
     "J10_waf_enrich": (j10, J10_SQL), "J11_success_evidence": (j11, J11_SQL), "J11_success_refs": (j11_refs, J11R_SQL), "J12_campaign_success": (j12, J12_SQL), "J13_execution_chain": (j13, J13_SQL), "J13_execution_refs": (j13_refs, J13R_SQL),
     "J13_persistence_chain": (j13_persistence, J13P_SQL), "J14_lateral_hops": (j14, J14_SQL), "J15_lateral_from_exec": (j15, J15_SQL), "J16_confirm_lateral": (j16, J16_SQL), "J17_target_exec_burst": (j17, J17_SQL), "J17_upgrade_with_burst": (j17_upgrade, J17U_SQL),
     "J18_nearest_asof": (j18, J18_SQL), "J19_process_attribution": (j19, J19_SQL), "J20_ancestor_replay": (j20, J20_SQL), "J21_host_ip_map": (j21, J21_SQL), "J21_enrich_from_inventory": (j21_enrich, J21E_SQL), "J22_merge_stages": (j22, J22_SQL),
-    "J22_attach_join_ids": (j22_attach, J22A_SQL), "J23_stages_from_edges": (j23, J23_SQL), "J24_second_hop_targets": (j24, J24_SQL), "J25_route_by_id": (j25, J25_SQL), "J26_snapshot_diff": (j26, J26_SQL), "J26_process_diff": (j26_process, J26P_SQL),
+    "J22_merge_initial_access": (j22_entry, J22E_SQL), "J22_attach_join_ids": (j22_attach, J22A_SQL), "J23_stages_from_edges": (j23, J23_SQL), "J24_second_hop_targets": (j24, J24_SQL), "J25_route_by_id": (j25, J25_SQL), "J26_snapshot_diff": (j26, J26_SQL), "J26_process_diff": (j26_process, J26P_SQL),
     "J27_line_diff": (j27, J27_SQL), "J28_correlation_summary": (j28, J28_SQL), "J29_asset_topology": (j29, J29_SQL),
 }

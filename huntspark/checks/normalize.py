@@ -294,6 +294,16 @@ P20_SQL = f"""WITH {EV} SELECT event_id, 'seen' AS result, host AS "user", 's' A
 UNION ALL SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'accepted' END, 'u' || user_id, '10.9.9.' || (user_id % 200) FROM ev WHERE event_type = 'click' OR (event_type = 'error' AND k % 2 = 1)"""
 
 
+def p20_failed(spark, d):
+    e = evidence(spark, d).select("event_id", F.expr("IF(k % 17 = 0, NULL, us)").alias("us"), F.expr("CASE k % 4 WHEN 0 THEN 'localhost' WHEN 1 THEN '' ELSE host END").alias("host"), F.expr("CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'success' ELSE '' END").alias("result"),
+                                  F.expr("CASE event_type WHEN 'signup' THEN 'ssh_invalid_user' WHEN 'view' THEN 'other' END").alias("event_type"), F.concat(F.lit("for u"), S("user_id"), F.lit(" from 10.9.9."), (F.col("user_id") % 200).cast("string")).alias("message"), F.expr("IF(k % 2 = 0, 'null', '1.2.3.4')").alias("src_ip"))
+    return N.failed_logins(e).select("event_id", "host", "src_ip", "user", "result")
+
+
+P20F_SQL = f"""WITH {EV}, s AS (SELECT *, CASE WHEN k % 2 = 0 THEN '10.9.9.' || (user_id % 200) ELSE '1.2.3.4' END AS src FROM ev WHERE event_type IN ('error', 'signup') AND k % 17 <> 0)
+SELECT event_id, CASE WHEN k % 4 < 2 THEN src ELSE host END AS host, src AS src_ip, 'u' || user_id AS "user", 'failed' AS result FROM s"""
+
+
 def p21(spark, d):
     e = evidence(spark, d).select("event_id", "props", F.when(F.col("k") % 2 == 0, S("us")).alias("time"), F.lit("1").alias("ingest_time"), F.when(F.col("k") % 3 == 0, "own").alias("port"),
                                   F.when(F.col("k") % 3 == 1, F.col("host")).otherwise("localhost").alias("host"), F.concat(F.lit("src-"), S("user_id")).alias("source"))
@@ -319,10 +329,11 @@ P22_SQL = f"""WITH {EV} SELECT event_id, CASE WHEN k % 4 = 1 THEN event_type = '
 
 def p23(spark, d):
     e = evidence(spark, d).withColumn("ip", net.normalize_ip(F.expr(RAW_IP)))
-    return e.select("event_id", net.network_tag(F.col("ip")).alias("tag"))
+    return e.select("event_id", net.network_tag(F.col("ip")).alias("tag"), F.array_join(net.network_attributes(F.col("ip"), F.expr("IF(k % 3 = 0, '', 'DE')"), F.lit(""), F.col("event_type")), ";").alias("labels"))
 
 
-P23_SQL = f"WITH {EV} SELECT event_id, CASE k % 5 WHEN 0 THEN 'private' WHEN 3 THEN 'private' WHEN 4 THEN 'invalid' ELSE 'global' END AS tag FROM ev"
+P23_SQL = f"""WITH {EV}, t AS (SELECT *, CASE k % 5 WHEN 0 THEN 'private' WHEN 3 THEN 'private' WHEN 4 THEN 'invalid' ELSE 'global' END AS tag FROM ev)
+SELECT event_id, tag, tag || CASE WHEN k % 3 > 0 THEN ';geo: DE / ' || event_type ELSE '' END AS labels FROM t"""
 
 
 def p24(spark, d):
@@ -392,7 +403,7 @@ CHECKS = {
     "P11_winevent_to_risk_events": (p11, P11_SQL), "P12_parse_kv_records": (p12, P12_SQL), "P13_decode_payload": (p13, P13_SQL),
     "P14_derive_waf_victim": (p14, P14_SQL), "P15_normalize_url": (p15, P15_SQL), "P16_extract_ips": (p16, P16_SQL),
     "P17_extract_ssh_targets": (p17, P17_SQL), "P18_command_fingerprint": (p18, P18_SQL), "P19_dns_features": (p19, P19_SQL),
-    "P20_syslog_to_ssh_auth": (p20, P20_SQL), "P21_repair_events": (p21, P21_SQL), "P22_exec_context_flags": (p22, P22_SQL),
+    "P20_syslog_to_ssh_auth": (p20, P20_SQL), "P20_failed_logins": (p20_failed, P20F_SQL), "P21_repair_events": (p21, P21_SQL), "P22_exec_context_flags": (p22, P22_SQL),
     "P23_ip_class_tags": (p23, P23_SQL), "P24_web_vector": (p24, P24_SQL), "P25_raw_behavior": (p25, P25_SQL),
     "P26_redact_secrets": (p26, P26_SQL), "P27_behavior_fingerprint": (p27, P27_SQL), "P28_classify_windows_evidence": (p28, P28_SQL),
 }

@@ -258,6 +258,16 @@ a AS (SELECT g, count(*) FILTER (p0) AS c0, count(*) FILTER (p0 AND s = 'ready')
 SELECT g, round(least(greatest(0.40::DOUBLE * (r0 / greatest(c0, 1)) + 0.35::DOUBLE * (r1::DOUBLE / greatest(c1, 1)) + (0.15::DOUBLE * 0.7 + 0.10::DOUBLE * 0.5), 0), 1), 2)::DOUBLE AS score, CASE WHEN m0 > 0 THEN 'not_traceable' WHEN c1 > 0 AND r1 / c1 >= 0.8 THEN 'full_traceable' ELSE 'partial_traceable' END AS verdict FROM a"""
 
 
+def a18_breach(spark, d):
+    s = D.completeness_score(table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("g"), F.expr("IF(o_orderpriority < '3', 'P0', 'P1')").alias("priority"), F.expr("CASE WHEN o_orderstatus = 'F' THEN 'ready' WHEN o_orderstatus = 'O' OR o_custkey % 40 < 20 THEN 'partial' ELSE 'missing' END").alias("status")), ["g"], 0.7, 0.5)
+    types = table(spark, d, "region").select(F.expr("CASE r_regionkey WHEN 0 THEN 'waf_alert' WHEN 1 THEN 'host_exec' ELSE 'dns_log' END").alias("asset_type"))
+    out = D.breach_confirmable(s, types, ["S1"]).select("g", F.lit("with_host").alias("kind"), "verdict", "can_confirm_breach")
+    return out.unionByName(D.breach_confirmable(s, types.where("asset_type <> 'host_exec'"), ["S4"]).select("g", F.lit("without").alias("kind"), "verdict", "can_confirm_breach"))
+
+
+A18B_SQL = f"""WITH s AS ({A18_SQL}) SELECT g, 'with_host' AS kind, verdict, verdict <> 'not_traceable' AS can_confirm_breach FROM s UNION ALL SELECT g, 'without', CASE WHEN verdict = 'not_traceable' THEN verdict ELSE 'alert_triage_only' END, false FROM s"""
+
+
 def a18_keys(spark, d):
     a = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("asset_type"), F.concat(F.lit("k"), (F.col("s_suppkey") % 6).cast("string")).alias("correlation_key"))
     b = table(spark, d, "nation").where("n_nationkey < 4").select((F.col("n_nationkey") % 5).alias("asset_type"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("correlation_key"))
@@ -504,7 +514,7 @@ X05_SQL = f"WITH {EV} SELECT DISTINCT us // {HOUR}::BIGINT * {HOUR}::BIGINT AS u
 CHECKS = {
     "A01_incident_rollup": (a01, A01_SQL), "A02_merge_items": (a02, A02_SQL), "A03_nxdomain_rollup": (a03, A03_SQL), "A04_repeat_count": (a04, A04_SQL), "A05_batch_summary": (a05, A05_SQL), "A06_geo_mode": (a06, A06_SQL), "A07_activity_range": (a07, A07_SQL),
     "A08_rank_attackers": (a08, A08_SQL), "A09_infer_victims": (a09, A09_SQL), "A10_fetch_stats": (a10, A10_SQL), "A11_query_integrity": (a11, A11_SQL), "A11_integrity_status": (a11_status, A11S_SQL), "A12_discover_format": (a12, A12_SQL), "A13_profile_keys": (a13, A13_SQL),
-    "A14_suggest_aliases": (a14, A14_SQL), "A15_field_gaps": (a15, A15_SQL), "A15_field_coverage": (a15_coverage, A15C_SQL), "A16_draft_parser": (a16, None), "A17_evaluate_requirements": (a17, A17_SQL), "A18_completeness_score": (a18, A18_SQL), "A18_correlation_key_score": (a18_keys, A18K_SQL),
+    "A14_suggest_aliases": (a14, A14_SQL), "A15_field_gaps": (a15, A15_SQL), "A15_field_coverage": (a15_coverage, A15C_SQL), "A16_draft_parser": (a16, None), "A17_evaluate_requirements": (a17, A17_SQL), "A18_completeness_score": (a18, A18_SQL), "A18_correlation_key_score": (a18_keys, A18K_SQL), "A18_breach_confirmable": (a18_breach, A18B_SQL),
     "A19_source_coverage": (a19, A19_SQL), "A19_coverage_level": (a19_level, A19L_SQL), "A20_assessment_summary": (a20, A20_SQL), "A20_top_tags": (a20_top, A20T_SQL), "A21_host_highlights": (a21, A21_SQL), "A22_chain_pattern": (a22, A22_SQL), "A23_chain_confidence": (a23, A23_SQL),
     "A24_timeline_sources": (a24, A24_SQL), "A25_assemble_records": (a25, A25_SQL), "A26_assemble_fragments": (a26, A26_SQL), "A27_promote_baseline": (a27, A27_SQL), "A28_behavior_summary": (a28, A28_SQL), "A29_churn_summary": (a29, A29_SQL),
     "L01_top_incidents": (l01, L01_SQL), "L02_cap_per_asset": (l02, L02_SQL), "L03_cap_per_join": (l03, L03_SQL), "L04_rank_recommendations": (l04, L04_SQL), "L05_timeline_pick": (l05, L05_SQL),

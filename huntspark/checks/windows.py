@@ -97,6 +97,23 @@ W03T_SQL = f"""WITH {EV}, s AS (SELECT us // {6 * HOUR}::BIGINT AS sec, event_ty
 SELECT sec, stage, host, event_id, us FROM (SELECT *, row_number() OVER (PARTITION BY sec, stage, host ORDER BY us, event_id) AS rn FROM s) WHERE rn = 1"""
 
 
+def w03_execution(spark, d):
+    e = evidence(spark, d).select(F.col("event_type").alias("stage"), "host", (F.floor(F.col("us") / DAY) * 1_000_000 + F.col("k")).cast("bigint").alias("us"), F.array((F.col("k") % 2).cast("string"), F.lit("0")).alias("evidence_refs"), "event_id")
+    return W.dedupe_execution(e, [F.col("us"), F.col("event_id")]).select("stage", "host", "us", "event_id")
+
+
+W03E_SQL = f"""WITH {EV}, s AS (SELECT event_type AS stage, host, us // {DAY}::BIGINT * 1000000 + k AS us, us // {DAY}::BIGINT AS sec, k % 2 AS refs, event_id FROM ev)
+SELECT stage, host, us, event_id FROM (SELECT *, row_number() OVER (PARTITION BY stage, host, sec, refs ORDER BY us, event_id) AS rn FROM s) WHERE rn = 1"""
+
+
+def w03_logins(spark, d):
+    e = evidence(spark, d).select("host", F.lit("s").alias("src_ip"), (F.floor(F.col("us") / DAY)).cast("bigint").alias("us"), F.expr("IF(k % 2 = 0, NULL, 'u')").alias("user"), F.expr("IF(k % 3 = 0, cast(event_id AS string), '')").alias("native_id"), "event_id")
+    return W.dedupe_logins(e, [F.col("us"), F.col("event_id")]).select("host", "us", "event_id")
+
+
+W03L_SQL = f"""WITH {EV} SELECT host, day AS us, event_id FROM (SELECT *, us // {DAY}::BIGINT AS day, row_number() OVER (PARTITION BY host, us // {DAY}::BIGINT, k % 2, CASE WHEN k % 3 = 0 THEN event_id END ORDER BY event_id) AS rn FROM ev) WHERE rn = 1"""
+
+
 def w04(spark, d):
     e = evidence(spark, d).select("event_id", "us", "user_id", "event_type")
     return W.sliding_rate(e, ["user_id", "event_type"], "us", "event_id", F.lit(3), slot_sec=3600, slots=61, hold_sec=36_000)
@@ -180,6 +197,7 @@ CHECKS = {
     "W02_duplicate_audit": (w02_audit, W02A_SQL),
     "W03_stage_dedupe": (w03, W03_SQL),
     "W03_timeline_dedupe": (w03_timeline, W03T_SQL),
+    "W03_execution_dedupe": (w03_execution, W03E_SQL), "W03_login_dedupe": (w03_logins, W03L_SQL),
     "W04_sliding_rate": (w04, W04_SQL),
     "W05_rolling_admission": (w05, W05_SQL),
     "W06_initial_access": (w06, W06_SQL),

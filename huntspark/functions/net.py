@@ -80,6 +80,12 @@ def network_tag(c: Column) -> Column:
     return F.when(inside.isNull(), "invalid").when(inside, "private").otherwise("global")
 
 
+def network_attributes(ip: Column, country: Column, province: Column, city: Column) -> Column:
+    """Tag and, where the log knows it, the place: an array of labels."""
+    place = F.concat_ws(" / ", *[F.when(c != "", c) for c in (country, province, city)])
+    return F.array_compact(F.array(network_tag(ip), F.when(F.coalesce(country, F.lit("")) != "", F.concat(F.lit("geo: "), place))))
+
+
 def extract_ipv4s(c: Column) -> Column:
     """Distinct plausible addresses of a text, in order of first sight."""
     return F.filter(F.array_distinct(F.regexp_extract_all(c, F.lit(f"({IPV4_FIND_RE})"), F.lit(1))), is_ipv4)

@@ -119,7 +119,8 @@ def evaluate_requirements(requirements: DataFrame, assets: DataFrame, span_days:
     ``requirements``: requirement_id, priority, asset_type, fields, hint (one row
     per accepted type). ``assets``: asset_id, asset_type, fields, zones, hosts,
     retention_days. Ready needs all fields, full coverage and enough retention;
-    the best status wins, then the smaller asset id.
+    the best status wins, then the smaller asset id. Where a ``match`` column says
+    ``all``, the first asset of the (one) type decides, whatever its status.
     """
     j = requirements.withColumnRenamed("fields", "need").join(assets, "asset_type", "left")
     lack = F.array_sort(F.array_except("need", F.coalesce("fields", F.array().cast("array<string>"))))
@@ -130,7 +131,7 @@ def evaluate_requirements(requirements: DataFrame, assets: DataFrame, span_days:
     gaps = F.when(F.col("asset_id").isNull(), F.array(F.lit("not_registered"))).otherwise(F.concat(lack, F.array_compact(F.array(
         F.when(cov == "none", "coverage_none"), F.when(cov == "partial", "coverage_partial"), F.when(~kept, "retention_insufficient")))))
     row = F.struct("asset_id", gaps.alias("gaps"), status.alias("s"))
-    g = j.groupBy("requirement_id", "priority").agg(F.min_by(row, F.struct(status, "asset_id")).alias("r"))
+    g = j.groupBy("requirement_id", "priority").agg(F.min_by(row, F.struct(F.when(F.col("match") == "all", 0).otherwise(status) if "match" in requirements.columns else status, "asset_id")).alias("r"))
     return g.select("requirement_id", "priority", F.element_at(F.array(F.lit("ready"), F.lit("partial"), F.lit("missing")), F.col("r.s") + 1).alias("status"), "r.asset_id", "r.gaps")
 
 
@@ -145,6 +146,24 @@ def completeness_score(evaluated: DataFrame, group: list[str], key_score: float,
     return a.select(*group, score.alias("score"), verdict.alias("verdict"))
 
 
+WEB_TYPES = ("waf_alert", "web_access_log")
+HOST_TYPES = ("host_exec", "host_connect", "host_file_op", "host_persistence", "edr_event")
+
+
+def breach_confirmable(scored: DataFrame, assets: DataFrame, scenarios: list[str]) -> DataFrame:
+    """Final verdict and ``can_confirm_breach`` from the registered asset types.
+
+    Alert scenario without any host data: only triage is possible. A breach can
+    be confirmed in a breach scenario with web and host data and a traceable verdict.
+    """
+    have = lambda types: assets.agg(F.coalesce(F.bool_or(F.col("asset_type").isin(*types)), F.lit(False))).scalar()
+    d = scored.withColumns({"__web": have(WEB_TYPES), "__host": have(HOST_TYPES)})
+    triage = F.lit("S4" in scenarios) & ~F.col("__host") & F.col("__web") & (F.col("verdict") != "not_traceable")
+    d = d.withColumn("verdict", F.when(triage, "alert_triage_only").otherwise(F.col("verdict")))
+    ok = F.lit(bool({"S1", "S2", "S4"} & set(scenarios))) & F.col("__web") & F.col("__host") & F.col("verdict").isin("full_traceable", "partial_traceable")
+    return d.withColumn("can_confirm_breach", ok).drop("__web", "__host")
+
+
 def correlation_key_score(assets: DataFrame, allowed: DataFrame) -> DataFrame:
     """1.0 / 0.7 / 0.4 by the number of correlation keys some asset offers (4, 3, fewer).
 
@@ -179,11 +198,11 @@ def recommendations(missing: DataFrame, label: str, priority: str, seq: str) ->
     the own one, which is taken block by block over ``seq``.
     """
     d = dedupe_first(missing, [label], [F.col(priority), F.col(seq)])
-    sizes = d.groupBy(priority).agg(F.count(F.lit(1)).alias("__n"))
-    better = sizes.alias("a").join(sizes.select(F.col(priority).alias("__p"), F.col("__n").alias("__m")), F.col("__p") < F.col(priority), "left")
-    before = better.groupBy(priority).agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
-    return (numbered(d, [priority], seq, [F.col(seq)], "__rn", 10_000).join(before, priority)
-            .withColumn("position", F.col("__before") + F.col("__rn")).drop("__before", "__rn"))
+    # One entry per priority level, read as a short array.
+    sizes = d.groupBy(priority).agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct(F.col(priority).alias("p"), "n"))).scalar()
+    before = F.aggregate(F.filter("__sizes", lambda x: x["p"] < F.col(priority)), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    return (numbered(d, [priority], seq, [F.col(seq)], "__rn", 10_000).withColumn("__sizes", sizes)
+            .withColumn("position", before + F.col("__rn")).drop("__sizes", "__rn"))
 
 
 def correlation_keys(wanted: DataFrame, available: DataFrame) -> DataFrame:

@@ -339,6 +339,21 @@ def merge_stages(matrix: DataFrame, heuristic: DataFrame) -> DataFrame:
     return kept.unionByName(new)
 
 
+def merge_initial_access(matrix: DataFrame, heuristic: DataFrame, group: list[str]) -> DataFrame:
+    """One entry point per group out of two candidates; the other one's evidence supports it.
+
+    Rank: request outcome, vector, matrix before heuristic, time. Needs
+    ``outcome_rank``, ``vector_rank``, ``us`` and ``evidence_refs``; the first
+    reference of the winner is the primary one.
+    """
+    u = matrix.withColumn("__h", F.lit(0)).unionByName(heuristic.withColumn("__h", F.lit(1)))
+    row = F.struct(*[c for c in u.columns if c not in (*group, "__h")])
+    g = u.groupBy(*group).agg(F.min_by(row, F.struct("outcome_rank", "vector_rank", "__h", "us")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence_refs")))).alias("all"),
+                              F.array_join(F.array_sort(F.collect_set(F.when(F.col("__h") == 0, "matrix").otherwise("heuristic"))), "+").alias("correlation_source"))
+    primary = F.get("r.evidence_refs", F.lit(0))
+    return g.select(*group, "r.us", "r.outcome_rank", "r.vector_rank", primary.alias("primary_ref"), F.array_remove("all", primary).alias("supporting_refs"), "correlation_source")
+
+
 def attach_join_ids(stages: DataFrame, edges: DataFrame) -> DataFrame:
     """``join_ids`` of the edges that touch a stage's evidence, sorted."""
     refs = edges.select("join_id", F.explode(F.array("left_ref", "right_ref")).alias("ref")).distinct()

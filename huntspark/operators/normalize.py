@@ -220,6 +220,27 @@ def syslog_to_ssh_auth(syslog: DataFrame, success=SSH_SUCCESS_TYPES, failed=SSH_
             .withColumn("user", F.coalesce(first_present(syslog, ["user"]), text_or_null(user))))
 
 
+# How a failed login shows when the row has no result.
+FAIL_MESSAGE = r"(?i)failed password|authentication failure|invalid user|failed publickey"
+
+
+def failed_logins(rows: DataFrame, failed=SSH_FAILED_TYPES) -> DataFrame:
+    """Rows that are failed logins, with host, source and user filled from other columns or the message.
+
+    An explicit result decides; without one the event type or the message does.
+    Rows without time drop out; missing texts become empty, as the wave search expects.
+    """
+    msg = F.coalesce(first_present(rows, ["message"]), F.lit(""))
+    given = F.lower(first_present(rows, ["result"]))
+    derived = F.lower(first_present(rows, ["event_type"])).isin(*failed) | msg.rlike(FAIL_MESSAGE)
+    real = lambda c: F.when(~F.lower(c).isin("null", "localhost"), c)
+    src = F.coalesce(real(first_present(rows, ["src_ip"])), text_or_null(F.regexp_extract(msg, r"from\s+((?:\d{1,3}\.){3}\d{1,3})", 1)))
+    user = F.coalesce(real(first_present(rows, ["user"])), text_or_null(F.regexp_extract(msg, r"for (?:invalid user )?(\S+) from", 1)))
+    host = real(first_present(rows, ["_victim_host", "host", "host_ip", "host_name"]))
+    hit = F.coalesce(given.isin("failed", "failure", "fail"), derived, F.lit(False))
+    return rows.where(hit & F.col("us").isNotNull()).withColumns({"host": F.coalesce(host, src, F.lit("")), "src_ip": F.coalesce(src, F.lit("")), "user": F.coalesce(user, F.lit("")), "result": F.lit("failed")})
+
+
 def add_missing(base: DataFrame, extra: DataFrame, id_col: str) -> DataFrame:
     """``base`` plus the rows of ``extra`` whose id it lacks; ids NULL count as new."""
     new = extra.join(base.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col, "left_anti")

@@ -44,6 +44,22 @@ def dedupe_lateral(stages: DataFrame, order: list) -> DataFrame:
             .select("r.*").unionByName(stages.where(~F.coalesce(lateral, F.lit(False)))))
 
 
+def dedupe_timeline(entries: DataFrame, order: list) -> DataFrame:
+    """Timeline rows once per time, stage, host and evidence list."""
+    return dedupe_first(entries.withColumn("__refs", F.to_json("evidence_refs")), ["us", "stage", "host", "__refs"], order).drop("__refs")
+
+
+def dedupe_execution(stages: DataFrame, order: list) -> DataFrame:
+    """Execution stages once per stage, host, second and set of evidence."""
+    d = stages.withColumns({"__sec": F.floor(F.col("us") / 1_000_000), "__refs": F.to_json(F.array_sort("evidence_refs"))})
+    return dedupe_first(d, ["stage", "host", "__sec", "__refs"], order).drop("__sec", "__refs")
+
+
+def dedupe_logins(logins: DataFrame, order: list) -> DataFrame:
+    """Login rows once per host, source, time, user and native id (NULL counts as empty)."""
+    return dedupe_first(logins, ["host", "src_ip", "us", "user", "native_id"], order)
+
+
 def sliding_rate(df: DataFrame, keys: list[str], us: str, id_col: str, limit: Column, slot_sec: int = 5,
                  slots: int = 61, hold_sec: int = 600) -> DataFrame:
     """Rows of the key so far in the last ``slots`` slots, against ``limit``.
