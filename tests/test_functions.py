@@ -79,3 +79,18 @@ def test_ssh_targets_and_redaction(spark):
 def test_named_groups(spark):
     assert one(spark, "GET /x 200 more", lambda c: X.named_groups(c, r"(?P<m>\w+) (?P<u>\S+) (?P<s>\d+)?")) == {"m": "GET", "u": "/x", "s": "200"}
     assert one(spark, "nothing", lambda c: X.named_groups(c, r"(?P<m>\d+)")) is None
+
+
+def test_argv(spark):
+    from huntspark.functions.argv import split_argv
+
+    got = [r[0] for r in spark.createDataFrame([("a 'b c' d",), ('["x", "y z"]',), ("bad 'quote",), (None,)], "v string").select(split_argv("v")).collect()]
+    assert got == [["a", "b c", "d"], ["x", "y z"], ["bad", "'quote"], None]
+
+
+def test_plugin_connector(spark):
+    from huntspark.sources.plugin import register_connector
+
+    register_connector(spark, "demo_logs", "host string, n int", lambda o: range(int(o["slices"])), lambda o, p: [(f"h{p}", i) for i in range(p)])
+    df = spark.read.format("demo_logs").option("slices", "4").load()
+    assert df.rdd.getNumPartitions() == 4 and sorted(map(tuple, df.collect())) == [("h1", 0), ("h2", 0), ("h2", 1), ("h3", 0), ("h3", 1), ("h3", 2)]
