@@ -6,6 +6,7 @@ import shlex
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def words(text: str | None) -> list[str] | None:
@@ -26,6 +27,6 @@ def words(text: str | None) -> list[str] | None:
         return s.split()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def split_argv(c: pd.Series) -> pd.Series:
     return c.map(words)
