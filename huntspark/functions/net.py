@@ -18,9 +18,8 @@ def is_ipv4(c: Column) -> Column:
 
 def ipv4_to_long(c: Column) -> Column:
     """NULL unless ``c`` is a dotted quad."""
-    p = F.split(c, r"\.")
-    n = sum((p[i].try_cast("bigint") * (256 ** (3 - i)) for i in range(1, 4)), p[0].try_cast("bigint") * 256**3)
-    return F.when(is_ipv4(c), n)
+    number = lambda p: sum((p[i].try_cast("bigint") * (256 ** (3 - i)) for i in range(1, 4)), p[0].try_cast("bigint") * 256**3)
+    return F.when(is_ipv4(c), let(F.split(c, r"\."), number))
 
 
 def _canonical_ipv6(text: Column) -> Column:
@@ -51,9 +50,10 @@ def _canonical_ipv6(text: Column) -> Column:
 
 def normalize_ip(c: Column) -> Column:
     """Canonical address or NULL: outer quotes and blanks go, an IPv4 port goes."""
-    text = F.regexp_replace(c, "^[\\s\"']+|[\\s\"']+$", "")
-    text = F.regexp_replace(text, r"(?<=\.\d{1,3}):[0-9]+$", "")
-    return F.when(is_ipv4(text), text).when(text.contains(":"), _canonical_ipv6(text))
+    bare = F.btrim(c, F.lit(" \t\r\n\"'"))
+    # Most rows are plain IPv4 and meet no regex but the last one.
+    noport = F.when(bare.contains(":") & bare.contains("."), F.regexp_replace(bare, r"(?<=\.\d{1,3}):[0-9]+$", "")).otherwise(bare)
+    return let(noport, lambda t: F.when(is_ipv4(t), t).when(t.contains(":"), _canonical_ipv6(t)))
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -66,18 +66,18 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
 
 def in_cidrs(c: Column, cidrs) -> Column:
     """NULL when ``c`` is no IPv4 address; short literal lists only."""
-    n = ipv4_to_long(c)
-    test = F.lit(False)
-    for cidr in cidrs:
-        lo, hi = cidr_bounds(cidr)
-        test = test | n.between(lo, hi)
-    return F.when(n.isNotNull(), test)
+    def test(n):
+        hit = F.lit(False)
+        for lo, hi in map(cidr_bounds, cidrs):
+            hit = hit | n.between(lo, hi)
+        return F.when(n.isNotNull(), hit)
+
+    return let(ipv4_to_long(c), test)
 
 
 def network_tag(c: Column) -> Column:
     """``private`` / ``global`` / ``invalid``."""
-    inside = in_cidrs(c, PRIVATE_CIDRS)
-    return F.when(inside.isNull(), "invalid").when(inside, "private").otherwise("global")
+    return let(in_cidrs(c, PRIVATE_CIDRS), lambda inside: F.when(inside.isNull(), "invalid").when(inside, "private").otherwise("global"))
 
 
 def network_attributes(ip: Column, country: Column, province: Column, city: Column) -> Column:
