@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .common import let
+
 _AUTH = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 METHODS = "GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS"
 
@@ -38,8 +40,11 @@ def path_query(c: Column) -> Column:
 
 def percent_decode(c: Column) -> Column:
     """One round; malformed escapes and plus signs stay as they are."""
-    safe = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(safe), c)
+    def decode(t):
+        safe = F.regexp_replace(F.replace(t, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+        return F.when(t.contains("%"), F.coalesce(F.try_url_decode(safe), t)).otherwise(t)
+
+    return let(c, decode)
 
 
 def decoded_text(c: Column) -> Column:
@@ -54,11 +59,15 @@ def urls_correlate(a: Column, b: Column) -> Column:
     Without a path: one query inside the other, or two tokens of four or more
     characters of the first found in the second.
     """
-    x, y = decoded_text(path_query(a)), decoded_text(path_query(b))
     path = lambda s: F.regexp_extract(s, r"(?s)^([^?]*)", 1)
     query = lambda s: F.regexp_extract(s, r"(?s)^[^?]*\?(.*)$", 1)
-    qa, qb = query(x), query(y)
-    tokens = F.filter(F.split(qa, r"[&=?'\s]+"), lambda t: F.length(t) >= 4)
-    shared = F.size(F.filter(tokens, lambda t: qb.contains(t)))
-    by_query = (qa != "") & (qb != "") & (qa.contains(qb) | qb.contains(qa) | (shared >= 2))
-    return (x != "") & (y != "") & (path(x) == path(y)) & ((path(x) != "") | by_query)
+    parts = lambda c: let(decoded_text(path_query(c)), lambda t: F.struct(t.alias("t"), path(t).alias("p"), query(t).alias("q")))
+
+    def test(s):
+        x, y = s["x"], s["y"]
+        tokens = F.filter(F.split(x["q"], r"[&=?'\s]+"), lambda t: F.length(t) >= 4)
+        shared = F.size(F.filter(tokens, lambda t: y["q"].contains(t)))
+        by_query = (x["q"] != "") & (y["q"] != "") & (x["q"].contains(y["q"]) | y["q"].contains(x["q"]) | (shared >= 2))
+        return (x["t"] != "") & (y["t"] != "") & (x["p"] == y["p"]) & ((x["p"] != "") | by_query)
+
+    return let(F.struct(parts(a).alias("x"), parts(b).alias("y")), test)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.common import any_of, first_match, text_or_null
+from ..functions.common import any_of, first_match, let, text_or_null
 
 # Built-in line formats: named groups, matched at the start of the line.
 BUILTIN_PARSERS = {
@@ -138,13 +138,23 @@ def suspicious_command(c: Column) -> Column:
     return any_of(*[low.contains(w) for w in SUSPICIOUS_WORDS])
 
 
+WINDOWS_XML = ("System STRUCT<EventID: STRING, Computer: STRING, EventRecordID: STRING, Channel: STRING, Provider: STRUCT<_Name: STRING>, TimeCreated: STRUCT<_SystemTime: STRING>>, "
+               "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>")
+
+
 def parse_windows_xml(df: DataFrame, xml: str) -> DataFrame:
-    """``event_code``, ``computer``, ``record_id`` and the data fields as a map."""
-    x = lambda p: text_or_null(F.xpath_string(F.col(xml), F.lit(p)))
-    names, values = (F.xpath(F.col(xml), F.lit(p)) for p in ("/Event/EventData/Data/@Name", "/Event/EventData/Data/text()"))
-    data = F.when(F.size(names) == F.size(values), F.map_from_arrays(names, values))
-    return df.withColumns({"event_code": x("/Event/System/EventID").try_cast("int"), "computer": x("/Event/System/Computer"),
-                           "record_id": x("/Event/System/EventRecordID").try_cast("bigint"), "data": data})
+    """``event_code``, ``computer``, ``record_id``, ``channel``, ``provider``, ``time_created`` and the data fields as a map.
+
+    One parse per record; fields without a name are called Data1, Data2, … and
+    the first of equal names counts.
+    """
+    d = df.withColumn("__x", F.from_xml(F.col(xml), WINDOWS_XML))
+    named = F.transform(F.coalesce("__x.EventData.Data", F.array().cast("array<struct<_Name:string,_VALUE:string>>")),
+                        lambda e, i: F.struct(F.coalesce(text_or_null(e["_Name"]), F.concat(F.lit("Data"), (i + 1).cast("string"))).alias("k"), e["_VALUE"].alias("v")))
+    once = lambda es: F.map_from_entries(F.filter(es, lambda e, i: F.array_position(F.transform(F.slice(es, 1, i), lambda p: p["k"]), e["k"]) == 0))
+    x = lambda p: F.trim(text_or_null(F.col(f"__x.{p}")))
+    return d.withColumns({"event_code": x("System.EventID").try_cast("int"), "computer": x("System.Computer"), "record_id": x("System.EventRecordID").try_cast("bigint"), "channel": x("System.Channel"),
+                          "provider": x("System.Provider._Name"), "time_created": x("System.TimeCreated._SystemTime"), "data": let(named, once)}).drop("__x")
 
 
 def windows_risk_events(df: DataFrame) -> DataFrame:

@@ -263,3 +263,14 @@ def test_normalize_unknown_repair(spark):
         N.repair_events(spark.range(1), [{"type": "zz"}])
     d = spark.createDataFrame([(("sec", "x"), 1)], "a struct<b:string,c:string>, n int")
     assert N.mask_nested(d, "a.b", "redact").first().a.b == "[REDACTED]"
+
+
+def test_windows_xml(spark):
+    from huntspark.operators.parsing import parse_windows_xml
+
+    xml = ('<Event xmlns="http://x"><System><Provider Name="P"/><EventID>4104</EventID><TimeCreated SystemTime="2024-01-01T00:00:00Z"/><EventRecordID>7</EventRecordID><Computer> c </Computer></System>'
+           '<EventData><Data Name="A">1</Data><Data>two</Data><Data Name="A">3</Data></EventData></Event>')
+    df = spark.createDataFrame([(1, xml), (2, "<Event><System><EventID>x</EventID></System></Event>"), (3, None)], "id bigint, x string")
+    got = {r.id: (r.event_code, r.computer, r.record_id, r.provider, r.time_created, r.data) for r in parse_windows_xml(df, "x").collect()}
+    assert got[1] == (4104, "c", 7, "P", "2024-01-01T00:00:00Z", {"A": "1", "Data2": "two"})
+    assert got[2][0] is None and got[3][:2] == (None, None)
