@@ -3,13 +3,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, url_templates
+from . import fingerprints, mixing, url_templates, vectors
 from .common import table
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+def op2_scaled_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprinted(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op3_source_mix(spark: SparkSession, d: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
@@ -24,5 +29,11 @@ def op4_url_templates(spark: SparkSession, d: str) -> DataFrame:
     return url_templates.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "bad_share")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_url_templates)}
+def op6_posting_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op2_scaled_sketch, op3_source_mix, op4_url_templates, op6_posting_lists)}
 ORACLES: dict[str, str] = {}
