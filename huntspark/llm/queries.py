@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, url_templates, vectors
+from . import chat, fingerprints, mixing, url_templates, vectors
 from .common import table
 
 #: The rules of the url query: verdict, host, path.
@@ -35,5 +35,10 @@ def op6_posting_lists(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_scaled_sketch, op3_source_mix, op4_url_templates, op6_posting_lists)}
+def op10_role_repair(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations with repaired roles, rendered turn by turn."""
+    return chat.repaired(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_scaled_sketch, op3_source_mix, op4_url_templates, op6_posting_lists, op10_role_repair)}
 ORACLES: dict[str, str] = {}
