@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, mixing, url_templates, vectors
+from . import chat, fingerprints, mixing, packing, url_templates, vectors
 from .common import table
 
 #: The rules of the url query: verdict, host, path.
@@ -29,6 +29,18 @@ def op4_url_templates(spark: SparkSession, d: str) -> DataFrame:
     return url_templates.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "bad_share")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_binary_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces of binary length, with a checksum of their ids."""
+    pieces = packing.packed(table(spark, d, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_posting_lists(spark: SparkSession, d: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -40,5 +52,5 @@ def op10_role_repair(spark: SparkSession, d: str) -> DataFrame:
     return chat.repaired(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_scaled_sketch, op3_source_mix, op4_url_templates, op6_posting_lists, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op10_role_repair)}
 ORACLES: dict[str, str] = {}
