@@ -8,8 +8,10 @@ centroids. A query takes the lists whose distance is within a ratio of the
 best, and more in order of distance until they hold enough vectors.
 
 Inner products become distances by one more coordinate that gives all vectors
-the same length. Posting lists are cut into blocks of bounded size, to each of
-which the query is sent, so a dense list is shared by many tasks. Of equal
+the same length. Neighbouring lists share a shard, so that a query is sent
+once, with the lists it wants, to each shard it touches and returns from there
+its best rows only; a shard above a bounded size is cut into blocks, to each of
+which the query is sent, so dense lists are shared by many tasks. Of equal
 vectors only as many as a query could return (smallest ids first) are indexed
 as candidates; the rest cannot appear in any result.
 """
@@ -26,55 +28,58 @@ SAMPLE_ROWS = 50_000
 #: Rows a list should hold, and how many lists there are at most (their centroids are sent to every task).
 LIST_ROWS = 256
 MAX_LISTS = 16_384
-#: Rows of a list that are compared in one task.
-BLOCK_ROWS = 4_096
+#: Rows that lie together in a shard, about; and rows that are compared in one group at most, about.
+SHARD_ROWS = 8_192
+BLOCK_ROWS = 16_384
 #: Replication: as many lists at most, within this ratio of the nearest.
 REPLICAS = 4
 BORDER_RATIO = 1.05
 #: Search: lists within this ratio of the nearest.
-PROBE_RATIO = 1.15
+PROBE_RATIO = 1.13
 
 
 class Centroids:
-    """Centroids with a graph of nearest neighbours, searched best first for many points at once."""
+    """Centroids with a graph of nearest neighbours, searched for many points at once."""
 
     def __init__(self, points: np.ndarray, degree: int = 24, seeds: int = 64):
         self.points = np.ascontiguousarray(points, dtype=np.float64)
         n = len(self.points)
-        self.near = np.empty((n, min(degree, max(n - 1, 1))), dtype=np.int64)
-        for at in range(0, n, 1024):
-            d = self._to(self.points[at:at + 1024])
+        k = min(degree, n - 1)
+        self.near = np.zeros((n, k), dtype=np.int64)
+        for at in range(0, n if k else 0, 1024):
+            d = self._to(self.points[at:at + 1024], np.arange(n))
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-            k = self.near.shape[1]
-            self.near[at:at + 1024] = np.argpartition(d, min(k, n - 1) - 1 if n > 1 else 0, axis=1)[:, :k] if n > 1 else 0
+            self.near[at:at + 1024] = np.argpartition(d, k - 1, axis=1)[:, :k]
         self.seeds = np.unique(np.linspace(0, n - 1, min(seeds, n)).astype(np.int64))
 
-    def _to(self, x: np.ndarray) -> np.ndarray:
-        d = (x * x).sum(1)[:, None] - 2 * (x @ self.points.T) + (self.points * self.points).sum(1)[None, :]
-        return np.sqrt(np.maximum(d, 0))
-
-    def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lists and distances, nearest first, of up to ``width`` lists per row."""
-        width = min(width, len(self.points))
-        beam = np.tile(self.seeds, (len(x), 1))
-        dist = np.sqrt(np.maximum(0, ((x[:, None, :] - self.points[beam]) ** 2).sum(2)))
-        before = np.full(len(x), -1.0)
+    def _to(self, x: np.ndarray, which: np.ndarray) -> np.ndarray:
+        c = self.points[which]
+        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None, :]))
+
+    def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the lists that the search has met (others infinite), and the least per row.
+
+        From the seeds the search goes on to the graph neighbours of every list
+        that lies within ``ratio`` of the best one met so far, until all such
+        lists are expanded.
+        """
+        rows, n = len(x), len(self.points)
+        dist = np.full((rows, n), np.inf)
+        dist[:, self.seeds] = self._to(x, self.seeds)
+        done = np.zeros((rows, n), bool)
+        best = dist.min(axis=1)
         while True:
-            best = np.argsort(dist, axis=1, kind="stable")[:, :width]
-            beam, dist = np.take_along_axis(beam, best, 1), np.take_along_axis(dist, best, 1)
-            now = np.where(np.isfinite(dist), dist, 0).sum(1) - 1e6 * np.isfinite(dist).sum(1)
-            if np.array_equal(now, before):
-                return beam, dist
-            before = now
-            wide = np.concatenate([beam, self.near[beam].reshape(len(x), -1)], axis=1)
-            wide.sort(axis=1)
-            again = np.concatenate([np.zeros((len(x), 1), bool), wide[:, 1:] == wide[:, :-1]], axis=1)
-            dist = np.empty(wide.shape)
-            for c in range(0, wide.shape[1], 256):
-                part = self.points[wide[:, c:c + 256]]
-                dist[:, c:c + 256] = np.sqrt(np.maximum(0, ((x[:, None, :] - part) ** 2).sum(2)))
-            dist[again] = np.inf
-            beam = wide
+            r, c = np.nonzero((dist <= ratio * best[:, None]) & ~done)
+            if not len(r):
+                return dist, best
+            done[r, c] = True
+            near = (r[:, None] * n + self.near[c]).ravel()
+            near = np.unique(near[~np.isfinite(dist.ravel()[near])])
+            for at in range(0, len(near), 50_000):
+                r, c = np.divmod(near[at:at + 50_000], n)
+                d = x[r] - self.points[c]
+                dist[r, c] = np.sqrt(np.einsum("ij,ij->i", d, d))
+            best = dist.min(axis=1)
 
 
 def fitted(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -117,7 +122,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS,
-            max_lists: int = MAX_LISTS, block_rows: int = BLOCK_ROWS, replicas: int = REPLICAS, border: float = BORDER_RATIO, ratio: float = PROBE_RATIO) -> DataFrame:
+            max_lists: int = MAX_LISTS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, replicas: int = REPLICAS, border: float = BORDER_RATIO, ratio: float = PROBE_RATIO) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products found per query.
 
     Queries are the rows for which ``is_query`` holds, candidates all rows but
@@ -150,6 +155,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     lists = int(max(1, min(max_lists, count // list_rows, len(sample))))
     centres = fitted(lifted(_matrix(sample["_v"])), lists)
     graph = spark.sparkContext.broadcast(Centroids(centres))
+    # Lists near each other share a shard.
+    groups = fitted(centres, max(1, len(centres) * list_rows // shard_rows))
+    shard_of = np.argmin((groups * groups).sum(1)[None, :] - 2 * (centres @ groups.T), axis=1)
 
     def post(batches):
         index = graph.value
@@ -157,11 +165,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at:at + 512]
                 x = lifted(_matrix(part["_v"]))
-                found, dist = index.search(x, max(16, replicas * 4))
+                dist, best = index.within(x, border)
+                found = np.argsort(dist, axis=1, kind="stable")[:, :4 * replicas]
+                dist = np.take_along_axis(dist, found, 1)
                 chosen = np.zeros(found.shape, bool)
                 chosen[:, 0] = True
                 for j in range(1, found.shape[1]):
-                    near = np.isfinite(dist[:, j]) & (dist[:, j] <= border * dist[:, 0]) & (chosen.sum(1) < replicas)
+                    near = (dist[:, j] <= border * best) & (chosen.sum(1) < replicas)
                     for i in range(j):  # not behind a list that is chosen already
                         between = np.sqrt(((index.points[found[:, i]] - index.points[found[:, j]]) ** 2).sum(1))
                         near &= ~(chosen[:, i] & (between < dist[:, j] * 0.5))
@@ -172,7 +182,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     posted = cut_lineage(points.select("_id", "_v").mapInPandas(post, "_list int, _id bigint, _v array<double>"))
     sizes = {r["_list"]: r["n"] for r in posted.groupBy("_list").agg(F.count("*").alias("n")).collect()}  # at most max_lists rows
     held = np.array([sizes.get(i, 0) for i in range(len(centres))], dtype=np.int64)
-    blocks = np.maximum(1, -(-held // block_rows))
+    blocks = np.maximum(1, -(-np.bincount(shard_of, weights=held).astype(np.int64) // block_rows))
     need = (k + 1) * replicas
 
     def probe(batches):
@@ -182,45 +192,49 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                 part = pdf.iloc[at:at + 128]
                 x = _matrix(part["_v"])
                 x = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
-                width = 64
-                while True:
-                    found, dist = index.search(x, width)
-                    good = np.isfinite(dist)
-                    close = good & (dist <= ratio * dist[:, :1])
-                    rows_so_far = np.cumsum(np.where(good, held[found], 0), axis=1)
-                    take = close | (good & (rows_so_far - held[found] < need))
-                    # Wider while the ratio reaches the edge of what was searched, or too few rows are held.
-                    if width >= len(index.points) or not ((close[:, -1] & good[:, -1]) | (rows_so_far[:, -1] < need)).any():
+                dist, best = index.within(x, ratio)
+                take, wide = dist <= ratio * best[:, None], ratio
+                # Where the lists hold too few rows the ratio grows, at last to all lists.
+                while (few := np.flatnonzero((take * held[None, :]).sum(1) < need)).size:
+                    wide *= 1.5
+                    if wide > 20:
+                        take[few] = True
                         break
-                    width *= 2
-                if width >= len(index.points) and (rows_so_far[:, -1] < need).any():
-                    found, take = np.tile(np.arange(len(index.points)), (len(x), 1)), np.ones((len(x), len(index.points)), bool)
-                r, c = np.nonzero(take)
-                lists_of = found[r, c]
-                n = blocks[lists_of]
-                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                r, lists_of = np.repeat(r, n), np.repeat(lists_of, n)
-                yield pd.DataFrame({"_list": lists_of.astype(np.int32), "_block": block.astype(np.int32), "_q": part["_id"].to_numpy()[r], "_qv": part["_v"].to_numpy()[r]})
-
-    asked = rows.filter("_query").select("_id", "_v").mapInPandas(probe, "_list int, _block int, _q bigint, _qv array<double>")
-
-    @F.pandas_udf("int")
-    def block_of(which: pd.Series, ids: pd.Series) -> pd.Series:
-        mixed = (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        return pd.Series((mixed.astype(np.int64) % blocks[which.to_numpy()]).astype(np.int32))
-
-    stored = posted.withColumn("_block", block_of("_list", "_id"))
+                    more, nearest_of = index.within(x[few], wide)
+                    take[few] = more <= wide * nearest_of[:, None]
+                out = []
+                for row in range(len(x)):
+                    wanted = np.flatnonzero(take[row])
+                    places = shard_of[wanted]
+                    for shard in np.unique(places):
+                        own = wanted[places == shard].astype(np.int32)
+                        out += [(int(shard), block, part["_id"].iat[row], part["_v"].iat[row], own) for block in range(blocks[shard])]
+                yield pd.DataFrame(out, columns=["_shard", "_block", "_q", "_qv", "_lists"])
+
+    asked = rows.filter("_query").select("_id", "_v").mapInPandas(probe, "_shard int, _block int, _q bigint, _qv array<double>, _lists array<int>")
+
+    @F.pandas_udf("_shard int, _block int")
+    def place_of(which: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        shard = shard_of[which.to_numpy()]
+        spread = (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return pd.DataFrame({"_shard": shard.astype(np.int32), "_block": (spread.astype(np.int64) % blocks[shard]).astype(np.int32)})
+
+    stored = posted.withColumn("_at", place_of("_list", "_id")).select("_at._shard", "_at._block", "_list", "_id", "_v")
 
     def compare(_, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            cv, ids = _matrix(c["_v"]), c["_id"].to_numpy()
+            cv, ids, lists_of = _matrix(c["_v"]), c["_id"].to_numpy(), c["_list"].to_numpy()
             for at in range(0, len(q), 256):
                 part = q.iloc[at:at + 256]
                 qv, own = _matrix(part["_qv"]), part["_q"].to_numpy()
+                wanted = np.zeros((len(part), len(centres)), bool)
+                for i, w in enumerate(part["_lists"]):
+                    wanted[i, w] = True
                 rough = qv @ cv.T
-                rough[own[:, None] == ids[None, :]] = -np.inf
-                n = min(k, len(ids))
+                rough[(own[:, None] == ids[None, :]) | ~wanted[:, lists_of]] = -np.inf
+                # A row may lie in several lists of the shard.
+                n = min(k * replicas, len(ids))
                 edge = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n]
                 # The product may round otherwise than the exact score: what could tie stays.
                 slack = 1e-9 * (1 + longest)
@@ -228,12 +242,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                 score = exact_scores(qv[r], cv[j])
                 order = np.lexsort((ids[j], -score, r))
                 r, j, score = r[order], j[order], score[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                keep = place < k
+                fresh = np.append(True, (r[1:] != r[:-1]) | (ids[j[1:]] != ids[j[:-1]]))[:len(r)]
+                r, j, score = r[fresh], j[fresh], score[fresh]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
                 out.append(pd.DataFrame({"query_id": own[r[keep]], "vec_id": ids[j[keep]], "score": score[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    pairs = asked.groupBy("_list", "_block").cogroup(stored.groupBy("_list", "_block")).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
+    pairs = asked.groupBy("_shard", "_block").cogroup(stored.groupBy("_shard", "_block")).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
     best = pairs.dropDuplicates(["query_id", "vec_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
