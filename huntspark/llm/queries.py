@@ -3,13 +3,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, mixing, packing, url_templates, vectors
-from .common import table
+from . import chat, fingerprints, mixing, packing, token_files, url_templates, vectors, warc
+from .common import cut_lineage, shared_dir, table
 
 #: The rules of the url query: verdict, host, path.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+def op1_warc_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as its WARC record says, after archives of all pages were written and read."""
+    path = shared_dir(spark, "warc")
+    warc.write(warc.records(table(spark, d, "pages").select("page_id", "url", "html")), path)
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).try_cast("bigint")
+    response = F.col("record_type") == "response"
+    found = warc.read(spark, path)
+    found = cut_lineage(found.select(page(F.col("record_id")).alias("page_id"), "record_type", page(F.col("refers_to")).alias("refers_to"),
+                                     F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+                                     F.when(response, F.octet_length("payload").cast("bigint")).alias("own_bytes"), F.col("offset").alias("record_offset"), "file"))
+    sizes = found.filter(response).groupBy("payload_digest").agg(F.max("own_bytes").alias("digest_bytes"))
+    return found.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("own_bytes", "digest_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "record_offset")
+
+
 def op2_scaled_sketch(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.fingerprinted(table(spark, d, "documents").select("doc_id", "text"))
@@ -47,10 +61,17 @@ def op6_posting_lists(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_mixed_range_coder(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's ids as the coded files hold them."""
+    path = shared_dir(spark, "tokens")
+    token_files.write(table(spark, d, "documents").select("doc_id", "text"), path, vocabulary("byte_bpe_50k.json"))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_role_repair(spark: SparkSession, d: str) -> DataFrame:
     """All conversations with repaired roles, rendered turn by turn."""
     return chat.repaired(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op9_mixed_range_coder, op10_role_repair)}
 ORACLES: dict[str, str] = {}
