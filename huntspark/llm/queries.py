@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, mixing, packing, token_files, url_templates, vectors, warc
+from . import chat, fingerprints, jaccard_join, mixing, packing, token_files, url_templates, vectors, warc
 from .common import cut_lineage, shared_dir, table
 
 #: The rules of the url query: verdict, host, path.
@@ -61,6 +61,11 @@ def op6_posting_lists(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_sparse_product(spark: SparkSession, d: str) -> DataFrame:
+    """Size of every document's shingle set and the component it is linked to."""
+    return jaccard_join.near_groups(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op9_mixed_range_coder(spark: SparkSession, d: str) -> DataFrame:
     """Every document's ids as the coded files hold them."""
     path = shared_dir(spark, "tokens")
@@ -73,5 +78,5 @@ def op10_role_repair(spark: SparkSession, d: str) -> DataFrame:
     return chat.repaired(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op9_mixed_range_coder, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op8_sparse_product, op9_mixed_range_coder, op10_role_repair)}
 ORACLES: dict[str, str] = {}
