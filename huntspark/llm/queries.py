@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, jaccard_join, mixing, packing, token_files, url_templates, vectors, warc
+from . import chat, fingerprints, jaccard_join, kneser_ney, mixing, packing, token_files, url_templates, vectors, warc
 from .common import cut_lineage, shared_dir, table
 
 #: The rules of the url query: verdict, host, path.
@@ -61,6 +61,18 @@ def op6_posting_lists(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def trusted_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are labelled good and not toxic, by all their labels."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id")
+
+
+def op7_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity of every document, the limit of its language, and whether it is kept."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return kneser_ney.judged(docs, trusted_ids(spark, d))
+
+
 def op8_sparse_product(spark: SparkSession, d: str) -> DataFrame:
     """Size of every document's shingle set and the component it is linked to."""
     return jaccard_join.near_groups(table(spark, d, "documents").select("doc_id", "text"))
@@ -78,5 +90,5 @@ def op10_role_repair(spark: SparkSession, d: str) -> DataFrame:
     return chat.repaired(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op8_sparse_product, op9_mixed_range_coder, op10_role_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op7_kneser_ney, op8_sparse_product, op9_mixed_range_coder, op10_role_repair)}
 ORACLES: dict[str, str] = {}
