@@ -137,7 +137,7 @@ def split_tree(counts: DataFrame, draws: int, shards: int, seed: int) -> DataFra
 def block_draws(sizes: DataFrame, targets: DataFrame, block_words: int, blocks_per_shard: int, seed: int) -> DataFrame:
     """One row per source and block that the mix draws, with its draws.
 
-    ``draws`` lists ``(epoch, shard, quota)``; ``quota`` is NULL for a whole
+    ``_mix_draws`` lists ``(epoch, shard, quota)``; ``quota`` is NULL for a whole
     block and else the words still wanted. At most ``repeats + 1`` entries.
     """
     keyed = in_blocks(sizes, targets, block_words)
@@ -164,7 +164,7 @@ def block_draws(sizes: DataFrame, targets: DataFrame, block_words: int, blocks_p
     leaves = leaves.withColumn("upto", upto).filter("count > 0")
     placed = leaves.select(F.col("place").alias("_mix_place"), "shard", F.explode(F.sequence(F.col("upto") - F.col("count"), F.col("upto") - 1)).alias("slot"))
     drawn = drawn.join(placed, ["_mix_place", "slot"])
-    return cut_lineage(drawn.groupBy("_mix_place", "_mix_block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "quota"))).alias("draws")))
+    return cut_lineage(drawn.groupBy("_mix_place", "_mix_block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "quota"))).alias("_mix_draws")))
 
 
 def in_blocks(rows: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
@@ -181,14 +181,15 @@ def planned(docs: DataFrame, source: str = "source", text: str = "text", key: st
     the row; documents that it does not take keep their row with an empty list.
     NULL texts have no words and are never taken. Equal rows fall into one
     block and may stand for each other. A NULL source is a source of its own.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Other columns stay; names that begin
+    with ``_mix_`` are reserved.
     """
     rows = measured(docs, source, text, key, seed)
     sizes = cut_lineage(rows.select("_mix_source", "_mix_size", "_mix_hash"))
     targets = cut_lineage(source_targets(sizes, weights, repeats))
     draws = block_draws(sizes, targets, block_words, blocks_per_shard, seed)
     # On the border block of a source (one block each) documents are taken in hash order until the words are reached.
-    border = draws.filter(F.exists("draws", lambda x: x["quota"].isNotNull())).select("_mix_place", "_mix_block")
+    border = draws.filter(F.exists("_mix_draws", lambda x: x["quota"].isNotNull())).select("_mix_place", "_mix_block")
     upto = Window.partitionBy("_mix_place", "_mix_block").orderBy("_mix_hash").rangeBetween(Window.unboundedPreceding, -1)
     edge = in_blocks(sizes, targets, block_words).join(border, ["_mix_place", "_mix_block"]).groupBy("_mix_place", "_mix_block", "_mix_hash").agg(
         F.sum("_mix_size").alias("_mix_sum"), F.count("*").alias("_mix_copies"))
@@ -198,9 +199,9 @@ def planned(docs: DataFrame, source: str = "source", text: str = "text", key: st
     size, copies = F.col("_mix_size"), F.coalesce("_mix_copies", F.lit(1))
     # Equal rows share what is left evenly, rounded down.
     share = lambda quota: F.greatest(F.lit(0), F.least(size, F.floor((quota - F.col("_mix_before")) / copies))).cast("bigint")
-    takes = F.transform(F.coalesce("draws", F.array().cast("array<struct<epoch:bigint,shard:bigint,quota:bigint>>")), lambda x: F.struct(
+    takes = F.transform(F.coalesce("_mix_draws", F.array().cast("array<struct<epoch:bigint,shard:bigint,quota:bigint>>")), lambda x: F.struct(
         x["epoch"].alias("epoch"), x["shard"].alias("shard"), F.when(x["quota"].isNull(), size).otherwise(share(x["quota"])).alias("words")))
-    return rows.withColumn("_mix_takes", F.filter(takes, lambda x: x["words"] > 0)).drop("_mix_before", "_mix_copies", "draws")
+    return rows.withColumn("_mix_takes", F.filter(takes, lambda x: x["words"] > 0)).drop("_mix_before", "_mix_copies", "_mix_draws")
 
 
 def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", n_chars: str | None = "n_chars", seed: int = 7, **how) -> DataFrame:

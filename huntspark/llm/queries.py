@@ -19,9 +19,9 @@ def op1_warc_chain(spark: SparkSession, d: str) -> DataFrame:
     found = warc.read(spark, path)
     found = cut_lineage(found.select(page(F.col("record_id")).alias("page_id"), "record_type", page(F.col("refers_to")).alias("refers_to"),
                                      F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-                                     F.when(response, F.octet_length("payload").cast("bigint")).alias("own_bytes"), F.col("offset").alias("record_offset"), "file"))
+                                     F.when(response, F.octet_length("payload").cast("bigint")).alias("own_bytes")))
     sizes = found.filter(response).groupBy("payload_digest").agg(F.max("own_bytes").alias("digest_bytes"))
-    return found.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("own_bytes", "digest_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "record_offset")
+    return found.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("own_bytes", "digest_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def op2_scaled_sketch(spark: SparkSession, d: str) -> DataFrame:
@@ -91,4 +91,57 @@ def op10_role_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op7_kneser_ney, op8_sparse_product, op9_mixed_range_coder, op10_role_repair)}
-ORACLES: dict[str, str] = {}
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(encode(coalesce(html, '')))) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), 'string_agg', '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
+def _op4_sql(depth: int = 4, support: int = 20, z: float = 2.0, weight: float = 10.0, threshold: float = 0.5) -> str:
+    rest = "substr(url, strpos(url, '://') + 3)"
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    pick = lambda of: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{of(v, h, p)}'" for v, h, p in longest) + " END"
+    upper, lower = url_templates.UPPER, url_templates.LOWER
+    out = [f"""u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{upper}', '{lower}') ELSE '' END AS host,
+        CASE WHEN strpos(url, '://') > 0 THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages)""",
+           f"r AS (SELECT *, {pick(lambda v, h, p: h + p)} AS rule, {pick(lambda v, h, p: v)} AS judged FROM u)",
+           """t0 AS (SELECT host, path, count(*) AS pages, count(*) FILTER (WHERE judged = 'allow') AS good, count(*) FILTER (WHERE judged = 'block') AS bad,
+        string_split(regexp_replace(path, '^/', ''), '/') AS segs, '' AS template FROM r GROUP BY host, path)"""]
+    for k in range(1, depth + 1):
+        out += [f"s{k} AS (SELECT *, segs[{k}] AS seg FROM t{k - 1})",
+                f"n{k} AS (SELECT host, template, sum(good) AS g, sum(bad) AS b FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL)",
+                f"""c{k} AS (SELECT host, template, seg, sum(pages) AS pages, sum(good) AS good, sum(bad) AS bad FROM s{k}
+        WHERE seg IS NOT NULL AND NOT regexp_full_match(seg, '[0-9]*') GROUP BY ALL HAVING sum(pages) >= {support})""",
+                f"""k{k} AS (SELECT host, template, seg, true AS stays FROM (SELECT *, good + bad AS n, g + b - good - bad AS rest, (b + 1) / (g + b + 2) AS pooled FROM c{k} JOIN n{k} USING (host, template))
+        WHERE rest = 0 OR abs((bad + 1) / (n + 2) - (b - bad + 1) / (rest + 2)) > {z} * sqrt(pooled * (1 - pooled) * (1 / (n + 2) + 1 / (rest + 2))))""",
+                f"""t{k} AS (SELECT s.host, s.path, s.pages, s.good, s.bad, s.segs, s.template || CASE WHEN s.seg IS NULL THEN '' WHEN k.stays THEN '/' || s.seg ELSE '/*' END AS template
+        FROM s{k} s LEFT JOIN k{k} k ON s.host = k.host AND s.template = k.template AND s.seg = k.seg)"""]
+    return f"""WITH {", ".join(out)},
+known AS (SELECT host, path, good, bad, template || CASE WHEN len(segs) > {depth} THEN '/**' ELSE '' END AS template FROM t{depth}),
+base AS (SELECT coalesce(sum(bad) / nullif(sum(good) + sum(bad), 0), 0) AS base FROM known),
+hosts AS (SELECT host, (sum(bad) + {weight} * any_value(base)) / (sum(good) + sum(bad) + {weight}) AS share FROM known, base GROUP BY host),
+per AS (SELECT host, template, (sum(bad) + {weight} * any_value(share)) / (sum(good) + sum(bad) + {weight}) AS bad_share FROM known JOIN hosts USING (host) GROUP BY host, template)
+SELECT page_id, host, path, rule, coalesce(judged, CASE WHEN bad_share >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict, template, bad_share
+FROM r JOIN known USING (host, path) JOIN per USING (host, template)"""
+
+
+OP8_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.d)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, m.r AS component_id FROM documents LEFT JOIN n USING (doc_id)
+JOIN (SELECT d, min(r) AS r FROM c GROUP BY d) m ON m.d = documents.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_chain": OP1_SQL, "op4_url_templates": _op4_sql(), "op8_sparse_product": OP8_SQL}
