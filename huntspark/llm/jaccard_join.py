@@ -8,12 +8,15 @@ keep it sparse:
    here on), and shingles that are frequent in a batch. The most frequent ones
    (at most ``HOT``, so their broadcast is bounded) come last in the order of
    columns, which only affects speed;
-2. the first columns of each row: two sets with a similarity of t share one of
-   the first n - ceil(t n) + 1 columns of each, so only those can hold the
-   candidates. Columns are dealt to shards; a column with several rows names
-   its least row, and every row that meets it in some column joins the group
-   of that least row. Columns that share their least row make one group, so
-   near copies, which share very many columns, meet a few times only;
+2. the first HEAD per cent of each row's columns, dealt to shards. Of two rows
+   that reach the bound, the one whose head ends first has at least as many of
+   the other's columns in it as HEAD exceeds what the sizes let it miss: a
+   count that is known from the size. Only columns with several rows go on, and
+   only rows with that many such columns; shared passages are too short for it.
+   A column names the least of its rows, and every row that meets it in some
+   column joins the group of that least row. Columns that share their least row
+   make one group, so near copies, which share very many columns, meet a few
+   times only;
 3. the whole sets of the rows in groups (a filter of fixed size skips most
    others before the shuffle). A group is a block of the product; a large
    group is cut into blocks, each pair of which is a task. A task adds up
@@ -38,6 +41,8 @@ from .components import components
 WIDTH = 5
 #: The bound: 100 * overlap >= PERCENT * union.
 PERCENT = 75
+#: Share of a row's columns, in per cent, in which candidates are sought; above 100 - PERCENT.
+HEAD = 40
 #: Frequent shingles that come last; how often one occurs in a batch to be counted.
 HOT, OFTEN = 200_000, 4
 #: Sets of a block of a large group.
@@ -81,12 +86,7 @@ def measured(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFr
     return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, "kind int, doc_id bigint, n bigint, id bigint")
 
 
-def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
-    """Ceil of the share of a set that a linked one must have."""
-    return -(-n * percent // 100)
-
-
-def column_entries(docs: DataFrame, text: str, hot: np.ndarray, shards: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def column_entries(docs: DataFrame, text: str, hot: np.ndarray, shards: int, width: int = WIDTH, head: int = HEAD) -> DataFrame:
     """Pass 2: ``shard, columns, ids``: the first columns of new sets, packed per shard."""
     hot = np.sort(hot.astype(np.uint64))
 
@@ -104,7 +104,7 @@ def column_entries(docs: DataFrame, text: str, hot: np.ndarray, shards: int, wid
                     row, own = row[order], own[order]
                 length = np.where(new, n, 0)
                 begin = np.cumsum(length) - length
-                early = np.arange(len(row)) - begin[row] < (n - _least_shared(n, percent) + 1)[row]
+                early = np.arange(len(row)) - begin[row] < (-(-n * head // 100))[row]
                 row, own = row[early], own[early]
                 shard = (own % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
@@ -117,17 +117,22 @@ def column_entries(docs: DataFrame, text: str, hot: np.ndarray, shards: int, wid
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "shard int, columns binary, ids binary")
 
 
-def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The columns of a shard with several sets: each set with the least set it meets."""
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The columns of a shard that several sets have, and these sets.
+
+    Columns are told apart by 32 bits within a shard: where two are taken for
+    one, sets meet for nothing.
+    """
     column = np.concatenate([np.frombuffer(b, "<u4") for b in pdf["columns"]])
     who = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["ids"]])
-    order = np.argsort(column)
+    order = np.lexsort((who, column))
     column, who = column[order], who[order]
-    begins = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
-    least = np.repeat(np.minimum.reduceat(who, begins), np.diff(np.append(begins, len(who))))
-    other = least != who
-    out = pd.DataFrame({"least": least[other], "id": who[other]}).drop_duplicates()
-    return out
+    fresh = np.append(True, (column[1:] != column[:-1]) | (who[1:] != who[:-1]))
+    column, who = column[fresh], who[fresh]
+    begins = np.append(True, column[1:] != column[:-1])
+    times = np.diff(np.append(np.flatnonzero(begins), len(column)))
+    keep = np.repeat(times > 1, times)
+    return pd.DataFrame({"column": (column[keep].astype(np.int64) << 24) | int(pdf["shard"].iloc[0]), "id": who[keep]})
 
 
 def wanted_sets(docs: DataFrame, text: str, bits: np.ndarray, width: int = WIDTH) -> DataFrame:
@@ -261,8 +266,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     hot = often.select("id").toPandas()["id"].to_numpy(np.int64)
     n = partitions(docs.sparkSession)
     shards = max(1, 2 * n)
-    entries = column_entries(docs, text, hot, shards, width, percent)
-    met = cut_lineage(entries.groupBy("shard").applyInPandas(_groups, "least bigint, id bigint").dropDuplicates())
+    entries = column_entries(docs, text, hot, shards, width)
+    shared = cut_lineage(entries.groupBy("shard").applyInPandas(_shared, "column bigint, id bigint"))
+    sizes = rows.filter("kind = 0").groupBy("id").agg(F.max("n").alias("n"))
+    # A partner has at least PERCENT of this row's size, and shares HEAD + PERCENT - 100 per cent of its own.
+    need = F.floor(F.col("n") * percent / 100 * (HEAD + percent - 100) / 100)
+    able = cut_lineage(shared.groupBy("id").count().join(sizes, "id").filter(F.col("count") >= need).select("id"))
+    lists = cut_lineage(shared.join(able, "id"))
+    least = lists.groupBy("column").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("column", "least")
+    met = cut_lineage(lists.join(least, "column").filter("id <> least").select("least", "id").distinct())
     heads = met.select("least").distinct().select("least", F.col("least").alias("id"))
     members = met.unionByName(heads)
     large = members.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
