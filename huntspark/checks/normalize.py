@@ -296,7 +296,7 @@ UNION ALL SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'acce
 
 def p20_failed(spark, d):
     e = evidence(spark, d).select("event_id", F.expr("IF(k % 17 = 0, NULL, us)").alias("us"), F.expr("CASE k % 4 WHEN 0 THEN 'localhost' WHEN 1 THEN '' ELSE host END").alias("host"), F.expr("CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'success' ELSE '' END").alias("result"),
-                                  F.expr("CASE event_type WHEN 'signup' THEN 'ssh_invalid_user' WHEN 'view' THEN 'other' END").alias("event_type"), F.concat(F.lit("for u"), S("user_id"), F.lit(" from 10.9.9."), (F.col("user_id") % 200).cast("string")).alias("message"), F.expr("IF(k % 2 = 0, 'null', '1.2.3.4')").alias("src_ip"))
+                                  F.expr("CASE event_type WHEN 'signup' THEN 'AUTH_failure' WHEN 'purchase' THEN 'ssh_invalid_user' WHEN 'view' THEN 'other' END").alias("event_type"), F.concat(F.lit("for u"), S("user_id"), F.lit(" from 10.9.9."), (F.col("user_id") % 200).cast("string")).alias("message"), F.expr("IF(k % 2 = 0, 'null', '1.2.3.4')").alias("src_ip"))
     return N.failed_logins(e).select("event_id", "host", "src_ip", "user", "result")
 
 

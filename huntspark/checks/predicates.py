@@ -193,13 +193,13 @@ F13_SQL = f"WITH {EV} SELECT event_id FROM ev WHERE k = 12 OR user_id % 250 = 12
 
 
 def f14(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.expr("concat(url, IF(page_id % 4 = 0, '?cmd=ls', ''))").alias("url"), F.expr("IF(page_id % 9 = 0, 'waf_alert', 'web_access_log')").alias("asset_type"))
+    p = table(spark, d, "pages").select("page_id", F.expr("concat(url, CASE page_id % 7 WHEN 0 THEN '?cmd=ls' WHEN 1 THEN '?q=<ScRipt' WHEN 2 THEN '?x=${jndi:ldap' WHEN 3 THEN '?u=union+select&f=/etc/passwd' ELSE '' END)").alias("url"), F.expr("IF(page_id % 9 = 0, 'waf_alert', 'web_access_log')").alias("asset_type"))
     refs = table(spark, d, "benchmark").select((F.col("item_id") * 5 + 1).alias("ref"))
     return Q.attack_like_rows(p, "page_id", refs).select("page_id")
 
 
-F14_SQL = """SELECT page_id FROM pages WHERE page_id % 4 = 0 OR page_id % 9 = 0 OR page_id IN (SELECT item_id * 5 + 1 FROM benchmark)
- OR regexp_matches(lower(url), 'webshell|/cmdi/|cmd=|command=|exec=|shell=|;id|;whoami|;cat|\\.php\\?c=|\\.php\\?cmd|upload\\.php|union select|union\\+select|\\.\\./|/etc/passwd')"""
+F14_SQL = """SELECT page_id FROM pages WHERE page_id % 7 < 3 OR page_id % 9 = 0 OR page_id IN (SELECT item_id * 5 + 1 FROM benchmark)
+ OR regexp_matches(lower(url), 'webshell|/cmdi/|cmd=|command=|exec=|shell=|;id|;whoami|;cat|\\.php\\?c=|\\.php\\?cmd|upload\\.php|\\.\\./|union select')"""
 
 
 def f15(spark, d):

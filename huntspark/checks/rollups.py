@@ -242,7 +242,7 @@ def a17(spark, d):
 A17_SQL = """WITH q AS (SELECT 'q' || (n_nationkey % 10) AS rid, CASE WHEN n_nationkey % 10 < 4 THEN 'P0' ELSE 'P1' END AS pr, n_nationkey % 8 AS t, n_nationkey % 2 = 1 AS need_src, n_nationkey % 5 AS h FROM nation),
 a AS (SELECT s_suppkey AS id, s_nationkey % 6 AS t, s_suppkey % 3 > 0 AS src, s_suppkey % 4 AS z, s_suppkey % 5 = 0 AS hosts, CASE WHEN s_suppkey % 7 = 0 THEN false ELSE true END AS kept FROM supplier),
 j AS (SELECT q.*, a.id, a.src, a.kept, CASE WHEN a.z = 3 AND NOT hosts THEN 'none' WHEN h = 0 THEN 'full' WHEN h = 1 THEN CASE WHEN z = 1 THEN 'full' ELSE 'none' END
-   WHEN h = 2 THEN CASE WHEN z IN (0, 1) THEN 'full' WHEN hosts THEN 'partial' ELSE 'none' END WHEN h = 3 THEN CASE WHEN hosts THEN 'full' WHEN z IN (1, 2) THEN 'full' ELSE 'none' END
+   WHEN h = 2 THEN CASE WHEN z = 0 THEN 'full' WHEN hosts THEN 'partial' ELSE 'none' END WHEN h = 3 THEN CASE WHEN hosts OR z = 2 THEN 'full' ELSE 'none' END
    ELSE CASE WHEN hosts THEN 'full' WHEN z = 2 THEN 'partial' ELSE 'none' END END AS cov FROM q LEFT JOIN a USING (t)),
 k AS (SELECT *, CASE WHEN id IS NULL THEN 2 WHEN (src OR NOT need_src) AND cov = 'full' AND kept THEN 0 ELSE 1 END AS st, CASE WHEN id IS NULL THEN 'not_registered' ELSE concat_ws(',', CASE WHEN need_src AND NOT src THEN 'src_ip' END, CASE WHEN cov <> 'full' THEN 'coverage_' || cov END, CASE WHEN NOT kept THEN 'retention_insufficient' END) END AS gaps FROM j)
 SELECT requirement_id, priority, status, asset_id, gaps FROM (SELECT rid AS requirement_id, pr AS priority, ['ready', 'partial', 'missing'][st + 1] AS status, id AS asset_id, gaps, row_number() OVER (PARTITION BY rid ORDER BY st, id) AS rn FROM k) WHERE rn = 1"""
@@ -445,13 +445,13 @@ L05_SQL = f"WITH {EV} SELECT event_type, us, event_id FROM ev ORDER BY CASE even
 
 
 def x01(spark, d):
-    e = evidence(spark, d).select("event_id", "us", F.concat(F.floor(F.col("us") / DAY).cast("string"), F.lit("d")).alias("timestamp"), F.col("host").alias("host_ip"), (F.col("k") % 5).cast("string").alias("pid"), F.lit("ls").alias("command"))
+    e = evidence(spark, d).select("event_id", "us", F.concat(F.floor(F.col("us") / DAY).cast("string"), F.lit("d")).alias("timestamp"), F.col("host").alias("host_ip"), (F.col("k") % 5).cast("string").alias("pid"), F.expr("IF(event_id % 2 = 0, 'ls', 'id')").alias("cmd"))
     a, b = e.where("event_id % 3 < 2"), e.where("event_id % 3 > 0").withColumn("extra", F.lit("x"))
-    return U.merge_bundles([b, a], "host_exec", ["us", "event_id"]).select("event_id", "timestamp", "host_ip", "pid", "extra")
+    return U.merge_bundles([b, a], "host_exec", ["us", "event_id"]).select("event_id", "timestamp", "host_ip", "pid", "cmd", "extra")
 
 
 X01_SQL = f"""WITH {EV}, u AS (SELECT 0 AS s, event_id, us, host, k, 'x' AS extra FROM ev WHERE event_id % 3 > 0 UNION ALL SELECT 1, event_id, us, host, k, NULL FROM ev WHERE event_id % 3 < 2)
-SELECT event_id, (us // {DAY}::BIGINT) || 'd' AS timestamp, host AS host_ip, (k % 5)::VARCHAR AS pid, extra FROM (SELECT *, row_number() OVER (PARTITION BY us // {DAY}::BIGINT, host, k % 5 ORDER BY s, us, event_id) AS rn FROM u) WHERE rn = 1"""
+SELECT event_id, (us // {DAY}::BIGINT) || 'd' AS timestamp, host AS host_ip, (k % 5)::VARCHAR AS pid, CASE WHEN event_id % 2 = 0 THEN 'ls' ELSE 'id' END AS cmd, extra FROM (SELECT *, row_number() OVER (PARTITION BY us // {DAY}::BIGINT, host, k % 5, event_id % 2 ORDER BY s, us, event_id) AS rn FROM u) WHERE rn = 1"""
 
 
 def x01_content(spark, d):

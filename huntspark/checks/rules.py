@@ -225,13 +225,14 @@ R10_SQL = f"WITH {ALERTS}, {OUTCOME} SELECT doc_id, verdict AS alert_verdict, ou
 
 def r11(spark, d):
     o = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("src_ip"), F.expr("IF(l_returnflag = 'R', 'block_ip', 'observe')").alias("recommended_action"))
-    p = table(spark, d, "supplier").where("s_suppkey % 7 > 0").select(F.col("s_suppkey").cast("string").alias("ip"), F.expr("IF(s_nationkey % 5 = 0, 'private', 'global')").alias("scope"), (F.col("s_nationkey") % 5 == 1).alias("mobile"), F.lit(None).cast("boolean").alias("proxy"),
-                                                                    F.expr("IF(s_nationkey % 5 = 2, 'Big CDN', s_name)").alias("description"), (F.col("s_acctbal") > 0).alias("verified"))
+    p = table(spark, d, "supplier").where("s_suppkey % 7 > 0").select(F.col("s_suppkey").cast("string").alias("ip"), F.expr("IF(s_nationkey % 5 = 0, 'private', 'global')").alias("scope"), (F.when(F.col("s_nationkey") % 5 == 1, True)).alias("mobile"), F.lit(None).cast("boolean").alias("proxy"),
+                                                                    F.expr("IF(s_nationkey % 5 = 2, 'Big CDN', s_name)").alias("description"), (F.col("s_acctbal") > 0).alias("verified"), F.expr("IF(s_suppkey % 2 = 0, 'success', 'failed')").alias("online_status"),
+                                                                    F.expr("IF(s_suppkey % 3 = 0, false, NULL)").alias("tor"), F.expr("IF(s_suppkey % 11 = 0, array('云防护 node'), array('x'))").alias("tags"))
     return R.ip_block_guard(o, p).select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "recommended_action", "block_reason")
 
 
-R11_SQL = """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_returnflag <> 'R' THEN 'observe' WHEN s.s_suppkey IS NOT NULL AND s_nationkey % 5 > 2 AND s_acctbal > 0 THEN 'block_ip' ELSE 'manual_review_30m' END AS recommended_action,
- CASE WHEN l_returnflag = 'R' THEN CASE WHEN s.s_suppkey IS NULL THEN 'ip_profile_missing' WHEN s_nationkey % 5 <= 2 THEN 'shared_or_nat_exit_risk' WHEN NOT s_acctbal > 0 THEN 'ip_profile_not_verified' ELSE 'no_shared_exit_indicator' END END AS block_reason
+R11_SQL = """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_returnflag <> 'R' THEN 'observe' WHEN s.s_suppkey IS NOT NULL AND s_nationkey % 5 > 2 AND s_suppkey % 11 > 0 AND (s_acctbal > 0 OR s_suppkey % 6 = 0) THEN 'block_ip' ELSE 'manual_review_30m' END AS recommended_action,
+ CASE WHEN l_returnflag = 'R' THEN CASE WHEN s.s_suppkey IS NULL THEN 'ip_profile_missing' WHEN s_nationkey % 5 <= 2 OR s_suppkey % 11 = 0 THEN 'shared_or_nat_exit_risk' WHEN NOT s_acctbal > 0 AND s_suppkey % 6 > 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'ip_nat_fields_missing' ELSE 'ip_profile_not_verified' END ELSE 'no_shared_exit_indicator' END END AS block_reason
 FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 > 0) s ON s.s_suppkey = l_suppkey"""
 RULE_MAP = {"ECONOMY": ["T1", "T2"], "red": ["T2", "T3"], "STANDARD": ["T4"], "blue": ["T1"]}
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.common import first_match
+from ..functions.common import any_of, first_match
 from .blocks import numbered
 from .parsing import BUILTIN_PARSERS
 from .rollups import first_rows
@@ -40,9 +40,9 @@ def profile_keys(lines: DataFrame, group: list[str], line: str) -> DataFrame:
     return lines.select(*group, F.explode(F.json_object_keys(s)).alias("key")).groupBy(*group, "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Canonical field and the names it often has at the source.
+# Fixed values (A14): canonical field and the names it often has at the source.
 SYNONYMS = {
-    "src_ip": ("client_ip", "remote_addr", "source_ip", "clientip", "ip"), "timestamp": ("@timestamp", "__time__", "time", "ts", "event_time", "log_time"),
+    "src_ip": ("client_ip", "remote_addr", "remoteHost", "remote_ip", "ip", "source_ip", "c-ip"), "timestamp": ("@timestamp", "__time__", "time", "ts", "event_time", "log_time"),
     "url": ("request_uri", "uri", "path", "request_url", "http_url"), "host": ("hostname", "server", "dst_host", "machine"), "user": ("username", "account", "login_user"),
     "result": ("status", "auth_result", "login_result"), "action": ("rule_action", "waf_action", "disposition"), "command": ("cmd", "argv", "process_cmd", "exec_command"),
     "dst_ip": ("dest_ip", "destination_ip", "target_ip"),
@@ -90,26 +90,36 @@ def draft_parser(lines: DataFrame, source: str, order: list[str], line: str, sam
     return g.select(source, F.concat(F.lit("^.*?"), F.array_join(F.transform("ks", part), ".*?"), F.lit(".*$")).alias("line_regex"), F.transform("ks", lambda k: k["key"]).alias("keys"))
 
 
-# Zones that cover a hint fully or partly.
-HINT_FULL = {"web_zone": ("web_zone", "web_hosts", "full"), "internal": ("internal", "full"), "internal_ssh": ("internal_ssh", "internal", "full"), "dmz": ("dmz", "full")}
-HINT_PARTIAL = {"web_zone": ("dmz", "partial_web"), "internal": ("partial_internal", "internal_ssh"), "internal_ssh": ("partial_internal",), "dmz": ("web_zone",)}
+# Fixed values (A17): zones that cover a hint fully or partly.
+HINT_FULL = {"full": ("full",), "web_zone": ("web_zone", "web_hosts", "dmz"), "web_hosts": ("web_hosts", "web_zone"), "internal_ssh": ("internal_ssh", "internal"), "internal": ("internal", "internal_ssh"),
+             "dmz_to_internal": ("dmz_to_internal",), "jump_hosts": ("jump_hosts", "internal", "internal_ssh"), "target_hosts": ("target_hosts", "internal", "internal_ssh")}
+HINT_PARTIAL = {"web_zone": ("dmz_to_internal",), "web_hosts": ("web_zone", "partial_web"), "internal_ssh": ("partial_internal", "partial"), "internal": ("partial_internal", "partial"),
+                "dmz_to_internal": ("dmz",), "jump_hosts": ("partial_internal", "partial", "web_zone"), "target_hosts": ("partial_internal", "partial")}
 
 
-def coverage_hint(hint: Column, zones: Column, hosts: Column, investigated: list[str]) -> Column:
-    """full / partial / none: does the declared coverage fit the hint?"""
-    inv = F.array(*[F.lit(h) for h in investigated]) if investigated else F.array().cast("array<string>")
+def coverage_hint(hint: Column, zones: Column, hosts: Column, investigated: list[str], apps: Column | None = None) -> Column:
+    """full / partial / none: does the declared coverage fit the hint?
+
+    Without investigated hosts any declared host covers and overlaps; with them
+    the declared hosts must contain (or meet) them.
+    """
     has = lambda z: F.array_contains(zones, z)
-    hosts_any = F.size(hosts) > 0
-    covers = (F.size(inv) > 0) & (F.size(F.array_except(inv, hosts)) == 0)
-    overlap = F.arrays_overlap(hosts, inv) if investigated else F.lit(False)
+    hosts_any, zones_any = F.size(hosts) > 0, F.size(zones) > 0
+    inv = F.array(*[F.lit(h) for h in investigated]) if investigated else None
+    covers = hosts_any & (F.size(F.array_except(inv, hosts)) == 0) if investigated else hosts_any
+    overlap = F.arrays_overlap(hosts, inv) if investigated else hosts_any
     table = lambda t: F.create_map(*[v for k, zs in t.items() for v in (F.lit(k), F.array(*[F.lit(z) for z in zs]))])
-    zone_hit = lambda t: F.coalesce(F.arrays_overlap(zones, table(t)[hint]), F.lit(False))
-    nothing = (F.size(zones) == 0) & ~hosts_any
-    web = first_match((has("web_hosts"), "full"), (covers & (has("web_zone") | (F.size(zones) == 0)), "full"), (has("web_zone") | hosts_any, "partial"), default="none")
-    target = first_match((hosts_any & F.lit(bool(investigated)), F.when(covers, "full").when(overlap, "partial").otherwise("none")), (F.array_contains(zones, hint), "full"),
-                         (has("internal") | has("internal_ssh"), "partial"), default="none")
+    zone_hit = lambda t: F.coalesce(F.arrays_overlap(zones, F.try_element_at(table(t), hint)), F.lit(False))
+    web_zones = any_of(*[has(z) for z in HINT_FULL["web_zone"]])
+    inside = has("internal") | has("internal_ssh")
+    nothing = ~zones_any & ~hosts_any & (F.size(apps) == 0 if apps is not None else F.lit(True))
+    web = first_match((has("web_hosts"), "full"), (covers & (has("web_zone") | ~zones_any), "full"), (hosts_any | web_zones, "partial"), default="none")
+    # A listed target set is the boundary of the question, so broad zones do not widen it.
+    listed = F.when(covers, "full").when(overlap, "partial").otherwise("none")
+    target = first_match((hosts_any & F.lit(bool(investigated)), listed), (F.array_contains(zones, hint), "full"), (inside & overlap, "full"),
+                         (zone_hit(HINT_PARTIAL) | inside, "partial"), default="none")
     return first_match((nothing, "none"), (hint == "any", "full"), (hint == "full", F.when(has("full"), "full").otherwise("none")), (hint == "web_hosts", web),
-                       (hint.isin("jump_hosts", "target_hosts"), target), ((hint == "web_zone") & hosts_any & ~zone_hit(HINT_FULL), "partial"),
+                       ((hint == "web_zone") & hosts_any & ~web_zones, "partial"), (hint.isin("jump_hosts", "target_hosts"), target),
                        (hint.isin("internal_ssh", "internal") & hosts_any, F.when(covers, "full").otherwise("partial")), (zone_hit(HINT_FULL), "full"), (zone_hit(HINT_PARTIAL), "partial"), default="none")
 
 
@@ -118,13 +128,15 @@ def evaluate_requirements(requirements: DataFrame, assets: DataFrame, span_days:
 
     ``requirements``: requirement_id, priority, asset_type, fields, hint (one row
     per accepted type). ``assets``: asset_id, asset_type, fields, zones, hosts,
-    retention_days. Ready needs all fields, full coverage and enough retention;
+    retention_days and, if there is one, apps. Ready needs all fields, full coverage and enough retention;
     the best status wins, then the smaller asset id. Where a ``match`` column says
     ``all``, the first asset of the (one) type decides, whatever its status.
     """
     j = requirements.withColumnRenamed("fields", "need").join(assets, "asset_type", "left")
     lack = F.array_sort(F.array_except("need", F.coalesce("fields", F.array().cast("array<string>"))))
-    cov = coverage_hint(F.coalesce("hint", F.lit("any")), F.coalesce("zones", F.array().cast("array<string>")), F.coalesce("hosts", F.array().cast("array<string>")), investigated)
+    none = F.array().cast("array<string>")
+    apps = F.coalesce("apps", none) if "apps" in assets.columns else None
+    cov = coverage_hint(F.coalesce(F.trim("hint"), F.lit("any")), F.coalesce("zones", none), F.coalesce("hosts", none), investigated, apps)
     kept = F.lit(True) if span_days is None else F.coalesce(F.col("retention_days") >= span_days, F.lit(True))
     ready = (F.size(lack) == 0) & (cov == "full") & kept
     status = F.when(F.col("asset_id").isNull(), 2).when(ready, 0).otherwise(1)

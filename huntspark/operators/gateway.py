@@ -84,7 +84,7 @@ def gateway_misses(requests: DataFrame, alerts: DataFrame, patterns, exclude=(),
     body = F.concat_ws(" ", text, F.array_join("hits", " "))
     severity = first_match((F.col("status").between(400, 499), "low"), (any_of(*[body.contains(p) for p in probes]), probe_severity), (any_of(*[body.contains(p) for p in critical]), "critical"),
                            (any_of(*[body.contains(p) for p in high]), "high"), (F.col("status").isin(200, 201, 204, 302), "high"), default="medium")
-    return s.select("evidence_id", "us", "src_ip", "url", "status", F.slice("hits", 1, 5).alias("pattern_hits"), reason.alias("reason"), severity.alias("severity"))
+    return s.select("evidence_id", "us", "src_ip", "url", "status", F.col("hits").alias("pattern_hits"), reason.alias("reason"), severity.alias("severity"))
 
 
 def miss_summary(misses: DataFrame, top: int = 5) -> DataFrame:

@@ -192,8 +192,8 @@ def expand_path(join_id: str, specs: dict[str, JoinSpec]) -> list[str]:
 
 
 def run_chain(tables: dict[str, DataFrame], specs: dict[str, JoinSpec], chain: list[str], anchor_us: int | None = None,
-              limit: int | None = 50, **kw) -> DataFrame:
-    """Edges of all steps of a chain, each step once, each edge once.
+              limit: int | None = None, **kw) -> DataFrame:
+    """Edges of all steps of a chain, each step once, each edge once; all of them unless ``limit`` is given.
 
     The loop builds one plan over the declared specs; no data comes back here.
     """
@@ -272,9 +272,12 @@ def nearest_asof(left: DataFrame, right: DataFrame, keys: list[str], us: str, le
 
     The earlier row wins a tie. Adds ``near_id`` and ``near_us``.
     """
-    u = (left.select(*keys, us, F.col(left_id).cast("bigint").alias("__id"), F.lit(None).cast("struct<us:bigint,id:bigint>").alias("__r"))
-         .unionByName(right.select(*keys, us, F.lit(None).cast("bigint").alias("__id"), F.struct(F.col(us).alias("us"), F.col(right_id).cast("bigint").alias("id")).alias("__r")))
-         .where(F.col(us).isNotNull()).withColumn("__c", F.col("__id").isNotNull().cast("int")).withColumn("__o", F.coalesce("__id", "__r.id")))
+    lt, rt = left.schema[left_id].dataType, right.schema[right_id].dataType
+    none = F.lit(None).cast(f"struct<us:bigint,id:{rt.simpleString()}>")
+    u = (left.select(*keys, us, F.col(left_id).alias("__id"), none.alias("__r"))
+         .unionByName(right.select(*keys, us, F.lit(None).cast(lt).alias("__id"), F.struct(F.col(us).cast("bigint").alias("us"), F.col(right_id).alias("id")).alias("__r")))
+         .where(F.col(us).isNotNull()).withColumn("__c", F.col("__id").isNotNull().cast("int"))
+         .withColumn("__o", F.struct(F.col("__id"), F.col("__r.id"))))
     # A right row at the same time counts as earlier: it sorts before the left row.
     u = carried(u, keys, us, [us, "__c", "__o"], F.col("__r"), "__p", block_sec * 1_000_000)
     u = carried(u, keys, us, [us, "__c", "__o"], F.col("__r"), "__n", block_sec * 1_000_000, forward=False).where("__id IS NOT NULL")
@@ -395,12 +398,15 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, keys: list[str], fiel
     """created / modified / deleted between two snapshots; all ``observed`` when a full baseline is due.
 
     ``changed`` lists the differing fields in the given order, ``old`` their old
-    values. NULL equals NULL.
+    values. NULL equals NULL. Rows with a NULL or empty key take no part; of
+    rows with one key the one with the greatest fields stays.
     """
+    known = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys]))
+    previous, current = known(previous), known(current)
     if full:
-        return current.select(*keys, F.lit("observed").alias("action"), F.array().cast("array<string>").alias("changed"), F.create_map().cast("map<string,string>").alias("old"))
-    p = previous.select(*keys, F.struct(*fields).alias("__p"))
-    c = current.select(*keys, F.struct(*fields).alias("__c"))
+        return current.select(*keys).distinct().select(*keys, F.lit("observed").alias("action"), F.array().cast("array<string>").alias("changed"), F.create_map().cast("map<string,string>").alias("old"))
+    p = previous.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("__p"))
+    c = current.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("__c"))
     j = p.join(c, keys, "full_outer")
     diff = F.array_compact(F.array(*[F.when(~F.col(f"__p.{f}").eqNullSafe(F.col(f"__c.{f}")), F.lit(f)) for f in fields]))
     both = F.col("__p").isNotNull() & F.col("__c").isNotNull()

@@ -47,25 +47,31 @@ def persistence_chain(rows: DataFrame, anchor_us: int | None = None, lookback_se
     return d.withColumns({"stage": F.lit("persistence"), "confidence": F.lit(confidence)})
 
 
-def lateral_hops(seeds: DataFrame, logins: DataFrame, firewall: DataFrame | None = None, max_hops: int = 10, near_sec: int = 600,
+def lateral_hops(seeds: DataFrame, logins: DataFrame, firewall: DataFrame | None = None, max_hops: int = 10, near_sec: int = 600, anchor_us: int | None = None, end_us: int | None = None,
                  with_firewall: float = 0.88, without: float = 0.82, fail_threshold: int = 5, suspect: float = 0.55) -> DataFrame:
     """Breadth-first spread over accepted logins, with the failed-burst suspicion.
 
     ``seeds``: host. ``logins``: src, dst, us, evidence_id, result (accepted /
     failed). ``firewall``: src, dst, us, evidence_id (SSH port rows). Each hop
     asks every host of the frontier once; the earliest accepted login (time, id)
-    of a pair is its edge, and a host joins the frontier only once. A frontier
+    of a pair is its edge, one without time only where no other is there, and a host joins the frontier only once. A frontier
     host without accepted login but with ``fail_threshold`` failures is suspected
     (dst NULL). Edges fold to one per pair first, so a hop joins pairs, not
-    logins, and every hop writes its frontier to the shared folder.
+    logins, and every hop writes its frontier to the shared folder. Logins
+    before ``anchor_us`` or after ``end_us`` do not count; those without time
+    do. ``firewall_ref`` is the first firewall row near the login.
     """
-    ok = logins.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst AND us IS NOT NULL")
-    edges = ok.where("result = 'accepted'").groupBy("src", "dst").agg(F.min(F.struct("us", "evidence_id")).alias("e")).select("src", "dst", F.col("e.us").alias("us"), F.col("e.evidence_id").alias("evidence_id"))
+    ok = logins.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    if anchor_us is not None:
+        ok = ok.where(F.col("us").isNull() | (F.col("us") >= anchor_us))
+    if end_us is not None:
+        ok = ok.where(F.col("us").isNull() | (F.col("us") <= end_us))
+    edges = ok.where("result = 'accepted'").groupBy("src", "dst").agg(F.min(F.struct(F.col("us").isNull(), "us", "evidence_id")).alias("e")).select("src", "dst", F.col("e.us").alias("us"), F.col("e.evidence_id").alias("evidence_id"))
     if firewall is not None:
-        near = window_agg(edges.withColumn("pair", F.concat_ws("\u0001", "src", "dst")), firewall.withColumn("__one", F.lit(1)), ["src", "dst"], "pair", "us", "us", near_sec * SEC, near_sec * SEC, {"fw": ("__one", "max")})
+        near = window_agg(edges.where("us IS NOT NULL").withColumn("pair", F.concat_ws("\u0001", "src", "dst")), firewall, ["src", "dst"], "pair", "us", "us", near_sec * SEC, near_sec * SEC, {"fw": ("evidence_id", "min")})
         edges = edges.withColumn("pair", F.concat_ws("\u0001", "src", "dst")).join(near, "pair", "left").drop("pair")
     else:
-        edges = edges.withColumn("fw", F.lit(None).cast("int"))
+        edges = edges.withColumn("fw", F.lit(None).cast(logins.schema["evidence_id"].dataType))
     edges = cut_lineage(edges)
     failed = ok.where("result = 'failed'").groupBy("src").agg(F.count(F.lit(1)).alias("failed"))
     visited = cut_lineage(seeds.select("host").where("host IS NOT NULL").distinct().withColumn("hop", F.lit(0)))
@@ -78,10 +84,10 @@ def lateral_hops(seeds: DataFrame, logins: DataFrame, firewall: DataFrame | None
         visited = visited.unionByName(frontier)
     asked = visited.where(F.col("hop") < max_hops).select(F.col("host").alias("src"), F.col("hop").alias("src_hop"))
     confirmed = edges.join(asked, "src").select("src", "dst", "us", "evidence_id", (F.col("src_hop") + 1).alias("hop"), F.lit("confirmed_lateral").alias("lateral_class"),
-                                               F.when(F.col("fw").isNotNull(), with_firewall).otherwise(without).alias("confidence"))
+                                               F.when(F.col("fw").isNotNull(), with_firewall).otherwise(without).alias("confidence"), F.col("fw").alias("firewall_ref"))
     suspects = (asked.join(edges.select("src").distinct(), "src", "left_anti").join(failed, "src").where(F.col("failed") >= fail_threshold)
                 .select("src", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("bigint").alias("us"), F.lit(None).cast(edges.schema["evidence_id"].dataType).alias("evidence_id"),
-                        (F.col("src_hop") + 1).alias("hop"), F.lit("suspected_lateral").alias("lateral_class"), F.lit(suspect).alias("confidence")))
+                        (F.col("src_hop") + 1).alias("hop"), F.lit("suspected_lateral").alias("lateral_class"), F.lit(suspect).alias("confidence"), F.lit(None).cast(edges.schema["fw"].dataType).alias("firewall_ref")))
     return confirmed.unionByName(suspects)
 
 
@@ -163,16 +169,20 @@ def ancestor_replay(starts: DataFrame, processes: DataFrame, now_us: int | None
     return out if out is not None else hit.select("start_id", "depth", "ancestor_ref")
 
 
-HINT_WORDS = ("ssh", "scp", "sftp", "rsync", "lateral", "s.phtml")
+# Fixed values (J24): words beside which any address in a text counts as a target.
+HINT_WORDS = ("ssh", "sshpass", "scp", "sftp", "rsync", "nc ", "ncat", "s.phtml", "webshell")
 
 
-def second_hop_targets(commands: DataFrame, logins: DataFrame, sources: DataFrame) -> DataFrame:
-    """Hosts to look at next: internal addresses named by commands on source hosts, and hosts
-    reached by accepted logins from them. Sources drop out; so does an address
-    that is the cut-off start of another one.
+def second_hop_targets(commands: DataFrame, logins: DataFrame, sources: DataFrame, web: DataFrame | None = None) -> DataFrame:
+    """Hosts to look at next: internal addresses named by commands on source hosts or by web
+    and gateway rows to them, and hosts reached by accepted logins from them.
+    Sources drop out; so does an address that is the cut-off start of another one.
 
-    ``commands``: host, command. ``logins``: src, dst, result.
+    ``commands``: host, command. ``web``: host, text of a request or alert.
+    ``logins``: src, dst, result.
     """
+    if web is not None:
+        commands = commands.select("host", "command").unionByName(web.select("host", F.col("text").alias("command")))
     src = sources.select("host").distinct()
     text = F.coalesce(F.col("command"), F.lit(""))
     hinted = any_of(*[F.lower(text).contains(w) for w in HINT_WORDS])

@@ -220,11 +220,12 @@ def syslog_to_ssh_auth(syslog: DataFrame, success=SSH_SUCCESS_TYPES, failed=SSH_
             .withColumn("user", F.coalesce(first_present(syslog, ["user"]), text_or_null(user))))
 
 
-# How a failed login shows when the row has no result.
-FAIL_MESSAGE = r"(?i)failed password|authentication failure|invalid user|failed publickey"
+# Fixed values (W01): how a failed login shows when the row has no result.
+FAIL_TYPES = ("ssh_login_failed", "auth_failure")
+FAIL_MESSAGE = r"(?i)Failed password|Invalid user|authentication failure"
 
 
-def failed_logins(rows: DataFrame, failed=SSH_FAILED_TYPES) -> DataFrame:
+def failed_logins(rows: DataFrame, failed=FAIL_TYPES) -> DataFrame:
     """Rows that are failed logins, with host, source and user filled from other columns or the message.
 
     An explicit result decides; without one the event type or the message does.

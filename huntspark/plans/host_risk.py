@@ -83,11 +83,11 @@ def assess(modules: list[DataFrame], policy: dict | None = None, whitelist: list
     return R.attack_techniques(d, rule_map or {}, {}, tactics or {"": ""})
 
 
-def brute_force_incidents(spark: SparkSession, sf_dir: str, window_sec: int = 86_400, threshold: int = 3, start: str = "2024-01-01T00:00:00Z", end: str = "2024-02-15T00:00:00Z", top: int = 20) -> DataFrame:
+def brute_force_incidents(spark: SparkSession, sf_dir: str, window_sec: int = 86_400, threshold: int = 3, start: str | None = None, end: str | None = None, top: int = 20) -> DataFrame:
     """The flagship question on the events table: who was brute-forced, ranked as incidents.
 
     Error events stand for failed logins: the user is the victim, the listener
-    group of the event its source.
+    group of the event its source. ``start`` and ``end`` limit the time; None does not.
     """
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("huntspark_events")
     raw = scan_asset(spark, "SELECT event_id, ts, user_id, props FROM huntspark_events WHERE event_type = :kind", {"kind": "error"}, {})

@@ -28,13 +28,16 @@ def local_session(cpus: str = "8", app: str = "huntspark", shuffle_partitions: i
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only when no shared folder is configured (tests on one machine) is a local
-    temporary folder made and used instead.
+    Only a session on one machine (a local master) may do without it; a
+    temporary folder is made and used then. Elsewhere executors would not see
+    such a folder, so the missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="huntspark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

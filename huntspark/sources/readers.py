@@ -43,28 +43,53 @@ def read_payloads(spark: SparkSession, path: str, schema: str | StructType, form
     return d.limit(cap) if cap else d
 
 
+_TOKENS = re.compile(r"""(?s)(?P<text>'(?:[^']|'')*')|(?P<name>"(?:[^"]|"")*")|(?P<note>/\*.*?\*/|--[^\n]*)|(?P<mark>(?<![:\w]):[A-Za-z_]\w*)|(?P<rest>.)""")
+
+
 def assert_select_only(sql: str) -> str:
-    """Raises unless the text is one SELECT (or WITH … SELECT) statement."""
-    text = re.sub(r"(?s)/\*.*?\*/|--[^\n]*", " ", sql).strip().rstrip(";").strip()
-    if ";" in text or not re.match(r"(?is)^(select|with)\b", text):
+    """Raises unless the text is one SELECT (or WITH … SELECT) statement; returns it without comments.
+
+    What stands in quotes is neither a comment nor a statement. A quote that is
+    never closed, or a backslash in a quoted text, which some servers read as an
+    escape, is refused.
+    """
+    kept, bare = [], []
+    for m in _TOKENS.finditer(sql):
+        if m.lastgroup == "text" and "\\" in m.group():
+            raise ValueError("a quoted text may not hold a backslash")
+        if m.lastgroup == "rest" and m.group() in "'\"":
+            raise ValueError("a quote is not closed")
+        kept.append(" " if m.lastgroup == "note" else m.group())
+        bare.append({"note": " ", "text": "''", "name": '""'}.get(m.lastgroup, m.group()))
+    text, plain = "".join(kept).strip(), "".join(bare).strip()
+    while plain.endswith(";"):
+        text, plain = text[:-1].rstrip(), plain[:-1].rstrip()
+    if ";" in plain or not re.match(r"(?is)^(select|with)\b", plain):
         raise ValueError("only a single SELECT statement is allowed")
-    if re.search(r"(?i)\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|call|exec(ute)?|into\s+outfile)\b", re.sub(r"'(?:[^']|'')*'", "''", text)):
+    if re.search(r"(?i)\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|call|exec(ute)?|into\s+outfile)\b", plain):
         raise ValueError("statement is not read-only")
     return text
 
 
 def bind_params(sql: str, params: dict) -> str:
-    """Named ``:param`` markers to quoted SQL literals; the JDBC source has no bind variables."""
-    def literal(m: re.Match) -> str:
-        if m.group(1) not in params:
-            raise ValueError(f"missing parameter {m.group(1)}")
-        v = params[m.group(1)]
+    """Named ``:param`` markers outside quotes to quoted SQL literals; the JDBC source has no bind variables.
+
+    Texts with a backslash or NUL are refused: servers differ in how they read them.
+    """
+    def literal(name: str) -> str:
+        if name not in params:
+            raise ValueError(f"missing parameter {name}")
+        v = params[name]
         if v is None:
             return "NULL"
         if isinstance(v, bool):
             return "TRUE" if v else "FALSE"
-        return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-    return re.sub(r"(?<![:\w]):([A-Za-z_]\w*)", literal, sql)
+        if isinstance(v, (int, float)):
+            return str(v)
+        if "\\" in str(v) or "\0" in str(v):
+            raise ValueError(f"parameter {name} holds a backslash or NUL")
+        return "'" + str(v).replace("'", "''") + "'"
+    return "".join(literal(m.group()[1:]) if m.lastgroup == "mark" else m.group() for m in _TOKENS.finditer(sql))
 
 
 def read_jdbc_query(spark: SparkSession, url: str, sql: str, params: dict | None = None, deny: tuple = (), options: dict | None = None,

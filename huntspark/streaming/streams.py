@@ -55,14 +55,15 @@ def drain(df: DataFrame, label: str, each_batch: Callable | None = None) -> Data
 def stream_dedupe(stream: DataFrame, ts: str, keys: list[str], within: str = "1 hour") -> DataFrame:
     """Drops repeats of a source id inside the horizon with bounded state.
 
-    Rows without id are never repeats. A stream may not be split and joined
-    again cheaply, so such rows get their own random-free identity: all columns.
+    Rows without id are never repeats: they pass beside the stateful step, also
+    when they are equal. A row with id that comes behind the watermark is
+    dropped by Spark; where that may not be, use ``stream_dedupe_exact``.
     """
     named = F.lit(True)
     for k in keys:
         named = named & F.col(k).isNotNull()
-    identity = F.when(named, F.to_json(F.struct(*keys))).otherwise(F.sha2(F.to_json(F.struct(*stream.columns)), 256))
-    return stream.withColumn("__id", identity).withWatermark(ts, within).dropDuplicatesWithinWatermark(["__id"]).drop("__id")
+    stream = stream.withWatermark(ts, within)
+    return stream.where(named).dropDuplicatesWithinWatermark(keys).unionByName(stream.where(~named))
 
 
 def _keyed(stream: DataFrame, keys: list[str], step: Callable, out: str, state: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
@@ -203,14 +204,18 @@ def stream_rate_windowed(stream: DataFrame, ts: str, keys: list[str], limit: int
             .select(*keys, F.col("window.start").alias("window_start"), "rate"))
 
 
-def snapshot_diffs(keys: list[str], fields: list[str], snapshot: str) -> Callable:
-    """Batch step for ``drain``: each snapshot id of a batch is compared with the one before it.
+def snapshot_diffs(keys: list[str], fields: list[str], snapshot: str, group: list[str] | None = None) -> Callable:
+    """Batch step for ``drain``: each snapshot id of a batch is compared with the one before it of its group.
 
-    All snapshots of a batch are compared in one join, each row standing as the
-    predecessor of the next id. The last snapshot is kept next to the output,
-    under the batch number, so a repeated batch reads the same predecessor. The
-    very first snapshot is a baseline.
+    ``group`` names whose snapshot it is (host, collection); without it all
+    snapshots are one series. All snapshots of a batch are compared in one join,
+    each row standing as the predecessor of the next id. The last snapshot of
+    every group is kept next to the output, under the batch number, so a
+    repeated batch reads the same predecessor. The first snapshot of a group is
+    a baseline. An empty snapshot is a row with NULL keys.
     """
+    own = list(group or ["__all"])
+
     def step(batch: DataFrame, epoch: int, out: str) -> None:
         spark = batch.sparkSession
         kept = f"{out}.last"
@@ -219,22 +224,27 @@ def snapshot_diffs(keys: list[str], fields: list[str], snapshot: str) -> Callabl
             if stored is not None:
                 stored.write.mode("overwrite").parquet(f"{kept}/{epoch}")
             return
-        cols = [snapshot, *keys, *fields]
-        ids = batch.select(snapshot).distinct()
-        first, last = ids.agg(F.min(snapshot)).scalar(), ids.agg(F.max(snapshot)).scalar()
+        cols = [*own, snapshot, *keys, *fields]
+        rows = (batch if group else batch.withColumn("__all", F.lit(0))).select(*cols)
+        ids = rows.select(*own, snapshot).distinct()
+        ends = ids.groupBy(*own).agg(F.min(snapshot).alias("__first"), F.max(snapshot).alias("__last"))
         # The distinct ids of one batch: as few rows as the batch has snapshots.
-        after = ids.select(snapshot, F.lead(snapshot).over(Window.orderBy(snapshot)).alias("__next")).where("__next IS NOT NULL")
-        previous = batch.select(*cols).join(after, snapshot).drop(snapshot).withColumnRenamed("__next", snapshot).select(*cols)
+        after = ids.select(*own, snapshot, F.lead(snapshot).over(Window.partitionBy(*own).orderBy(snapshot)).alias("__next")).where("__next IS NOT NULL")
+        previous = rows.join(after, [*own, snapshot]).withColumn(snapshot, F.col("__next")).select(*cols)
         if stored is not None:
-            previous = previous.unionByName(stored.select(*cols).withColumn(snapshot, first))
-            current = batch.select(*cols)
+            known = stored.select(*own).distinct().withColumn("__known", F.lit(True))
+            previous = previous.unionByName(stored.join(ends, own).withColumn(snapshot, F.col("__first")).select(*cols))
+            rest = stored.join(ends, own, "left_anti").select(*cols)
         else:
-            current = batch.select(*cols).where(F.col(snapshot) != first)
-        found = snapshot_diff(previous, current, [snapshot, *keys], fields)
-        if stored is None:
-            found = found.unionByName(snapshot_diff(batch, batch.select(*cols).where(F.col(snapshot) == first), [snapshot, *keys], fields, full=True))
-        found.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-        batch.select(*cols).where(F.col(snapshot) == last).write.mode("overwrite").parquet(f"{kept}/{epoch}")
+            known, rest = ends.select(*own).limit(0).withColumn("__known", F.lit(True)), None
+        marked = rows.join(ends, own).join(known, own, "left")
+        base = (F.col(snapshot) == F.col("__first")) & F.col("__known").isNull()
+        shown = lambda df: df if group else df.drop("__all")
+        found = snapshot_diff(previous, marked.where(~base).select(*cols), [*own, snapshot, *keys], fields)
+        found = found.unionByName(snapshot_diff(previous, marked.where(base).select(*cols), [*own, snapshot, *keys], fields, full=True))
+        shown(found).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        last = marked.where(F.col(snapshot) == F.col("__last")).select(*cols)
+        (last.unionByName(rest) if rest is not None else last).write.mode("overwrite").parquet(f"{kept}/{epoch}")
     return step
 
 
