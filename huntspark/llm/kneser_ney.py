@@ -37,35 +37,46 @@ BLOCK_CHARS = 12_000_000
 PRIOR = 200
 UPPER, SPREAD = 0.95, 6.0
 SLOT_BITS = 20
+#: Characters that are hashed at once.
+STEP = 200_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _keys(points: np.ndarray, order: int) -> np.ndarray:
-    """A hash of every window of ``order`` code points."""
-    n = max(0, len(points) - order + 1)
+    """A hash of every window of ``order`` code points, in steps that fit the cache."""
+    out = np.empty(max(0, len(points) - order + 1), np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for i in range(order):
-            out = out * _P + points[i:i + n]
-        out ^= out >> np.uint64(31)
-        out *= _Q
-        out ^= out >> np.uint64(32)
+        for at in range(0, len(out), STEP):
+            n = min(STEP, len(out) - at)
+            part = points[at:at + n + order - 1].astype(np.uint64)
+            h = part[:n] * _P
+            for i in range(1, order):
+                h += part[i:i + n]
+                h *= _P
+            h ^= h >> np.uint64(31)
+            h *= _Q
+            h ^= h >> np.uint64(32)
+            out[at:at + n] = h
     return out
 
 
 def windows(texts: list[str], order: int):
-    """``(joined text, keys, places, text of each)`` of the windows that end at a character of a text."""
+    """``(joined text, keys, mask, lengths)``: the windows that end at a character of a text.
+
+    ``mask`` marks their places among all windows of the joined text.
+    """
     joined = "".join([START * (order - 1) + t for t in texts])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     length = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(length + order - 1) - (length + order - 1)
-    keys = _keys(points, order)
-    row = np.repeat(np.arange(len(texts)), length)
-    place = np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
-    return joined, keys[place], place, row
+    mask = np.ones(max(0, len(points) - order + 1), bool)
+    for back in range(1, order):  # windows that end at a start mark
+        at = first - back
+        mask[at[(at >= 0) & (at < len(mask))]] = False
+    return joined, _keys(points, order)[mask], mask, length
 
 
-def slices(texts: list[str], most: int = SLICE):
+def slices(texts: list[str], most: int = STEP):
     """Consecutive runs of texts of about ``most`` characters."""
     at, n = 0, 0
     for i, t in enumerate(texts):
@@ -81,12 +92,12 @@ def gram_counts(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     """``gram, c`` of all texts."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
-                joined, keys, place, _ = windows(part, order)
+            for part in slices(batch.column(0).to_pylist(), SLICE):
+                joined, keys, mask, _ = windows(part, order)
                 if len(keys):
                     by = np.argsort(keys)
                     begins = np.flatnonzero(np.append(True, np.diff(keys[by]) != 0))
-                    some = place[by[begins]]
+                    some = np.flatnonzero(mask)[by[begins]]
                     yield pa.RecordBatch.from_arrays([pa.array([joined[p:p + order] for p in some.tolist()]), pa.array(np.diff(np.append(begins, len(by))))], names=["gram", "c"])
 
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "gram string, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -177,18 +188,22 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             found: list[str] = []
             late = np.empty(0, np.uint64)
             for part in slices(texts):
-                joined, keys, place, _ = windows(part, order)
+                joined, keys, mask, _ = windows(part, order)
                 slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 new = np.flatnonzero(met[slot] != keys)
+                if not len(new):
+                    continue
                 new = new[np.argsort(keys[new])]
                 new = new[np.append(True, np.diff(keys[new]) != 0)] if len(new) else new
                 if len(late):
                     new = new[late[np.minimum(np.searchsorted(late, keys[new]), len(late) - 1)] != keys[new]]
-                found += [joined[p:p + order] for p in place[new].tolist()]
+                found += [joined[p:p + order] for p in np.flatnonzero(mask)[new].tolist()]
                 free = met[slot[new]] == 0
                 met[slot[new[free]]] = keys[new[free]]
                 # Those whose slot another one holds.
-                late = np.sort(np.concatenate([late, keys[new][met[slot[new]] != keys[new]]]))
+                other = keys[new][met[slot[new]] != keys[new]]
+                if len(other):
+                    late = np.sort(np.concatenate([late, other]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int64)), pa.array(found, pa.string())], names=["block", "gram"])
 
     def carry(batches):
@@ -218,7 +233,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             texts = [t.decode("utf-8", "surrogatepass") for t in raw]
             at = 0
             for part in slices(texts):
-                _, grams, _, row = windows(part, order)
+                _, grams, _, n = windows(part, order)
                 slot = (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 got = value[slot]
                 other = np.flatnonzero(table[slot] != grams)
@@ -227,8 +242,9 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                     if (sorted_keys[place] != grams[other]).any():
                         raise ValueError("the rows were not in the same partitions when they were read again")
                     got[other] = logp[place]
-                n = np.bincount(row, minlength=len(part))
-                total = np.bincount(row, weights=got, minlength=len(part))
+                total, full = np.zeros(len(part)), np.flatnonzero(n)
+                if len(full):
+                    total[full] = np.add.reduceat(got, (np.cumsum(n) - n)[full])
                 out.append(pd.DataFrame({"doc_id": pd.array(keys[at:at + len(part)], "Int64"), "n": n, "log_perplexity": np.where(n > 0, -total / np.maximum(n, 1), np.nan)}))
                 at += len(part)
         return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64"), "log_perplexity": pd.Series(dtype="float64")})
