@@ -49,7 +49,8 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
     rows = pages.select(F.col(key).cast("bigint").alias("_id"), F.coalesce(F.col(url), F.lit("")).alias("_url"), payload.alias("_payload")).withColumn("_sha", base32_sha1(F.col("_payload")))
     # Bodies do not move: only digests meet, and what comes back is one id per digest that several pages share.
     light = pages.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url")).alias("_at"), base32_sha1(payload).alias("_sha"))
-    first = light.groupBy("_sha").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("_sha", "_first")
+    # Written first, so that Spark knows its size before it plans how the bodies meet it.
+    first = cut_lineage(light.groupBy("_sha").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("_sha", "_first"))
     rows = rows.join(first, "_sha", "left")
     own = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_url").alias("url"))
     repeat = F.col("_first").isNotNull() & (F.octet_length("_payload") >= revisit_from) & ~F.coalesce(own.eqNullSafe(F.col("_first")), F.lit(False))
@@ -151,7 +152,7 @@ def chains(points: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per verified record: ``file, offset, record_type, record_id, target_uri, payload_digest, refers_to, payload``.
+    """One row per verified record: ``file, record_type, record_id, target_uri, payload_digest, refers_to, payload``.
 
     ``payload`` is the HTTP body of a response, else empty. Files without a
     record at offset 0 give no rows; a record whose end is missing is dropped.
@@ -166,20 +167,21 @@ def read(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> Data
     true = chains(light.filter("offset >= 0").select("file", "offset", "successor"), block_bytes).withColumn("true", F.lit(True))
     marked = light.join(true, ["file", "offset"], "left")
     owner = F.last(F.when(F.col("true"), F.col("offset")), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
-    marked = cut_lineage(marked.withColumn("record", owner).filter("record IS NOT NULL").select("file", "_split", "_place", "offset", "record"))
-    whole = lines.join(marked, ["file", "_split", "_place"])
-    joined = whole.filter("offset <> record").select("file", "record", "offset", "line")
-    alone = whole.filter("offset = record").select("file", "record", "line")
-    # Most records are one line. Where a payload holds version lines the pieces are few and as long as the record.
-    more = joined.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("offset", "line"))).alias("pieces"))
-    tail = F.aggregate("pieces", F.lit("").cast("binary"), lambda a, x: F.concat(a, F.lit(VERSION).cast("binary"), x["line"]))
-    full = alone.join(more, ["file", "record"], "left").withColumn("line", F.when(F.col("pieces").isNotNull(), F.concat(F.col("line"), tail)).otherwise(F.col("line")))
+    marked = marked.withColumn("record", owner)
+    marked = marked.withColumn("_lines", F.count("*").over(Window.partitionBy("file", "record")))
+    # Most lines are a record each and stay where they are read. The others are listed, written first so that Spark knows how few they are.
+    place = ["file", "_split", "_place"]
+    others = cut_lineage(marked.filter("record IS NULL OR _lines > 1").select(*place, "offset", "record"))
+    alone = lines.join(others.select(*place), place, "left_anti").select("file", "line")
+    parts = lines.join(others.filter("record IS NOT NULL"), place).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("offset", "line"))).alias("p"))
+    line = F.aggregate(F.slice("p", 2, F.size("p")), F.col("p")[0]["line"], lambda a, x: F.concat(a, F.lit(VERSION).cast("binary"), x["line"]))
+    full = alone.unionByName(parts.select("file", line.alias("line")))
     head_bytes = F.octet_length(F.substring_index(F.col("line").cast("string"), END, 1)) + len(END)
     size = header(F.col("line"), "Content-Length").cast("bigint")
     block = F.substring(F.col("line"), head_bytes + 1, size.cast("int"))
     http = F.octet_length(F.substring_index(block.cast("string"), END, 1)) + len(END)
     digest = F.regexp_replace(header(F.col("line"), "WARC-Payload-Digest"), "^sha1:", "")
     return full.filter(F.octet_length("line") >= head_bytes + size).select(
-        "file", F.col("record").alias("offset"), header(F.col("line"), "WARC-Type").alias("record_type"), header(F.col("line"), "WARC-Record-ID").alias("record_id"),
+        "file", header(F.col("line"), "WARC-Type").alias("record_type"), header(F.col("line"), "WARC-Record-ID").alias("record_id"),
         header(F.col("line"), "WARC-Target-URI").alias("target_uri"), digest.alias("payload_digest"), header(F.col("line"), "WARC-Refers-To").alias("refers_to"),
         F.substring(block, http + 1, F.octet_length(block)).alias("payload"))
