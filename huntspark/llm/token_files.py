@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import range_coder, tokens
-from .common import partitions
+from .common import cut_lineage, partitions
 
 MAGIC = b"RCF1"
 HEAD = struct.Struct(">4siiiqiii")
@@ -120,7 +120,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = heads.groupBy("part").agg(F.sum("n").alias("n"))  # one row per partition written
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("number")) - F.col("n")
-    heads = heads.withColumn("inside", inside).join(parts, "part").select("part", "number", (F.col("inside") + F.col("before")).alias("before"))
+    # Written first, so that Spark knows its size (a row per frame) before it plans how the ids meet it.
+    heads = cut_lineage(heads.withColumn("inside", inside).join(parts, "part").select("part", "number", (F.col("inside") + F.col("before")).alias("before")))
 
     def run(batches):
         for batch in batches:
