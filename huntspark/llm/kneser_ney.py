@@ -213,8 +213,9 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             data = zstandard.ZstdCompressor(level=3).compress(pickle.dumps((keys, [t.encode("utf-8", "surrogatepass") for t in texts])))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
 
-    asked = rows.mapInArrow(ask, "block bigint, gram string")
-    known = model.probabilities(asked.select("gram").distinct())
+    # Written once: every order of the model asks anew.
+    asked = cut_lineage(rows.mapInArrow(ask, "block bigint, gram string"))
+    known = model.probabilities(cut_lineage(asked.select("gram").distinct()))
     answers = asked.join(known, "gram").select("block", "gram", F.log("p").cast("float").alias("logp"))
 
     def judge(_, texts_of: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
