@@ -45,8 +45,8 @@ PERCENT = 75
 HEAD = 40
 #: Frequent shingles that come last; how often one occurs in a batch to be counted.
 HOT, OFTEN = 200_000, 4
-#: Sets of a block of a large group.
-BLOCK = 512
+#: Sets of a block of a large group, about, and their shingles together.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: Bits of the filter of wanted sets.
 FILTER_BITS = 24
 #: Columns of a slice.
@@ -271,13 +271,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     sizes = rows.filter("kind = 0").groupBy("id").agg(F.max("n").alias("n"))
     # A partner has at least PERCENT of this row's size, and shares HEAD + PERCENT - 100 per cent of its own.
     need = F.floor(F.col("n") * percent / 100 * (HEAD + percent - 100) / 100)
-    able = cut_lineage(shared.groupBy("id").count().join(sizes, "id").filter(F.col("count") >= need).select("id"))
-    lists = cut_lineage(shared.join(able, "id"))
+    able = cut_lineage(shared.groupBy("id").count().join(sizes, "id").filter(F.col("count") >= need).select("id", "n"))
+    lists = cut_lineage(shared.join(able.select("id"), "id"))
     least = lists.groupBy("column").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("column", "least")
     met = cut_lineage(lists.join(least, "column").filter("id <> least").select("least", "id").distinct())
     heads = met.select("least").distinct().select("least", F.col("least").alias("id"))
-    members = met.unionByName(heads)
-    large = members.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    members = met.unionByName(heads).join(able, "id")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = members.groupBy("least").agg(blocks.alias("blocks")).filter("blocks > 1")
     members = members.join(large, "least", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = members.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
