@@ -48,7 +48,7 @@ SECURE_RULES = (
     ("auth_failure", "medium", "secure_pam_auth_failure", "auth,pam", (("authentication failure",),)),
     ("ssh_login_success", "high", "secure_ssh_login_success", "auth,ssh,login_success", (("accepted password", "accepted publickey"),)),
     ("root_session_opened", "high", "secure_root_session_opened", "auth,privilege", (("session opened for user root",),)),
-    ("sudo_command", "medium", "secure_sudo_command", "sudo,privilege", (("sudo:", "\u0000program=sudo"), ("command=",))),
+    ("sudo_command", "medium", "secure_sudo_command", "sudo,privilege", (("sudo:",), ("command=",))),
     ("su_failure", "medium", "secure_su_failure", "auth,privilege", (("su:",), ("authentication failure", "failed"))),
     ("account_created", "high", "secure_account_created", "account,persistence", (("useradd", "new user", "add user"),)),
     ("account_modified", "medium", "secure_account_modified", "account,privilege", (("usermod", "groupadd", "passwd"),)),
@@ -62,8 +62,11 @@ MESSAGE_RULES = (
     ("network_anomaly", "high", "messages_network_anomaly", "network,anomaly", (("possible syn flooding", "martian source", "promiscuous mode"),)),
     ("device_attached", "high", "messages_usb_device_attached", "device", (("usb",), ("new", "attached"))),
     ("suspicious_cron_command", "high", "messages_suspicious_cron", "cron,persistence", (("cron",), ("wget", "curl", "bash -c", "/tmp/"))),
-    ("service_failure", "high", "messages_service_failure", "service", (("systemd", "\u0000program=systemd"), ("failed", "failure"))),
+    ("service_failure", "high", "messages_service_failure", "service", (("systemd",), ("failed", "failure"))),
 )
+# Fixed values (P10): programs whose own lines need not name them: their name stands for the first group of words.
+RULE_PROGRAMS = {"secure_sudo_command": "sudo", "messages_service_failure": "systemd"}
+# Fixed values (P10): words that make a sudo command risky.
 RISKY_SUDO_WORDS = ("/etc/sudoers", "useradd", "usermod", "passwd", "chmod 777", "chattr", "iptables", "firewall", "curl ", "wget ",
                     "nc ", "ncat", "bash -c", "/tmp/", "crontab")
 
@@ -82,15 +85,13 @@ def syslog_to_risk_events(df: DataFrame, line: str, kind: Column) -> DataFrame:
                        "ts_text": F.concat_ws(" ", F.col("p")["month"], F.col("p")["day"], F.col("p")["clock"])}).drop("p")
     low, prog = F.lower("message"), F.lower("program")
 
-    def word(w):
-        return prog == w.split("=")[1] if w.startswith("\u0000") else low.contains(w)
-
     def pick(rules):
         out = None
         for etype, sev, rule, tags, groups in reversed(rules):
             test = F.lit(True)
-            for g in groups:
-                test = test & any_of(*[word(w) for w in g])
+            for i, g in enumerate(groups):
+                named = [prog == RULE_PROGRAMS[rule]] if i == 0 and rule in RULE_PROGRAMS else []
+                test = test & any_of(*[low.contains(w) for w in g], *named)
             row = F.struct(F.lit(etype).alias("event_type"), F.lit(sev).alias("severity"), F.lit(rule).alias("rule_id"), F.lit(tags).alias("tags"))
             out = F.when(test, row) if out is None else F.when(test, row).otherwise(out)
         return out
@@ -128,6 +129,7 @@ WINDOWS_RULES = {
     1102: ("windows_audit_log_cleared", "critical", "WIN-AUDIT-1102"), 7045: ("windows_service_installed", "high", "WIN-SYSTEM-7045"),
     4104: ("powershell_script_block", "medium", "WIN-PS-4104"), 4688: ("windows_process_high_risk", "high", "WIN-PROC-4688"),
 }
+# Fixed values (P11): words that make a command line suspicious.
 SUSPICIOUS_WORDS = ("-enc", "-encodedcommand", "downloadstring", "invoke-webrequest", " iwr ", "curl ", "wget ", "certutil", "bitsadmin",
                     "rundll32", "regsvr32", "mimikatz", "add-mppreference", "set-mppreference", "net user", "net localgroup", "schtasks",
                     "wmic", "frombase64string")

@@ -78,7 +78,8 @@ def _rows(parts: Iterator[pd.DataFrame], us: str, id_col: str) -> pd.DataFrame:
 def stream_dedupe_exact(stream: DataFrame, key: str, us: str, id_col: str, within_sec: int = 3600) -> DataFrame:
     """A repeat is a row at most ``within_sec`` after the last row of its key that was passed on.
 
-    State: one time per key. Output: key, time, id of the rows passed on.
+    State: one time per key. Output: key, time, id of the rows passed on. Late
+    rows pass; a NULL key never repeats.
     """
     span = within_sec * 1_000_000
     kt, it = (stream.schema[c].dataType.simpleString() for c in (key, id_col))
@@ -95,7 +96,9 @@ def stream_dedupe_exact(stream: DataFrame, key: str, us: str, id_col: str, withi
             state.update((last,))
         yield d.loc[keep, [key, us, id_col]].reset_index(drop=True)
 
-    return _keyed(stream.select(key, us, id_col), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}", "last bigint")
+    rows = stream.select(key, F.col(us).cast("bigint").alias(us), id_col)
+    known = _keyed(rows.where(F.col(key).isNotNull()), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}", "last bigint")
+    return known.unionByName(rows.where(F.col(key).isNull()))
 
 
 def stream_assemble(stream: DataFrame, id_col: str, ts: str, kind: str, idx: str, value: str, required: tuple[str, str], max_age_sec: int = 60, delay: str = "10 seconds") -> DataFrame:
