@@ -33,7 +33,7 @@ from .shingles import SLICE
 ORDER = 4
 START = "\x02"
 #: Characters of a block that is scored in one piece.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 5_000_000
 PRIOR = 200
 UPPER, SPREAD = 0.95, 6.0
 SLOT_BITS = 20
@@ -92,7 +92,7 @@ def gram_counts(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     """``gram, c`` of all texts."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist(), SLICE):
+            for part in slices(batch.column(0).to_pylist(), SLICE // 2):
                 joined, keys, mask, _ = windows(part, order)
                 if len(keys):
                     by = np.argsort(keys)

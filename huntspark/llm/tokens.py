@@ -16,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces a worker remembers before it begins anew.
-REMEMBER = 2_000_000
+REMEMBER = 1_000_000
 #: Bytes of text that are cut at once.
-SLICE = 6_000_000
+SLICE = 2_000_000
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Keeps the first n of eight little-endian bytes.
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 #: Slots of the table of met pieces, as a power of two.
-SLOT_BITS = 21
+SLOT_BITS = 20
 #: Bytes that are visible in themselves, and bytes that begin a character which is never white space.
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
