@@ -35,7 +35,7 @@ START = "\x02"
 #: Characters of a block that is scored in one piece.
 BLOCK_CHARS = 5_000_000
 PRIOR = 200
-UPPER, SPREAD = 0.95, 6.0
+UPPER, SPREAD = 0.95, 3.0
 SLOT_BITS = 20
 #: Characters that are hashed at once.
 STEP = 200_000

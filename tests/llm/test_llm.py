@@ -319,6 +319,21 @@ def test_quality_on_labelled_documents(spark):
     assert np.mean(clean) > 0.99 and np.mean(junk) < 0.25
 
 
+JUNK = (("repeated word", r"(\b\w+)( \1){4}"), ("symbols", r"###|\$\$\$|%%%|&&&|\*\*\*"), ("bars", r" \| "), ("shouting", "!!"))
+
+
+def test_quality_by_kind_of_junk(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.keep for r in queries.op7_kneser_ney(spark, d).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    junk = [r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").filter("quality = 0").collect()]
+    kinds: dict = {}
+    for i in junk:
+        kinds.setdefault(next((k for k, p in JUNK if re.search(p, texts[i])), "other"), []).append(got[i])
+    assert all(not any(kinds[k]) for k in ("symbols", "bars", "shouting")), kinds
+    assert np.mean(kinds["repeated word"]) < 0.25 and np.mean([got[i] for i in junk]) < 0.05
+
+
 def test_quality_of_odd_tables(spark, odd, none):
     got = kneser_ney.judged(odd, spark.createDataFrame([(1,), (2,), (None,)], "doc_id long")).collect()
     assert len(got) == len(ODD) and all(r.keep for r in got if r.lang != "en" or r.doc_id in (1, 2, 4, 5))
