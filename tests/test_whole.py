@@ -1,7 +1,8 @@
 """The ``_whole`` queries cover every row of their tables."""
+from pyspark.sql import functions as F
 
-from huntspark.checks import joins
-from huntspark.checks.base import table
+from huntspark.checks import joins, questions
+from huntspark.checks.base import evidence, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +35,18 @@ def test_paths_meet_whole_paths(spark):
     paths = {r.page_id: r.path for r in joins._paths(spark, SF, True)[0].collect()}
     want = sorted((a, b) for a, p in paths.items() for b, q in paths.items() if p and q and (p.startswith(q) or q.startswith(p)))
     assert sorted(tuple(r) for r in whole(joins, "J02_path_prefix")(spark, SF).collect()) == want
+
+
+def test_trace_takes_all_web_and_exec_rows(spark):
+    found = {r.host for r in whole(questions, "Q4_intrusion_trace")(spark, SF).collect()}
+    rows = evidence(spark, SF).where("event_type IN ('signup', 'click')").select((F.col("user_id") % 30).alias("h")).distinct()
+    assert {f"h{r.h}" for r in rows.collect()} <= found
+    seen = []
+    keep = questions.trace_intrusion
+    questions.trace_intrusion = lambda tables, *a, **k: seen.append({n: t.count() for n, t in tables.items()}) or keep(tables, *a, **k)
+    try:
+        whole(questions, "Q4_intrusion_trace")(spark, SF)
+    finally:
+        questions.trace_intrusion = keep
+    n = {r.event_type: r["count"] for r in evidence(spark, SF).groupBy("event_type").count().collect()}
+    assert (seen[0]["web_access_log"], seen[0]["host_exec"]) == (n["signup"], n["click"])
