@@ -1,7 +1,7 @@
 """The ``_whole`` queries cover every row of their tables."""
 from pyspark.sql import functions as F
 
-from huntspark.checks import joins, questions
+from huntspark.checks import joins, normalize, questions, rollups
 from huntspark.checks.base import evidence, table
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,25 @@ def test_trace_takes_all_web_and_exec_rows(spark):
         questions.trace_intrusion = keep
     n = {r.event_type: r["count"] for r in evidence(spark, SF).groupBy("event_type").count().collect()}
     assert (seen[0]["web_access_log"], seen[0]["host_exec"]) == (n["signup"], n["click"])
+
+
+def _documents(spark, tmp_path, texts):
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_highlights_are_whole_texts(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["the same start, one end", "the same start, other end"])
+    assert {r.snippet for r in whole(rollups, "A21_host_highlights")(spark, d).collect()} == {"the same start, one end", "the same start, other end"}
+
+
+def test_secrets_behind_the_header_are_seen(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["plain " * 40 + "--token s3cret tail", "mysql --password=hunter2 end"])
+    clean = {r.doc_id: r.clean for r in whole(normalize, "P26_redact_secrets")(spark, d).collect()}
+    assert clean[0].endswith("plain --token [REDACTED] tail") and clean[1].endswith("mysql --password=[REDACTED] end")
+
+
+def test_evidence_ids_are_whole(spark):
+    ids = [r.evidence_id for r in whole(normalize, "P07_normalize_events")(spark, SF).collect()]
+    assert all(len(i) == 45 and i.startswith("host-exec-v2-") for i in ids) and len(set(ids)) == len(ids) == table(spark, SF, "events").count()
