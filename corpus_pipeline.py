@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of binary length with a checksum of their ids."""
-    pieces = packing.packed(docs, queries.vocabulary("word_bpe_49k.json"))
+    pieces = packing.packed(docs, queries.vocabulary("word_bpe_49k.json"), special=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

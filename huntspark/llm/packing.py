@@ -29,7 +29,8 @@ def decompose(counts: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, n
     return doc, np.repeat(np.tile(sizes, len(counts)), times.ravel())
 
 
-def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, longest: int = LONGEST) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, longest: int = LONGEST,
+           special: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
 
     ``ids`` are little-endian unsigned 32-bit values. A sequence is one piece,
@@ -37,7 +38,8 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     must be one itself. ``sequence_id`` holds the input partition, the bucket
     (the logarithm of the length) and a count; it is the same when a task is
     repeated. NULL texts are empty and consist of the end id; equal rows are
-    packed like any others; other columns are left out.
+    packed like any others; other columns are left out. With ``special`` the
+    strings of special tokens in texts become their ids.
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
@@ -48,7 +50,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             keys = batch.column(0)
-            for at, ids, count in tokens.encoded(batch.column(1), tokenizer, end_id):
+            for at, ids, count in tokens.encoded(batch.column(1), tokenizer, end_id, special):
                 doc, length = decompose(count, longest)
                 ends = np.cumsum(length)
                 begin = np.cumsum(count) - count

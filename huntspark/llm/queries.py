@@ -51,7 +51,7 @@ def vocabulary(name: str) -> str:
 
 def op5_binary_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document's pieces of binary length, with a checksum of their ids."""
-    pieces = packing.packed(table(spark, d, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    pieces = packing.packed(table(spark, d, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), special=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -81,7 +81,7 @@ def op8_sparse_product(spark: SparkSession, d: str) -> DataFrame:
 def op9_mixed_range_coder(spark: SparkSession, d: str) -> DataFrame:
     """Every document's ids as the coded files hold them."""
     path = shared_dir(spark, "tokens")
-    token_files.write(table(spark, d, "documents").select("doc_id", "text"), path, vocabulary("byte_bpe_50k.json"))
+    token_files.write(table(spark, d, "documents").select("doc_id", "text"), path, vocabulary("byte_bpe_50k.json"), special=True)
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

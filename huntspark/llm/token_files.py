@@ -63,12 +63,13 @@ def unframe(data: bytes):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, vocabulary: int = 65_536,
-          block: int = range_coder.BLOCK, lanes: int = range_coder.LANES) -> None:
+          block: int = range_coder.BLOCK, lanes: int = range_coder.LANES, special: bool = False) -> None:
     """Writes the ids of all texts, each ended by ``end_id``, to a new folder.
 
     Documents stand in ascending order of their id (NULL first, equal ids by
     text); NULL texts are empty. Other columns are not written. ``vocabulary``
-    is a bound above all ids.
+    is a bound above all ids. With ``special`` the strings of special tokens in
+    texts become their ids.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -86,7 +87,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
             column = batch.column(0)
             nulls = np.asarray(column.is_null())
             keys = np.asarray(column.fill_null(0))
-            for at, ids, counts in tokens.encoded(batch.column(1), tokenizer, end_id):
+            for at, ids, counts in tokens.encoded(batch.column(1), tokenizer, end_id, special):
                 begin = 0
                 ends = np.cumsum(counts)
                 while begin < len(counts):

@@ -6,10 +6,15 @@ between two visible characters, and its ids are those of its pieces in order.
 A batch is cut with numpy, pieces are told apart by a 64-bit hash, and only
 pieces that this worker has not met are given to the library. What it has met
 is kept in flat arrays of bounded size.
+
+With ``special`` the strings of special tokens in a text become their ids, as
+is the library's default: texts are cut around them first. Without it they are
+ordinary text.
 """
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -88,12 +93,15 @@ def piece_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content] if special else []
+        # The longest first, as the library matches them.
+        self.special = re.compile(b"|".join(re.escape(t) for t in sorted(strings, key=len, reverse=True))) if strings else None
         self._forget()
 
     def _forget(self) -> None:
@@ -141,12 +149,25 @@ class Encoder:
         place[order] = self.place[at][np.cumsum(begins) - 1]
         return place
 
+    def _around_special(self, data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> None:
+        """Marks both ends of the special tokens' strings within a text, and nothing inside."""
+        raw, at = data.tobytes(), 0
+        while found := self.special.search(raw, at):
+            a, b = found.span()
+            if (end := int(offsets[np.searchsorted(offsets, a, side="right")])) < b:
+                at = end  # begins in one text and ends in the next
+                continue
+            marks[a], marks[a + 1:b], marks[b:b + 1] = True, False, True
+            at = b
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number per text, of texts that lie end to end in ``data``."""
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         marks = cuts(data)
         marks[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        if self.special:
+            self._around_special(data, offsets, marks)
         starts = np.flatnonzero(marks)
         place = self._places(data, starts, np.diff(np.append(starts, len(data))))
         count = self.count[place]
@@ -155,14 +176,14 @@ class Encoder:
         return ids, np.diff(before[np.searchsorted(starts, offsets)])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One per worker, vocabulary and treatment of special tokens' strings."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,10 +198,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def encoded(texts: pa.Array, path: str, end_id: int | None = None):
+def encoded(texts: pa.Array, path: str, end_id: int | None = None, special: bool = False):
     """Yields ``(first row, ids, ids per row)`` for slices of a text column, each text ended by ``end_id``."""
     data, offsets = buffers(texts)
-    work, at = encoder(path), 0
+    work, at = encoder(path, special), 0
     while at < len(offsets) - 1:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
         ids, count = work.encode(data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at])

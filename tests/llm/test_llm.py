@@ -219,6 +219,33 @@ def test_ids_of_pieces_are_the_ids_of_texts(name):
     assert got == plain_ids(texts, name)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_special_strings_are_the_librarys(name):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    random.seed(7)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "<|", "a", "B", " ", "\n", "  ", "é", "\u0301", "中", "'s", "1", ".", "ß"]
+    texts = ["".join(random.choice(marks) for _ in range(random.randint(0, 20))) for _ in range(1500)] + ["x <|endof", "text|> y", "<|endoftext|>"] + [r[1] or "" for r in ODD]
+    plain = Tokenizer.from_file(queries.vocabulary(name))
+    want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    got = [part.tolist() for _, ids, n in tokens.encoded(pa.array(texts), queries.vocabulary(name), 2, special=True) for part in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == want
+
+
+def test_queries_give_special_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|startoftext|>three"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, column, name in ((queries.op5_binary_packing, "doc_tokens", "word_bpe_49k.json"), (queries.op9_mixed_range_coder, "n_tokens", "byte_bpe_50k.json")):
+        plain = Tokenizer.from_file(queries.vocabulary(name))
+        got = {r.doc_id: r[column] for r in query(spark, str(tmp_path)).collect()}
+        assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_pieces_rebuild_the_documents(odd, none):
     rows = packing.packed(odd, queries.vocabulary("word_bpe_49k.json"), longest=64).collect()
     want = sorted((r[0] or 0, ids) for r, ids in zip(ODD, plain_ids([r[1] for r in ODD], "word_bpe_49k.json")))
