@@ -1,7 +1,7 @@
 """The ``_whole`` queries cover every row of their tables."""
 from pyspark.sql import functions as F
 
-from huntspark.checks import joins, normalize, questions, rollups
+from huntspark.checks import joins, normalize, questions, rollups, sources
 from huntspark.checks.base import evidence, table
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,15 @@ def test_secrets_behind_the_header_are_seen(spark, tmp_path):
 def test_evidence_ids_are_whole(spark):
     ids = [r.evidence_id for r in whole(normalize, "P07_normalize_events")(spark, SF).collect()]
     assert all(len(i) == 45 and i.startswith("host-exec-v2-") for i in ids) and len(set(ids)) == len(ids) == table(spark, SF, "events").count()
+
+
+def test_order_guard_keeps_the_partitions(spark, tmp_path, monkeypatch):
+    table(spark, SF, "events").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    seen, follow = [], sources.T.follow_files
+    monkeypatch.setattr(sources.T, "follow_files", lambda s, path, *a, **k: seen.append(len(s.read.parquet(path).inputFiles())) or follow(s, path, *a, **k))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = sorted(tuple(r) for r in sources.t08(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] == 8 and got == sorted(tuple(r) for r in sources.t08(spark, SF).collect())
