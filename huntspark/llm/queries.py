@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, jaccard_join, kneser_ney, mixing, packing, token_files, url_templates, vectors, warc
+from . import alignment, chat, exact_dedup, fingerprints, jaccard_join, kneser_ney, mixing, packing, token_files, url_templates, vector_codes, vectors, warc
 from .common import cut_lineage, shared_dir, table
 
 #: The rules of the url query: verdict, host, path.
@@ -90,7 +90,23 @@ def op10_role_repair(spark: SparkSession, d: str) -> DataFrame:
     return chat.repaired(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op7_kneser_ney, op8_sparse_product, op9_mixed_range_coder, op10_role_repair)}
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Links and groups between the tokens of two vocabularies in every document."""
+    return alignment.linked(table(spark, d, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_gnat_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Product codes of all vectors and what they lose."""
+    return vector_codes.coded(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_fuse_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, the one that stays of its equals, and how many they are."""
+    return exact_dedup.deduplicated(table(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_chain, op2_scaled_sketch, op3_source_mix, op4_url_templates, op5_binary_packing, op6_posting_lists, op7_kneser_ney, op8_sparse_product, op9_mixed_range_coder, op10_role_repair,
+                                   op11_token_alignment, op12_gnat_codes, op13_fuse_dedup)}
 
 OP1_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(encode(coalesce(html, '')))) AS h FROM pages),
@@ -144,4 +160,29 @@ SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, m.r AS component_id FRO
 JOIN (SELECT d, min(r) AS r FROM c GROUP BY d) m ON m.d = documents.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc_chain": OP1_SQL, "op4_url_templates": _op4_sql(), "op8_sparse_product": OP8_SQL}
+
+
+def _op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    apart = "list_sum(list_transform(list_zip(p.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = lambda i: f"""a{i} AS (SELECT n, part, first(e ORDER BY d, e) AS e, min(d) AS d FROM (SELECT p.n, p.part, c.e, {apart} AS d FROM p JOIN c{i} c USING (part)) GROUP BY n, part)"""
+    out = [f"""k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+           f"""p AS (SELECT n, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS s FROM k, range({parts}) t(part))""",
+           f"c0 AS (SELECT part, n AS e, s FROM p WHERE n < {entries})"]
+    for i in range(rounds):
+        out += [near(i), f"""m{i} AS (SELECT part, e, list(m ORDER BY i) AS s FROM (SELECT part, e, i, (t - ((t % c) + c) % c) // c AS m FROM (
+        SELECT p.part, e, i, CAST(sum(p.s[i]) AS BIGINT) AS t, count(*) AS c FROM p JOIN a{i} USING (n, part), range(1, 1000) r(i) WHERE i <= len(p.s) GROUP BY ALL)) GROUP BY part, e)""",
+                f"c{i + 1} AS (SELECT c.part, c.e, coalesce(m.s, c.s) AS s FROM c{i} c LEFT JOIN m{i} m USING (part, e))"]
+    return f"""WITH {", ".join([*out, near(rounds)])},
+h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT n, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY n)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN r USING (n), h"""
+
+
+OP13_SQL = """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256 FROM t
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_chain": OP1_SQL, "op4_url_templates": _op4_sql(), "op8_sparse_product": OP8_SQL, "op12_gnat_codes": _op12_sql(), "op13_fuse_dedup": OP13_SQL}
