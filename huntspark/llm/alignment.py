@@ -25,7 +25,9 @@ from . import tokens
 from .common import cut_lineage
 
 #: Bytes of text that are aligned at once, and that make a block of partial counts.
-SLICE, BLOCK = 2_000_000, 8_000_000
+SLICE, BLOCK = 500_000, 8_000_000
+#: Pieces that a worker remembers per vocabulary.
+REMEMBER = 250_000
 #: Pairs and ends are one 64-bit key each: first id or document above these bits.
 _PAIR, _END = 32, 38
 _DOCS = 1 << (63 - _END)
@@ -87,6 +89,7 @@ class Vocabulary:
     """An encoder and the bytes of its entries."""
 
     def __init__(self, encoder: tokens.Encoder, entries: list[bytes]):
+        encoder.remember = REMEMBER
         self.encoder, self.bytes = encoder, pa.array(entries, pa.large_binary())
         self.sizes = pc.binary_length(self.bytes).cast(pa.int64())
 
@@ -107,7 +110,7 @@ class Vocabulary:
 
 def byte_level(path: str) -> Vocabulary:
     """A byte-level vocabulary of the tokenizers library; strings of special tokens are plain text."""
-    encoder, alphabet = tokens.encoder(path), byte_alphabet()
+    encoder, alphabet = tokens.Encoder(path), byte_alphabet()
     entries = [b""] * (1 + max(encoder.tokenizer.get_vocab().values()))
     for entry, i in encoder.tokenizer.get_vocab().items():
         entries[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()

@@ -93,6 +93,8 @@ def piece_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 
 class Encoder:
+    remember = REMEMBER
+
     def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -136,7 +138,7 @@ class Encoder:
         ordered = keys[order]
         begins = np.append(True, ordered[1:] != ordered[:-1])
         unique, example = ordered[begins], order[begins]
-        if len(self.keys) + len(unique) > REMEMBER and len(self.keys):
+        if len(self.keys) + len(unique) > self.remember and len(self.keys):
             self._forget()
             return self._places(data, starts, lengths)
         at = np.searchsorted(self.keys, unique)
