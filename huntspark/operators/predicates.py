@@ -149,8 +149,8 @@ def _typed(c: Conditions, value, node) -> Column:
         from .normalize import SHELL_NAMES, SHELL_PATHS
         return any_of(F.lower(c.text("comm")).isin(*SHELL_NAMES), *[c.text("exe").startswith(p) for p in SHELL_PATHS])
     if value == "persistence_write":
-        from .rules import PERSISTENCE_WRITE
-        return c.text("command").rlike(PERSISTENCE_WRITE)
+        from .commands import command_writes_persistence
+        return command_writes_persistence(c.text("command"))
     return F.lit(False)
 
 
