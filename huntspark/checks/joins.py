@@ -38,24 +38,19 @@ def _edges_sql(a, b, jid):
 J01_SQL = f"WITH {EV}, {SIDES} SELECT join_id, left_ref, right_ref, confidence, n::BIGINT AS n_keys FROM ({_edges_sql('click', 'purchase', 'click_to_purchase')})"
 
 
-def _paths(spark, d, whole=False):
-    p = table(spark, d, "pages")
-    left = p.select("page_id", web.normalize_url_path(F.col("url")).alias("path"))
-    if whole:
-        return left, left.select(F.col("page_id").alias("rule_id"), F.col("path").alias("prefix"))
-    right = p.where("page_id % 10 = 0").select(F.col("page_id").alias("rule_id"), F.left(web.normalize_url_path(F.col("url")), F.lit(5)).alias("prefix"))
-    return left, right
+def _paths(spark, d):
+    left = table(spark, d, "pages").select("page_id", web.normalize_url_path(F.col("url")).alias("path"))
+    return left, left.select(F.col("page_id").alias("rule_id"), F.col("path").alias("prefix"))
 
 
-def j02_prefix(spark, d, whole=False):
-    l, r = _paths(spark, d, whole)
+def j02_prefix(spark, d):
+    l, r = _paths(spark, d)
     return J.prefix_join(l, r, "path", "prefix").select("page_id", "rule_id")
 
 
 J02P_SQL = r"""WITH p AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://[^/?]*', ''), '\?$', '')) AS path FROM pages),
-r AS (SELECT page_id AS rule_id, substring(path, 1, 5) AS prefix FROM p WHERE page_id % 10 = 0)
+r AS (SELECT page_id AS rule_id, path AS prefix FROM p)
 SELECT page_id, rule_id FROM p JOIN r ON starts_with(path, prefix) OR starts_with(prefix, path) WHERE path <> '' AND prefix <> ''"""
-J02W_SQL = J02P_SQL.replace("substring(path, 1, 5) AS prefix FROM p WHERE page_id % 10 = 0", "path AS prefix FROM p")
 
 
 def j02_modes(spark, d):
@@ -314,8 +309,8 @@ t AS (SELECT event_id, us, src, '10.0.0.' || (k % 30) AS dst, unnest(['root', '?
 SELECT src, dst, "user", min(us) AS us, min_by(event_id, (us, event_id)) AS evidence_id, 0.78::DOUBLE AS confidence FROM t WHERE src <> dst GROUP BY 1, 2, 3"""
 
 
-def j16(spark, d, rows="o_custkey % 10 = 0"):
-    o = table(spark, d, "orders").where(rows).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.col("o_orderpriority").alias("dst"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
+def j16(spark, d):
+    o = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.col("o_orderpriority").alias("dst"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
                                                                F.expr("CASE o_orderstatus WHEN 'F' THEN 'suspected_lateral' ELSE 'likely_lateral' END").alias("lateral_class"), F.lit(0.78).alias("confidence"), F.array(F.col("o_orderkey")).alias("evidence_refs"), F.col("o_orderkey").alias("n"))
     lg = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.col("o_orderpriority").alias("dst"), F.concat(F.lit("u"), (F.col("o_orderkey") % 2).cast("string")).alias("user"),
                                                                     F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"), F.col("o_orderkey").alias("evidence_id"))
@@ -323,10 +318,9 @@ def j16(spark, d, rows="o_custkey % 10 = 0"):
 
 
 J16_SQL = """WITH f AS (SELECT o_custkey, o_orderpriority, o_orderkey % 2 AS u, min(o_orderdate) AS dt, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS ref FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2, 3),
-c AS (SELECT o_custkey, o_orderpriority, min(epoch_us(dt)) AS cus, list(ref) AS refs FROM f GROUP BY 1, 2), j AS (SELECT o.*, c.cus, c.refs, o.o_orderstatus = 'F' AND c.cus IS NOT NULL AS hit FROM orders o LEFT JOIN c USING (o_custkey, o_orderpriority) WHERE o_custkey % 10 = 0)
+c AS (SELECT o_custkey, o_orderpriority, min(epoch_us(dt)) AS cus, list(ref) AS refs FROM f GROUP BY 1, 2), j AS (SELECT o.*, c.cus, c.refs, o.o_orderstatus = 'F' AND c.cus IS NOT NULL AS hit FROM orders o LEFT JOIN c USING (o_custkey, o_orderpriority))
 SELECT o_orderkey AS n, CASE WHEN hit THEN 'confirmed_lateral' WHEN o_orderstatus = 'F' THEN 'suspected_lateral' ELSE 'likely_lateral' END AS lateral_class, CASE WHEN hit THEN 0.92 ELSE 0.78 END::DOUBLE AS confidence, CASE WHEN hit THEN epoch_us(o_orderdate) END AS attempt_us,
  CASE WHEN hit THEN cus END AS confirmed_us, array_to_string(list_sort(CASE WHEN hit THEN list_distinct(list_append(refs, o_orderkey)) ELSE [o_orderkey] END), ',') AS refs FROM j"""
-J16W_SQL = J16_SQL.replace(" WHERE o_custkey % 10 = 0", "")
 
 
 def _lat(spark, d):
@@ -394,15 +388,14 @@ J20_SQL = f"""WITH RECURSIVE {EV}, w AS (SELECT s.event_id AS start_id, s.us AS
 SELECT start_id, depth::BIGINT AS depth, ref AS ancestor_ref FROM w"""
 
 
-def j21(spark, d, rows="o_custkey % 3 = 0"):
+def j21(spark, d):
     inv = table(spark, d, "customer").select(F.col("c_name").alias("host"), F.concat(F.lit("10.1.0."), F.col("c_nationkey").cast("string")).alias("ip"))
-    ev = table(spark, d, "orders").where(rows).select(F.expr("concat('Customer#', lpad(cast(o_custkey AS string), 9, '0'))").alias("host"), F.concat(F.lit("10.2."), F.substring("o_orderpriority", 1, 1), F.lit(".9")).alias("ip"))
+    ev = table(spark, d, "orders").select(F.expr("concat('Customer#', lpad(cast(o_custkey AS string), 9, '0'))").alias("host"), F.concat(F.lit("10.2."), F.substring("o_orderpriority", 1, 1), F.lit(".9")).alias("ip"))
     return J.host_ip_map([inv, ev])
 
 
-J21_SQL = """WITH o AS (SELECT 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS host, max('10.2.' || substr(o_orderpriority, 1, 1) || '.9') AS ip FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), c AS (SELECT c_name AS host, '10.1.0.' || c_nationkey AS ip FROM customer)
+J21_SQL = """WITH o AS (SELECT 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS host, max('10.2.' || substr(o_orderpriority, 1, 1) || '.9') AS ip FROM orders GROUP BY 1), c AS (SELECT c_name AS host, '10.1.0.' || c_nationkey AS ip FROM customer)
 SELECT host, coalesce(o.ip, c.ip) AS ip FROM c FULL JOIN o USING (host)"""
-J21W_SQL = J21_SQL.replace(" WHERE o_custkey % 3 = 0", "")
 
 
 def j21_enrich(spark, d):
@@ -414,25 +407,24 @@ def j21_enrich(spark, d):
 J21E_SQL = "SELECT o_orderkey, c_mktsegment AS segment, c_custkey IS NOT NULL AS registered FROM orders LEFT JOIN customer ON c_name = 'Customer#' || lpad((o_custkey + 5)::VARCHAR, 9, '0')"
 
 
-def _stages(spark, d, rows="l_orderkey % 4 = 0", fallback="l_orderkey % 8 = 0"):
-    li = table(spark, d, "lineitem").where(rows)
+def _stages(spark, d):
+    li = table(spark, d, "lineitem")
     s = lambda c: F.col(c).cast("string")
     m = li.where("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("stage_id")).agg(F.collect_set(s("l_partkey")).alias("evidence_refs"), F.round(F.max("l_discount") + 0.6, 2).alias("confidence"))
     h = li.where("l_returnflag = 'R'").groupBy(F.concat(F.lit("h"), s("l_orderkey")).alias("sid"), F.col("l_orderkey")).agg(F.collect_set(s("l_partkey")).alias("evidence_refs"), F.round(F.max("l_tax") + 0.7, 2).alias("confidence"))
-    return m, h.where(fallback).select((-F.col("l_orderkey")).alias("stage_id"), "evidence_refs", "confidence")
+    return m, h.select((-F.col("l_orderkey")).alias("stage_id"), "evidence_refs", "confidence")
 
 
-def j22(spark, d, *rows):
-    m, h = _stages(spark, d, *rows)
+def j22(spark, d):
+    m, h = _stages(spark, d)
     return J.merge_stages(m, h).select("stage_id", "confidence", "source")
 
 
-J22_SQL = """WITH li AS (SELECT * FROM lineitem WHERE l_orderkey % 4 = 0), m AS (SELECT l_orderkey AS id, round(max(l_discount) + 0.6, 2) AS c FROM li WHERE l_returnflag = 'A' GROUP BY 1), mr AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM li WHERE l_returnflag = 'A'),
-h AS (SELECT l_orderkey AS id, round(max(l_tax) + 0.7, 2) AS c FROM li WHERE l_returnflag = 'R' AND l_orderkey % 8 = 0 GROUP BY 1), hr AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM li WHERE l_returnflag = 'R' AND l_orderkey % 8 = 0),
+J22_SQL = """WITH li AS (SELECT * FROM lineitem), m AS (SELECT l_orderkey AS id, round(max(l_discount) + 0.6, 2) AS c FROM li WHERE l_returnflag = 'A' GROUP BY 1), mr AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM li WHERE l_returnflag = 'A'),
+h AS (SELECT l_orderkey AS id, round(max(l_tax) + 0.7, 2) AS c FROM li WHERE l_returnflag = 'R' GROUP BY 1), hr AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM li WHERE l_returnflag = 'R'),
 up AS (SELECT mr.id, max(h.c) AS c FROM mr JOIN hr USING (ref) JOIN h ON h.id = hr.id GROUP BY 1)
 SELECT m.id AS stage_id, round(greatest(m.c, coalesce(up.c, 0)), 2)::DOUBLE AS confidence, 'matrix' AS source FROM m LEFT JOIN up ON up.id = m.id
 UNION ALL SELECT -id, c, 'heuristic_fallback' FROM h WHERE id NOT IN (SELECT hr.id FROM hr JOIN mr USING (ref))"""
-J22W_SQL = J22_SQL.replace(" WHERE l_orderkey % 4 = 0", "").replace(" AND l_orderkey % 8 = 0", "")
 
 
 def j22_entry(spark, d):
@@ -448,15 +440,14 @@ SELECT host, min(us) FILTER (pos = 1) AS us, min(o) FILTER (pos = 1) AS outcome_
  string_agg(CASE h WHEN 0 THEN 'matrix' ELSE 'heuristic' END, '+' ORDER BY h DESC) AS correlation_source FROM r GROUP BY host"""
 
 
-def j22_attach(spark, d, *rows):
-    m, _ = _stages(spark, d, *rows)
+def j22_attach(spark, d):
+    m, _ = _stages(spark, d)
     e = table(spark, d, "part").select(F.concat(F.lit("j"), (F.col("p_size") % 7).cast("string")).alias("join_id"), F.col("p_partkey").cast("string").alias("left_ref"), (F.col("p_partkey") * 2).cast("string").alias("right_ref"))
     return J.attach_join_ids(m, e).select("stage_id", F.array_join("join_ids", ",").alias("join_ids"))
 
 
-J22A_SQL = """WITH mr AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem WHERE l_orderkey % 4 = 0 AND l_returnflag = 'A'), e AS (SELECT 'j' || (p_size % 7) AS j, p_partkey AS ref FROM part UNION SELECT 'j' || (p_size % 7), p_partkey * 2 FROM part)
+J22A_SQL = """WITH mr AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem WHERE l_returnflag = 'A'), e AS (SELECT 'j' || (p_size % 7) AS j, p_partkey AS ref FROM part UNION SELECT 'j' || (p_size % 7), p_partkey * 2 FROM part)
 SELECT id AS stage_id, coalesce(string_agg(DISTINCT j, ',' ORDER BY j), '') AS join_ids FROM mr LEFT JOIN e USING (ref) GROUP BY 1"""
-J22AW_SQL = J22A_SQL.replace("l_orderkey % 4 = 0 AND ", "")
 
 
 def j23(spark, d):
@@ -560,7 +551,4 @@ CHECKS = {
     "J18_nearest_asof": (j18, J18_SQL), "J19_process_attribution": (j19, J19_SQL), "J20_ancestor_replay": (j20, J20_SQL), "J21_host_ip_map": (j21, J21_SQL), "J21_enrich_from_inventory": (j21_enrich, J21E_SQL), "J22_merge_stages": (j22, J22_SQL),
     "J22_merge_initial_access": (j22_entry, J22E_SQL), "J22_attach_join_ids": (j22_attach, J22A_SQL), "J23_stages_from_edges": (j23, J23_SQL), "J24_second_hop_targets": (j24, J24_SQL), "J25_route_by_id": (j25, J25_SQL), "J26_snapshot_diff": (j26, J26_SQL), "J26_process_diff": (j26_process, J26P_SQL),
     "J27_line_diff": (j27, J27_SQL), "J28_correlation_summary": (j28, J28_SQL), "J29_asset_topology": (j29, J29_SQL),
-    # The same operators on whole tables.
-    "J02_path_prefix_whole": (lambda spark, d: j02_prefix(spark, d, True), J02W_SQL), "J16_confirm_lateral_whole": (lambda spark, d: j16(spark, d, "true"), J16W_SQL), "J21_host_ip_map_whole": (lambda spark, d: j21(spark, d, "true"), J21W_SQL),
-    "J22_merge_stages_whole": (lambda spark, d: j22(spark, d, "true", "true"), J22W_SQL), "J22_attach_join_ids_whole": (lambda spark, d: j22_attach(spark, d, "true", "true"), J22AW_SQL),
 }

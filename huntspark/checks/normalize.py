@@ -91,7 +91,7 @@ SELECT c_custkey, 'exec' AS kind, coalesce(good, ip, given) AS host, coalesce(ip
 UNION ALL SELECT c_custkey, 'waf', coalesce(good, t), ip FROM c"""
 
 
-def _normalized(spark, d):
+def p07(spark, d):
     raw = evidence(spark, d).withColumn("ip_raw", F.expr(RAW_IP)).select(
         S("event_id").alias("audit_id"), F.concat(F.lit("{\"usr\":\"u"), S("user_id"), F.lit("\"}")).alias("message"), F.lit("localhost").alias("hostname"),
         F.concat(F.lit("10.2.0."), (F.col("user_id") % 250).cast("string"), F.lit(":22")).alias("log_source"), F.col("ip_raw").alias("remote"),
@@ -101,13 +101,11 @@ def _normalized(spark, d):
     return N.normalize_events(raw, asset).select("audit_id", "host", "host_ip", "src_ip", "user", "command_line", F.unix_millis("ts").alias("ms"), "evidence_id")
 
 
-def p07(spark, d):
-    return _normalized(spark, d).select("*", F.substring("evidence_id", 1, 13).alias("id_head"), F.length("evidence_id").cast("bigint").alias("id_len")).drop("evidence_id")
-
-
 P07_SQL = f"""WITH {EV} SELECT event_id::VARCHAR AS audit_id, '10.2.0.' || (user_id % 250) AS host, '10.2.0.' || (user_id % 250) AS host_ip,
   coalesce({GOOD_IP_SQL}, {RAW_IP_SQL}) AS src_ip, 'u' || user_id AS "user", 'run ' || repeat('*', 8 + length(k::VARCHAR)) AS command_line,
-  us // 1000 AS ms, 'host-exec-v2-' AS id_head, 45::BIGINT AS id_len FROM ev"""
+  us // 1000 AS ms, 'host-exec-v2-' || substring(sha256('a1|c1|host_exec|{{"audit_id":"' || event_id || '","cmd":"run --token ' || k || '","command_line":"run --token ' || k || '","host":"10.2.0.' || (user_id % 250) || '","host_ip":"10.2.0.'
+  || (user_id % 250) || '","hostname":"localhost","log_source":"10.2.0.' || (user_id % 250) || ':22","message":"{{\\"usr\\":\\"u' || user_id || '\\"}}","remote":' || to_json({RAW_IP_SQL}) || ',"src_ip":' || to_json(coalesce({GOOD_IP_SQL}, {RAW_IP_SQL}))
+  || ',"user":"u' || user_id || '","when":"' || (us // 1000) || '"}}'), 1, 32) AS evidence_id FROM ev"""
 
 
 def p08(spark, d):
@@ -360,17 +358,15 @@ P25_SQL = f"""WITH {EV} SELECT event_id, CASE event_type WHEN 'view' THEN 'GET /
   WHEN 'purchase' THEN 'connect 10.0.0.1:' || k ELSE 'signup /etc/x' END AS behavior FROM ev"""
 
 
-def p26(spark, d, whole=False):
+def p26(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.expr("concat('run --password=', source, ' --api-key ', doc_id, ' sshpass -p pw', doc_id, ' http://u:p', doc_id, '@h/ Authorization: Bearer t', doc_id, ' ', text)").alias("cmd"))
     argv = F.array(F.lit("sshpass"), F.lit("-p"), F.col("doc_id").cast("string"), F.lit("--token"), F.col("doc_id").cast("string"), F.lit("x"))
-    clean = X.redact_command(F.col("cmd"))
-    return t.select("doc_id", (clean if whole else F.left(clean, F.lit(125))).alias("clean"), F.array_join(X.redact_argv(argv), " ").alias("argv"))
+    return t.select("doc_id", X.redact_command(F.col("cmd")).alias("clean"), F.array_join(X.redact_argv(argv), " ").alias("argv"))
 
 
-P26_SQL = """SELECT doc_id, substring('run --password=[REDACTED] --api-key [REDACTED] sshpass -p [REDACTED] http://u:[REDACTED]@h/ Authorization: Bearer [REDACTED] ' || text, 1, 125) AS clean,
+P26_SQL = """SELECT doc_id, 'run --password=[REDACTED] --api-key [REDACTED] sshpass -p [REDACTED] http://u:[REDACTED]@h/ Authorization: Bearer [REDACTED] ' || text AS clean,
   'sshpass -p [REDACTED] --token [REDACTED] x' AS argv FROM documents"""
 #: No document of the tables holds a secret of its own; a fixture covers those.
-P26W_SQL = P26_SQL.replace("substring('run", "'run").replace(" || text, 1, 125)", " || text")
 
 
 def p27(spark, d):
@@ -411,6 +407,4 @@ CHECKS = {
     "P20_syslog_to_ssh_auth": (p20, P20_SQL), "P20_failed_logins": (p20_failed, P20F_SQL), "P21_repair_events": (p21, P21_SQL), "P22_exec_context_flags": (p22, P22_SQL),
     "P23_ip_class_tags": (p23, P23_SQL), "P24_web_vector": (p24, P24_SQL), "P25_raw_behavior": (p25, P25_SQL),
     "P26_redact_secrets": (p26, P26_SQL), "P27_behavior_fingerprint": (p27, P27_SQL), "P28_classify_windows_evidence": (p28, P28_SQL),
-    # Whole ids, which SQL cannot follow, and whole commands.
-    "P07_normalize_events_whole": (_normalized, None), "P26_redact_secrets_whole": (lambda spark, d: p26(spark, d, True), P26W_SQL),
 }

@@ -75,17 +75,17 @@ SELECT alert_id, CASE WHEN m = 0 THEN 'rce' ELSE 'unknown' END AS attack_type, v
  CASE WHEN act2 = 'block_ip' AND NOT (ip < 20 AND ip % 2 = 0) THEN 'manual_review_30m' ELSE act2 END AS recommended_action, CASE WHEN act2 = 'block_ip' THEN CASE WHEN ip % 2 = 0 THEN 'no_shared_exit_indicator' ELSE 'ip_profile_not_verified' END END AS block_reason FROM f"""
 
 
-def q4(spark, d, web="k % 4 = 0", execs="k % 3 = 0"):
+def q4(spark, d):
     e = evidence(spark, d).select(F.col("event_id").alias("evidence_id"), "us", F.concat(F.lit("h"), (F.col("user_id") % 30).cast("string")).alias("host"), "event_type", "k", "value")
     pick = lambda t: e.where(F.col("event_type") == t)
-    tables = {"web_access_log": pick("signup").where(web), "host_exec": pick("click").where(execs), "host_connect": pick("purchase"), "host_file_op": pick("view"), "host_persistence": pick("error").where("k % 2 = 0")}
+    tables = {"web_access_log": pick("signup"), "host_exec": pick("click"), "host_connect": pick("purchase"), "host_file_op": pick("view"), "host_persistence": pick("error").where("k % 2 = 0")}
     lg = pick("error").where("k % 2 = 1").select(F.col("host").alias("src"), F.concat(F.lit("h"), (F.col("k") % 30).cast("string")).alias("dst"), "us", "evidence_id", F.expr("IF(k % 5 = 0, 'accepted', 'failed')").alias("result"))
     specs = {"web_to_exec": JoinSpec("web_to_exec", "web_access_log", "host_exec", [Key("host", "host")], before_sec=3600, after_sec=6 * 3600)}
     t = trace_intrusion(tables, specs, ["web_to_exec"], {"web_to_exec": "execution"}, lg, None, [(F.col("value") < 20).cast("int")], T0, max_hops=4, connect_sec=3600, file_sec=3600, persistence_sec=3600)
     return t.verdict
 
 
-Q4_SQL = f"""WITH RECURSIVE {EV}, e AS (SELECT event_id, us, 'h' || (user_id % 30) AS host, event_type, k, value FROM ev), we AS (SELECT * FROM e WHERE event_type = 'signup' AND k % 4 = 0), xe AS (SELECT * FROM e WHERE event_type = 'click' AND k % 3 = 0), ce AS (SELECT * FROM e WHERE event_type = 'purchase'),
+Q4_SQL = f"""WITH RECURSIVE {EV}, e AS (SELECT event_id, us, 'h' || (user_id % 30) AS host, event_type, k, value FROM ev), we AS (SELECT * FROM e WHERE event_type = 'signup'), xe AS (SELECT * FROM e WHERE event_type = 'click'), ce AS (SELECT * FROM e WHERE event_type = 'purchase'),
 ed AS (SELECT DISTINCT host AS src, 'h' || (k % 30) AS dst FROM e WHERE event_type = 'error' AND k % 2 = 1 AND k % 5 = 0 AND host <> 'h' || (k % 30)), s AS (SELECT DISTINCT host FROM we),
 w(host, hop) AS (SELECT host, 0 FROM s UNION SELECT dst, hop + 1 FROM w JOIN ed ON src = host WHERE hop < 4), b AS (SELECT host, min(hop) AS hop FROM w GROUP BY 1), ge AS (SELECT DISTINCT src, dst FROM ed JOIN b ON b.host = src WHERE hop < 4),
 mx AS (SELECT x.event_id, x.host, x.us // 1000000 AS sec, list(w.event_id) AS ws FROM we w JOIN xe x ON x.host = w.host AND x.us BETWEEN w.us - {HOUR}::BIGINT AND w.us + {6 * HOUR}::BIGINT GROUP BY 1, 2, 3),
@@ -95,8 +95,5 @@ cf AS (SELECT host, round(CAST(least(0.95, sum(CAST(c AS DECIMAL(10, 6))) / coun
 h AS (SELECT src AS host FROM ge UNION SELECT dst FROM ge UNION SELECT host FROM s UNION SELECT host FROM xe),
 f AS (SELECT host, host IN (SELECT host FROM s) AS i, host IN (SELECT host FROM st) AS x, host IN (SELECT src FROM ge) AS l, host IN (SELECT host FROM xe) AS g FROM h)
 SELECT f.host, CASE WHEN NOT i AND NOT x THEN 'insufficient_evidence' WHEN i AND NOT x AND NOT g THEN 'scanning_or_attempt_only' WHEN i AND x AND l THEN 'confirmed_intrusion_chain' WHEN i AND x THEN 'initial_access_only' ELSE 'likely_intrusion_chain' END AS verdict, coalesce(c, 0.4)::DOUBLE AS confidence FROM f LEFT JOIN cf ON cf.host = f.host"""
-#: All sign-ups and clicks.
-Q4W_SQL = Q4_SQL.replace("'signup' AND k % 4 = 0", "'signup'").replace("'click' AND k % 3 = 0", "'click'")
 
-CHECKS = {"Q1_brute_force_incidents": (q1, Q1_SQL), "Q2_host_risk_items": (q2, Q2_SQL), "Q3_alert_review": (q3, Q3_SQL), "Q4_intrusion_trace": (q4, Q4_SQL),
-          "Q4_intrusion_trace_whole": (lambda spark, d: q4(spark, d, "true", "true"), Q4W_SQL)}
+CHECKS = {"Q1_brute_force_incidents": (q1, Q1_SQL), "Q2_host_risk_items": (q2, Q2_SQL), "Q3_alert_review": (q3, Q3_SQL), "Q4_intrusion_trace": (q4, Q4_SQL)}

@@ -318,14 +318,13 @@ def a20_top(spark, d):
 A20T_SQL = f"WITH {SUMM} SELECT kind, name, count(*) AS n FROM z WHERE kind = 'tag' GROUP BY 1, 2 ORDER BY n DESC, name LIMIT 2"
 
 
-def a21(spark, d, snippet="left(text, 12)"):
-    t = table(spark, d, "documents").select("source", F.expr(snippet).alias("snippet"), F.expr("IF(contains(text, 'the'), 0, IF(contains(text, 'que'), 1, 2))").alias("p"))
+def a21(spark, d):
+    t = table(spark, d, "documents").select("source", F.col("text").alias("snippet"), F.expr("IF(contains(text, 'the'), 0, IF(contains(text, 'que'), 1, 2))").alias("p"))
     return A.host_highlights(t, "source", "snippet", F.col("p"), 4).select("source", "snippet", F.col("priority").cast("bigint").alias("priority"), F.col("position").cast("bigint").alias("position"))
 
 
-A21_SQL = """WITH s AS (SELECT source, substring(text, 1, 12) AS snippet, min(CASE WHEN contains(text, 'the') THEN 0 WHEN contains(text, 'que') THEN 1 ELSE 2 END) AS priority FROM documents GROUP BY 1, 2)
+A21_SQL = """WITH s AS (SELECT source, text AS snippet, min(CASE WHEN contains(text, 'the') THEN 0 WHEN contains(text, 'que') THEN 1 ELSE 2 END) AS priority FROM documents GROUP BY 1, 2)
 SELECT * FROM (SELECT source, snippet, priority::BIGINT AS priority, row_number() OVER (PARTITION BY source ORDER BY priority, encode(snippet)) AS position FROM s WHERE snippet <> '') WHERE position <= 4"""
-A21W_SQL = A21_SQL.replace("substring(text, 1, 12)", "text")
 
 
 def a22(spark, d):
@@ -516,7 +515,7 @@ CHECKS = {
     "A01_incident_rollup": (a01, A01_SQL), "A02_merge_items": (a02, A02_SQL), "A03_nxdomain_rollup": (a03, A03_SQL), "A04_repeat_count": (a04, A04_SQL), "A05_batch_summary": (a05, A05_SQL), "A06_geo_mode": (a06, A06_SQL), "A07_activity_range": (a07, A07_SQL),
     "A08_rank_attackers": (a08, A08_SQL), "A09_infer_victims": (a09, A09_SQL), "A10_fetch_stats": (a10, A10_SQL), "A11_query_integrity": (a11, A11_SQL), "A11_integrity_status": (a11_status, A11S_SQL), "A12_discover_format": (a12, A12_SQL), "A13_profile_keys": (a13, A13_SQL),
     "A14_suggest_aliases": (a14, A14_SQL), "A15_field_gaps": (a15, A15_SQL), "A15_field_coverage": (a15_coverage, A15C_SQL), "A16_draft_parser": (a16, None), "A17_evaluate_requirements": (a17, A17_SQL), "A18_completeness_score": (a18, A18_SQL), "A18_correlation_key_score": (a18_keys, A18K_SQL), "A18_breach_confirmable": (a18_breach, A18B_SQL),
-    "A19_source_coverage": (a19, A19_SQL), "A19_coverage_level": (a19_level, A19L_SQL), "A20_assessment_summary": (a20, A20_SQL), "A20_top_tags": (a20_top, A20T_SQL), "A21_host_highlights": (a21, A21_SQL), "A21_host_highlights_whole": (lambda spark, d: a21(spark, d, "text"), A21W_SQL), "A22_chain_pattern": (a22, A22_SQL), "A23_chain_confidence": (a23, A23_SQL),
+    "A19_source_coverage": (a19, A19_SQL), "A19_coverage_level": (a19_level, A19L_SQL), "A20_assessment_summary": (a20, A20_SQL), "A20_top_tags": (a20_top, A20T_SQL), "A21_host_highlights": (a21, A21_SQL), "A22_chain_pattern": (a22, A22_SQL), "A23_chain_confidence": (a23, A23_SQL),
     "A24_timeline_sources": (a24, A24_SQL), "A25_assemble_records": (a25, A25_SQL), "A26_assemble_fragments": (a26, A26_SQL), "A27_promote_baseline": (a27, A27_SQL), "A28_behavior_summary": (a28, A28_SQL), "A29_churn_summary": (a29, A29_SQL),
     "L01_top_incidents": (l01, L01_SQL), "L02_cap_per_asset": (l02, L02_SQL), "L03_cap_per_join": (l03, L03_SQL), "L04_rank_recommendations": (l04, L04_SQL), "L05_timeline_pick": (l05, L05_SQL),
     "X01_merge_bundles": (x01, X01_SQL), "X01_merge_by_content": (x01_content, X01C_SQL), "X02_correlation_keys": (x02, X02_SQL), "X03_missing_sources": (x03, X03_SQL), "X04_graph_edges": (x04, X04_SQL), "X04_graph_nodes": (x04_nodes, X04N_SQL), "X05_timeline": (x05, X05_SQL),

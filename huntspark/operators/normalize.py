@@ -139,7 +139,7 @@ def resolve_payload(df: DataFrame) -> DataFrame:
     if "request" in df.columns:
         body = F.coalesce(F.get_json_object("request", "$.body"), F.get_json_object("request", "$.Body"))
         found.append(("request.json.body", absent(body)))
-    found += [(n, absent(F.col(n).cast("string"))) for n in ("payload", "request.body", "request_body", "body") if n in df.columns and "." not in n]
+    found += [(n, absent(F.col(f"`{n}`").cast("string"))) for n in ("payload", "request.body", "request_body", "body") if n in df.columns]
     raw = F.coalesce(*[c for _, c in found]) if found else F.lit(None).cast("string")
     source = F.coalesce(*[F.when(c.isNotNull(), n) for n, c in found]) if found else F.lit(None).cast("string")
     url = F.coalesce(F.col("url"), F.lit("")) if "url" in df.columns else F.lit("")

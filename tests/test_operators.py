@@ -274,3 +274,9 @@ def test_windows_xml(spark):
     got = {r.id: (r.event_code, r.computer, r.record_id, r.provider, r.time_created, r.data) for r in parse_windows_xml(df, "x").collect()}
     assert got[1] == (4104, "c", 7, "P", "2024-01-01T00:00:00Z", {"A": "1", "Data2": "two"})
     assert got[2][0] is None and got[3][:2] == (None, None)
+
+
+def test_payload_of_a_dotted_column(spark):
+    df = spark.createDataFrame([("", "a=1&b=2", "/u"), (None, None, "/u"), ("own", "x", "/u")], "payload string, `request.body` string, url string")
+    got = N.resolve_payload(df).collect()
+    assert sorted((r.payload, r.payload_source or "") for r in got) == [("/u", ""), ("a=1&b=2", "request.body"), ("own", "payload")]

@@ -1,4 +1,4 @@
-"""The ``_whole`` queries cover every row of their tables."""
+"""Queries cover every row of their tables and whole texts."""
 from pyspark.sql import functions as F
 
 from huntspark.checks import joins, normalize, questions, rollups, sources
@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def whole(module, name):
-    return module.CHECKS[f"{name}_whole"][0]
+    return module.CHECKS[name][0]
 
 
 def test_joins_take_all_rows(spark):
@@ -32,7 +32,7 @@ def test_joins_take_all_rows(spark):
 
 
 def test_paths_meet_whole_paths(spark):
-    paths = {r.page_id: r.path for r in joins._paths(spark, SF, True)[0].collect()}
+    paths = {r.page_id: r.path for r in joins._paths(spark, SF)[0].collect()}
     want = sorted((a, b) for a, p in paths.items() for b, q in paths.items() if p and q and (p.startswith(q) or q.startswith(p)))
     assert sorted(tuple(r) for r in whole(joins, "J02_path_prefix")(spark, SF).collect()) == want
 
