@@ -120,6 +120,34 @@ def s10(spark, d):
 S10_SQL = f"WITH {EV} SELECT event_id, us, host, event_type, k FROM ev"
 
 
+def _append_lines(rows, folder):
+    """Adds the rows to files as a logger would, one file per task."""
+    from pyspark import TaskContext
+
+    def run(part):
+        lines = "".join(r.value + "\n" for r in part)
+        if lines:
+            with open(f"{folder}/app-{TaskContext.get().partitionId()}.log", "a") as f:
+                f.write(lines)
+
+    rows.foreachPartition(run)
+
+
+def s10_growing(spark, d):
+    """Half of the events are in the files when the stream first runs; the rest is appended to the same files, and the stream goes on."""
+    import os
+
+    # The folder of the logs is a shared one on this machine: only there can files grow.
+    folder = shared_dir(spark, "growing").removeprefix("file:")
+    os.makedirs(folder)
+    out, mark = shared_dir(spark, "grown"), shared_dir(spark, "grown-checkpoint")
+    lines = evidence(spark, d).select("event_id", F.to_json(F.struct("event_id", "us", "host", "event_type", "k")).alias("value")).repartition(4, "event_id")
+    for half in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        _append_lines(lines.where(half).select("value"), folder)
+        T.G.follow_lines(spark, folder, "*.log").writeStream.trigger(availableNow=True).option("checkpointLocation", mark).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(T.G.SCHEMA).parquet(out).select(F.from_json("value", EVENT_JSON).alias("e")).select("e.*")
+
+
 def s11(spark, d):
     import time
 
@@ -253,6 +281,20 @@ def t05(spark, d):
 T05_SQL = f"""WITH {SNAP} SELECT o_orderkey, 1::BIGINT AS snap, 'observed' AS action, '' AS changed FROM p UNION ALL SELECT o_orderkey, 2, action, CASE WHEN action = 'modified' THEN concat_ws(',', CASE WHEN os <> ns THEN 'status' END, CASE WHEN op IS DISTINCT FROM np THEN 'prio' END) ELSE '' END FROM df WHERE action IS NOT NULL"""
 
 
+def t05_hosts(spark, d):
+    """Every customer's orders as that customer's collection, before and after."""
+    path = shared_dir(spark, "snapshots")
+    prev, cur = snapshots(spark, d)
+    # An order belongs to the customer who has it in the tables; a customer's snapshot may be empty.
+    owner = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    rows = prev.withColumn("snap", F.lit(1)).unionByName(cur.withColumn("snap", F.lit(2))).join(owner, "o_orderkey", "left").withColumn("o_custkey", F.coalesce("o_custkey", F.lit(0)).cast("bigint"))
+    empty = rows.select("o_custkey").distinct().select(*[F.col("o_custkey") if c == "o_custkey" else F.explode(F.array(F.lit(1), F.lit(2))).alias(c) if c == "snap" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    rows.unionByName(empty).write.parquet(path)
+    st = T.follow_files(spark, path, rows.schema, "parquet").drop("_path", "_modified")
+    out = T.drain(T.stream_snapshots(st, ["o_custkey"], "snap", ["o_orderkey"], ["status", "prio"]), "diffs")
+    return out.select("o_orderkey", "snap", "action", F.array_join("changed", ",").alias("changed"))
+
+
 def t06(spark, d):
     return T.drain(event_decisions(stream_evidence(spark, d)), "decided")
 
@@ -296,8 +338,8 @@ T09_SQL = f"""WITH a26 AS ({A26_SQL}) SELECT conv_id, fragments, text, CASE stat
 
 CHECKS = {
     "S01_read_log_files": (s01, S01_SQL), "S01_last_lines": (s01_last, S01L_SQL), "S02_read_payloads": (s02, S02_SQL), "S02_read_json_arrays": (s02_array, S02A_SQL), "S04_read_warehouse": (s04, S04_SQL), "S05_scan_asset": (s05, S05_SQL),
-    "S06_read_asset_union": (s06, S06_SQL), "S07_connector_pruning": (s07, S07_SQL), "S08_multi_host_scan": (s08, S08_SQL), "S09_load_inventory": (s09, S09_SQL), "S10_stream_log_files": (s10, S10_SQL), "S11_backfill_then_follow": (s11, S11_SQL),
+    "S06_read_asset_union": (s06, S06_SQL), "S07_connector_pruning": (s07, S07_SQL), "S08_multi_host_scan": (s08, S08_SQL), "S09_load_inventory": (s09, S09_SQL), "S10_stream_log_files": (s10, S10_SQL), "S10_growing_files": (s10_growing, S10_SQL), "S11_backfill_then_follow": (s11, S11_SQL),
     "S12_incremental_read": (s12, S12_SQL), "S12_advance_cursors": (s12_cursor, S12C_SQL), "S13_write_jsonl": (s13, S13_SQL),
     "T01_stream_dedupe": (t01, T01_SQL), "T01_stream_dedupe_exact": (t01_exact, T01X_SQL), "T02_stream_assemble": (t02, T02_SQL), "T03_stream_learning": (t03, T03_SQL), "T03_learning_bypass": (t03_bypass, T03B_SQL), "T04_stream_rate": (t04, T04_SQL), "T04_rate_windows": (t04_windowed, T04W_SQL),
-    "T05_stream_snapshot_diff": (t05, T05_SQL), "T06_stream_filter": (t06, R08_SQL), "T07_stream_summary": (t07, T07_SQL), "T08_order_guard": (t08, T08_SQL), "T09_fragment_stream": (t09, T09_SQL),
+    "T05_stream_snapshot_diff": (t05, T05_SQL), "T05_host_snapshots": (t05_hosts, T05_SQL), "T06_stream_filter": (t06, R08_SQL), "T07_stream_summary": (t07, T07_SQL), "T08_order_guard": (t08, T08_SQL), "T09_fragment_stream": (t09, T09_SQL),
 }

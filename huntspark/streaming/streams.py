@@ -6,7 +6,7 @@ Unknown always means emit: no filter here drops a row it cannot judge.
 """
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from typing import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.joins import snapshot_diff
 from ..operators.rollups import assemble_fragments
 from ..session import shared_dir
+from ..sources import growing as G
+from . import state
 
 
 def follow_files(spark: SparkSession, path: str, schema, fmt: str = "json", glob: str | None = None, files_per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
@@ -38,7 +40,11 @@ def backfill_then_follow(stream: DataFrame, since: Column, started: Column) -> D
 
 
 def drain(df: DataFrame, label: str, each_batch: Callable | None = None) -> DataFrame:
-    """Run a stream over what is there and return the sink as a table (append)."""
+    """Run a stream over what is there and return the sink as a table (append).
+
+    A query whose state expires by the clock would never find its end; it runs
+    without batches that have no rows.
+    """
     spark = df.sparkSession
     out, mark = shared_dir(spark, label), shared_dir(spark, f"{label}-checkpoint")
     w = df.writeStream.trigger(availableNow=True).option("checkpointLocation", mark)
@@ -46,7 +52,13 @@ def drain(df: DataFrame, label: str, each_batch: Callable | None = None) -> Data
         w = w.format("parquet").option("path", out).outputMode("append")
     else:
         w = w.foreachBatch(lambda batch, epoch: each_batch(batch, epoch, out))
-    w.start().awaitTermination()
+    before = spark.conf.get(state.NO_DATA, "true")
+    spark.conf.set(state.NO_DATA, "false" if state.expires(df) else before)
+    try:
+        query = w.start()
+    finally:
+        spark.conf.set(state.NO_DATA, before)
+    query.awaitTermination()
     if each_batch is not None:
         return spark.read.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
@@ -66,38 +78,17 @@ def stream_dedupe(stream: DataFrame, ts: str, keys: list[str], within: str = "1
     return stream.where(named).dropDuplicatesWithinWatermark(keys).unionByName(stream.where(~named))
 
 
-def _keyed(stream: DataFrame, keys: list[str], step: Callable, out: str, state: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    return stream.groupBy(*keys).applyInPandasWithState(step, out, state, "append", timeout)
-
-
-def _rows(parts: Iterator[pd.DataFrame], us: str, id_col: str) -> pd.DataFrame:
-    got = list(parts)
-    return pd.concat(got).sort_values([us, id_col]) if got else pd.DataFrame()
-
-
-def stream_dedupe_exact(stream: DataFrame, key: str, us: str, id_col: str, within_sec: int = 3600) -> DataFrame:
+def stream_dedupe_exact(stream: DataFrame, key: str, us: str, id_col: str, within_sec: int = 3600, ttl_ms: int | None = None) -> DataFrame:
     """A repeat is a row at most ``within_sec`` after the last row of its key that was passed on.
 
-    State: one time per key. Output: key, time, id of the rows passed on. Late
-    rows pass; a NULL key never repeats.
+    State: one time per key, which expires when the key was idle that long by
+    the clock of the job. Output: key, time, id of the rows passed on. Late rows
+    pass; a NULL key never repeats.
     """
-    span = within_sec * 1_000_000
     kt, it = (stream.schema[c].dataType.simpleString() for c in (key, id_col))
-
-    def step(k, parts, state: GroupState):
-        last = state.get[0] if state.exists else None
-        d = _rows(parts, us, id_col)
-        keep = []
-        for t in d[us]:
-            fresh = last is None or t - last > span or t < last
-            keep.append(fresh)
-            last = int(t) if fresh else last
-        if last is not None:
-            state.update((last,))
-        yield d.loc[keep, [key, us, id_col]].reset_index(drop=True)
-
     rows = stream.select(key, F.col(us).cast("bigint").alias(us), id_col)
-    known = _keyed(rows.where(F.col(key).isNotNull()), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}", "last bigint")
+    step = state.Dedupe([key, us, id_col], within_sec * 1_000_000, ttl_ms or within_sec * 1000)
+    known = state.with_state(rows.where(F.col(key).isNotNull()), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}")
     return known.unionByName(rows.where(F.col(key).isNull()))
 
 
@@ -105,15 +96,16 @@ def stream_assemble(stream: DataFrame, id_col: str, ts: str, kind: str, idx: str
     """Records of one id, sent on when both required kinds are there or when they are too old.
 
     Emits id, the two value lists joined by blanks in index order, status
-    (complete / expired). State goes with the emission. Batch twin: ``assemble_records``.
+    (complete / expired). State goes with the emission. Lines without id belong
+    to nothing: each is sent on by itself, as ``no_id``. Batch twin: ``assemble_records``.
     """
     a, b = required
     it = stream.schema[id_col].dataType.simpleString()
 
-    def step(k, parts, state: GroupState):
-        held = [] if not state.exists else [tuple(x.split("\u0001", 2)) for x in state.get[1]]
-        first = state.get[0] if state.exists else None
-        timed_out = state.hasTimedOut
+    def step(k, parts, kept: GroupState):
+        held = [] if not kept.exists else [tuple(x.split("\u0001", 2)) for x in kept.get[1]]
+        first = kept.get[0] if kept.exists else None
+        timed_out = kept.hasTimedOut
         if not timed_out:
             for p in parts:
                 held += [(str(x), str(i), str(v)) for x, i, v in zip(p["kind"], p["idx"], p["value"])]
@@ -123,44 +115,28 @@ def stream_assemble(stream: DataFrame, id_col: str, ts: str, kind: str, idx: str
         whole = {a, b} <= {x for x, _, _ in held}
         if whole or timed_out:
             yield pd.DataFrame({id_col: [k[0]], a: [pick(a)], b: [pick(b)], "n_lines": [len(held)], "status": ["complete" if whole else "expired"]})
-            state.remove()
+            kept.remove()
             return
-        state.update((first, ["\u0001".join(x) for x in held]))
-        state.setTimeoutTimestamp(max(first + max_age_sec * 1000, state.getCurrentWatermarkMs() + 1))
+        kept.update((first, ["\u0001".join(x) for x in held]))
+        kept.setTimeoutTimestamp(max(first + max_age_sec * 1000, kept.getCurrentWatermarkMs() + 1))
 
     s = stream.withWatermark(ts, delay).select(id_col, ts, F.unix_micros(ts).alias("us"), F.col(kind).alias("kind"), F.col(idx).cast("int").alias("idx"), F.col(value).cast("string").alias("value"))
-    return _keyed(s, [id_col], step, f"{id_col} {it}, {a} string, {b} string, n_lines bigint, status string", "first bigint, held array<string>", GroupStateTimeout.EventTimeTimeout)
+    whole = s.where(F.col(id_col).isNotNull()).groupBy(id_col).applyInPandasWithState(step, f"{id_col} {it}, {a} string, {b} string, n_lines bigint, status string", "first bigint, held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    only = lambda n: F.when(F.col("kind") == n, F.col("value")).otherwise("").alias(n)
+    return whole.unionByName(s.where(F.col(id_col).isNull()).select(id_col, only(a), only(b), F.lit(1).cast("bigint").alias("n_lines"), F.lit("no_id").alias("status")))
 
 
-def stream_learning(stream: DataFrame, key: str, us: str, id_col: str, occurrences: int = 5, window_sec: int = 3600) -> DataFrame:
+def stream_learning(stream: DataFrame, key: str, us: str, id_col: str, occurrences: int = 5, window_sec: int = 3600, candidate_ms: int | None = None, admitted_ms: int = state.IDLE_MS) -> DataFrame:
     """Decision per row: a behaviour is suppressed from its ``occurrences``-th row in a rolling window on.
 
-    State per fingerprint: the last few times, or the fact of admission. A row
-    behind the last one of its key is a clock fault: it is passed on and not
+    State per fingerprint: the last few times, which expire after a window
+    without rows, or the fact of admission, which expires after 30 idle days. A
+    row behind the last one of its key is a clock fault: it is passed on and not
     learnt. Rows without fingerprint must bypass this (``learning_with_bypass``).
     """
-    span = window_sec * 1_000_000
     kt, it = (stream.schema[c].dataType.simpleString() for c in (key, id_col))
-
-    def step(k, parts, state: GroupState):
-        admitted, recent = (state.get[0], list(state.get[1])) if state.exists else (False, [])
-        d = _rows(parts, us, id_col)
-        decisions, reasons = [], []
-        for t in d[us]:
-            t = int(t)
-            reason = "learning"
-            if not admitted:
-                if recent and t < recent[-1]:
-                    reason = "clock_regression"
-                else:
-                    recent = [x for x in recent if t - x <= span] + [t]
-                    admitted = len(recent) >= occurrences
-            decisions.append("suppress" if admitted else "emit")
-            reasons.append("baseline_match" if admitted else reason)
-        state.update((admitted, [] if admitted else recent))
-        yield d[[key, us, id_col]].assign(decision=decisions, reason=reasons).reset_index(drop=True)
-
-    return _keyed(stream.select(key, us, id_col), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}, decision string, reason string", "admitted boolean, recent array<bigint>")
+    step = state.Learning([key, us, id_col], occurrences, window_sec * 1_000_000, candidate_ms or window_sec * 1000, admitted_ms)
+    return state.with_state(stream.select(key, us, id_col), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}, decision string, reason string")
 
 
 def learning_with_bypass(stream: DataFrame, key: str, us: str, id_col: str, healthy: Column, **kw) -> DataFrame:
@@ -171,34 +147,15 @@ def learning_with_bypass(stream: DataFrame, key: str, us: str, id_col: str, heal
     return stream_learning(stream.where(ok), key, us, id_col, **kw).unionByName(rest)
 
 
-def stream_rate(stream: DataFrame, key: str, us: str, id_col: str, limit: int, slot_sec: int = 5, slots: int = 61, hold_sec: int = 600) -> DataFrame:
+def stream_rate(stream: DataFrame, key: str, us: str, id_col: str, limit: int, slot_sec: int = 5, slots: int = 61, hold_sec: int = 600, ttl_ms: int | None = None) -> DataFrame:
     """Rows of the key so far in the last ``slots`` slots against ``limit``, with the hold after an anomaly.
 
-    State per key: the filled slots and the last anomaly. Batch twin: ``sliding_rate``.
+    State per key: the filled slots and the last anomaly; it expires when the
+    key was idle for longer than both reach. Batch twin: ``sliding_rate``.
     """
-    slot_us, hold = slot_sec * 1_000_000, hold_sec * 1_000_000
     kt, it = (stream.schema[c].dataType.simpleString() for c in (key, id_col))
-
-    def step(k, parts, state: GroupState):
-        filled = dict(zip(*state.get[:2])) if state.exists else {}
-        last = state.get[2] if state.exists else None
-        d = _rows(parts, us, id_col)
-        out = []
-        for t in d[us]:
-            s = int(t) // slot_us
-            filled[s] = filled.get(s, 0) + 1
-            filled = {e: n for e, n in filled.items() if e > s - slots}
-            rate = sum(n for e, n in filled.items() if e <= s)
-            hot = rate > limit
-            fresh = last is None or t > last + hold
-            out.append((rate, hot, hot and fresh, hot or not fresh))
-            last = int(t) if hot else last
-        state.update((list(filled), list(filled.values()), last))
-        cols = list(zip(*out)) or [[], [], [], []]
-        yield d[[key, us, id_col]].assign(rate=cols[0], anomaly=cols[1], anomaly_start=cols[2], held=cols[3]).reset_index(drop=True)
-
-    return _keyed(stream.select(key, us, id_col), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}, rate bigint, anomaly boolean, anomaly_start boolean, held boolean",
-                  "slots array<bigint>, counts array<bigint>, last bigint")
+    step = state.Rate([key, us, id_col], limit, slot_sec * 1_000_000, slots, hold_sec * 1_000_000, ttl_ms or max(slot_sec * slots, hold_sec) * 1000)
+    return state.with_state(stream.select(key, us, id_col), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}, rate bigint, anomaly boolean, anomaly_start boolean, held boolean")
 
 
 def stream_rate_windowed(stream: DataFrame, ts: str, keys: list[str], limit: int, width: str = "305 seconds", slide: str = "5 seconds", delay: str = "1 minute") -> DataFrame:
@@ -207,6 +164,29 @@ def stream_rate_windowed(stream: DataFrame, ts: str, keys: list[str], limit: int
             .select(*keys, F.col("window.start").alias("window_start"), "rate"))
 
 
+def stream_snapshots(stream: DataFrame, group: list[str], snapshot: str, keys: list[str], fields: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """What each snapshot of a group (host, collection) changed against the one before: created, modified, deleted.
+
+    State: the entities of the group, keyed by entity and changed in place, so a
+    batch touches the groups it holds and, of those, the entities that changed.
+    A snapshot comes in one batch; the first of a group is a baseline
+    (``observed``); one that is not newer than the last is left out. An empty
+    snapshot is a row with NULL keys. ``ttl_ms`` ends the state of groups that
+    send no more. Fields are compared as text; of rows with one key the greatest
+    stays. For one series of all rows use ``snapshot_diffs``.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    rows = stream.select(*group, F.col(snapshot).cast("bigint").alias(snapshot), F.when(known, F.to_json(F.struct(*keys))).alias("entity"),
+                         F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in fields]), {"ignoreNullFields": "false"}).alias("fields"))
+    out = [f"{c} {kinds[c]}" for c in group] + [f"{snapshot} bigint", "entity string", "action string", "changed array<string>", "old map<string,string>"]
+    found = state.with_state(rows, group, state.Snapshots(group, snapshot, ttl_ms), ", ".join(out))
+    own = F.from_json("entity", ", ".join(f"{k} {kinds[k]}" for k in keys))
+    return found.withColumn("__k", own).select(*group, snapshot, *[F.col(f"__k.{k}").alias(k) for k in keys], "action", "changed", "old")
+
+
 def snapshot_diffs(keys: list[str], fields: list[str], snapshot: str, group: list[str] | None = None) -> Callable:
     """Batch step for ``drain``: each snapshot id of a batch is compared with the one before it of its group.
 
