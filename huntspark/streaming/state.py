@@ -12,8 +12,7 @@ import json
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,12 +22,25 @@ HOUR_MS = 3_600_000
 IDLE_MS = 30 * 24 * HOUR_MS
 
 
-def with_state(stream: DataFrame, keys: list[str], processor: StatefulProcessor, out: str) -> DataFrame:
-    """The processor per key, appending; such state needs a store that can expire it."""
+class Keyed(StatefulProcessor):
+    """A processor that knows the names of what it puts out."""
+
+    names: list[str]
+
+    def close(self) -> None:
+        pass
+
+
+def with_state(stream: DataFrame, keys: list[str], processor: Keyed, out: str) -> DataFrame:
+    """The processor per key, appending; such state needs a store that can expire it.
+
+    Rows of many keys travel in one Arrow batch, which is what counts where keys are many and small.
+    """
+    processor.names = [c.split()[0] for c in out.split(", ")]
     conf = stream.sparkSession.conf
     if "RocksDB" not in (conf.get(PROVIDER, None) or ""):
         conf.set(PROVIDER, ROCKSDB)
-    return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="processingTime")
+    return stream.groupBy(*keys).transformWithState(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="processingTime")
 
 
 def expires(df: DataFrame) -> bool:
@@ -36,8 +48,10 @@ def expires(df: DataFrame) -> bool:
     return "TransformWithState" in df._jdf.queryExecution().analyzed().toString()
 
 
-def in_order(rows: Iterator[pd.DataFrame], us: str, id_col: str) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values([us, id_col]).reset_index(drop=True)
+def in_order(rows: Iterator[Row]) -> tuple[list[tuple], np.ndarray]:
+    """Rows (key, time, id) by time and id, and their times."""
+    rows = sorted((tuple(r) for r in rows), key=lambda r: r[1:])
+    return rows, np.array([r[1] for r in rows], np.int64)
 
 
 # -- decisions over the sorted times of one key --------------------------------
@@ -83,45 +97,42 @@ def holds(times: np.ndarray, hot: np.ndarray, last: int | None, hold: int) -> tu
 
 
 # -- processors ---------------------------------------------------------------
-class Dedupe(StatefulProcessor):
+class Dedupe(Keyed):
     """State: the time of the last row that was passed on."""
 
-    def __init__(self, columns: list[str], span: int, ttl_ms: int):
-        self.columns, self.span, self.ttl_ms = columns, span, ttl_ms
+    def __init__(self, span: int, ttl_ms: int):
+        self.span, self.ttl_ms = span, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "last bigint", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        d = in_order(rows, *self.columns[1:])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows, times = in_order(rows)
         found = self.last.get()
-        keep, last = passed_on(d[self.columns[1]].to_numpy(np.int64), found[0] if found else None, self.span)
+        keep, last = passed_on(times, found[0] if found else None, self.span)
         if keep.any():
             self.last.update((last,))
-        yield d.loc[keep, self.columns].reset_index(drop=True)
-
-    def close(self) -> None:
-        pass
+        made = Row(*self.names)
+        return (made(*rows[i]) for i in np.flatnonzero(keep))
 
 
-class Learning(StatefulProcessor):
+class Learning(Keyed):
     """State: the recent times of a candidate, or the fact of admission, each with its own time to live."""
 
-    def __init__(self, columns: list[str], occurrences: int, span: int, candidate_ms: int, admitted_ms: int):
-        self.columns, self.occurrences, self.span, self.ttl = columns, occurrences, span, (candidate_ms, admitted_ms)
+    def __init__(self, occurrences: int, span: int, candidate_ms: int, admitted_ms: int):
+        self.occurrences, self.span, self.ttl = occurrences, span, (candidate_ms, admitted_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState("recent", "recent array<bigint>", self.ttl[0])
         self.admitted = handle.getValueState("admitted", "since bigint", self.ttl[1])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        d = in_order(rows, *self.columns[1:])
-        times, reason, at = d[self.columns[1]].to_numpy(np.int64), np.full(len(d), "learning", object), 0
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows, times = in_order(rows)
+        at, late = 0, 0
         since = self.admitted.get()
         if not since:
             found = self.recent.get()
             late, at, recent = learnt(times, list(found[0]) if found else [], self.occurrences, self.span)
-            reason[:late] = "clock_regression"
             if at < len(times):
                 since = (int(times[at]),)
                 self.recent.clear()
@@ -129,26 +140,22 @@ class Learning(StatefulProcessor):
                 self.recent.update((recent,))
         if since:
             self.admitted.update((since[0],))  # every row keeps it alive
-        known = np.arange(len(d)) >= at if since else np.zeros(len(d), bool)
-        reason[known] = "baseline_match"
-        yield d[self.columns].assign(decision=np.where(known, "suppress", "emit"), reason=reason)
+        known = at if since else len(rows)
+        made = Row(*self.names)
+        return (made(*r, "suppress", "baseline_match") if i >= known else made(*r, "emit", "clock_regression" if i < late else "learning") for i, r in enumerate(rows))
 
-    def close(self) -> None:
-        pass
 
-
-class Rate(StatefulProcessor):
+class Rate(Keyed):
     """State: the filled slots and the time of the last anomaly."""
 
-    def __init__(self, columns: list[str], limit: int, slot_us: int, slots: int, hold: int, ttl_ms: int):
-        self.columns, self.limit, self.slot_us, self.slots, self.hold, self.ttl_ms = columns, limit, slot_us, slots, hold, ttl_ms
+    def __init__(self, limit: int, slot_us: int, slots: int, hold: int, ttl_ms: int):
+        self.limit, self.slot_us, self.slots, self.hold, self.ttl_ms = limit, slot_us, slots, hold, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.filled = handle.getValueState("filled", "slots array<bigint>, counts array<bigint>, last bigint", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        d = in_order(rows, *self.columns[1:])
-        times = d[self.columns[1]].to_numpy(np.int64)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows, times = in_order(rows)
         found = self.filled.get()
         slots, counts, last = (np.array(found[0], np.int64), np.array(found[1], np.int64), found[2]) if found else (np.empty(0, np.int64), np.empty(0, np.int64), None)
         rate = rates(times, slots, counts, self.slot_us, self.slots)
@@ -159,51 +166,49 @@ class Rate(StatefulProcessor):
         counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
         stay = slots > own[-1] - self.slots
         self.filled.update((slots[stay].tolist(), counts[stay].tolist(), last))
-        yield d[self.columns].assign(rate=rate.astype(np.int64), anomaly=hot, anomaly_start=hot & free, held=hot | ~free)
-
-    def close(self) -> None:
-        pass
+        made = Row(*self.names)
+        return (made(*r, *marks) for r, marks in zip(rows, zip(rate.tolist(), hot.tolist(), (hot & free).tolist(), (hot | ~free).tolist())))
 
 
-class Snapshots(StatefulProcessor):
+class Snapshots(Keyed):
     """State: the entities of one host and collection, keyed by entity and changed in place.
 
     Rows hold the group, the snapshot's number, the entity and its fields, the
     last two as JSON; NULL entities only tell that there was a snapshot.
     """
 
-    def __init__(self, group: list[str], snapshot: str, ttl_ms: int | None):
-        self.group, self.snapshot, self.ttl_ms = group, snapshot, ttl_ms
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entities = handle.getMapState("entities", "entity string", "seen bigint, fields string", self.ttl_ms)
         self.seen = handle.getValueState("seen", "last bigint", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        parts: dict[int, list[tuple[str, str]]] = {}
+        for *_, snap, entity, fields in map(tuple, rows):
+            parts.setdefault(snap, []).extend([(entity, fields)] if entity is not None else [])
         found, out = self.seen.get(), []
         last = found[0] if found else None
         own = {entity[0]: value[1] for entity, value in self.entities.iterator()} if last is not None else {}
-        for snap, part in d.groupby(self.snapshot, sort=True):
+        for snap, part in sorted(parts.items()):
             if last is not None and snap <= last:
                 continue  # an older snapshot, or one that came before, tells nothing new
             now: dict[str, str] = {}
-            for entity, fields in part.loc[part["entity"].notna(), ["entity", "fields"]].itertuples(index=False, name=None):
+            for entity, fields in part:
                 now[entity] = max(now.get(entity, fields), fields, key=lambda f: [(v is not None, v) for v in json.loads(f).values()])
             for entity, fields in now.items():
                 if own.get(entity) != fields:
                     old, new = json.loads(own.get(entity, "{}")), json.loads(fields)
                     changed = {n: old[n] for n in old if old[n] != new[n]}
                     out.append((snap, entity, "observed" if last is None else "modified" if entity in own else "created", list(changed), changed))
-                    self.entities.updateValue((entity,), (int(snap), fields))
+                    self.entities.updateValue((entity,), (snap, fields))
                     own[entity] = fields
             for entity in [e for e in own if e not in now]:
                 out.append((snap, entity, "deleted", [], json.loads(own.pop(entity))))
                 self.entities.removeKey((entity,))
-            last = int(snap)
+            last = snap
         if last is not None:
             self.seen.update((last,))
-        yield pd.DataFrame({**{g: [v] * len(out) for g, v in zip(self.group, key)}, **{c: [o[i] for o in out] for i, c in enumerate([self.snapshot, "entity", "action", "changed", "old"])}})
-
-    def close(self) -> None:
-        pass
+        made = Row(*self.names)
+        return (made(*key, *o) for o in out)

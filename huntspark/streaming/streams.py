@@ -87,7 +87,7 @@ def stream_dedupe_exact(stream: DataFrame, key: str, us: str, id_col: str, withi
     """
     kt, it = (stream.schema[c].dataType.simpleString() for c in (key, id_col))
     rows = stream.select(key, F.col(us).cast("bigint").alias(us), id_col)
-    step = state.Dedupe([key, us, id_col], within_sec * 1_000_000, ttl_ms or within_sec * 1000)
+    step = state.Dedupe(within_sec * 1_000_000, ttl_ms or within_sec * 1000)
     known = state.with_state(rows.where(F.col(key).isNotNull()), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}")
     return known.unionByName(rows.where(F.col(key).isNull()))
 
@@ -135,7 +135,7 @@ def stream_learning(stream: DataFrame, key: str, us: str, id_col: str, occurrenc
     learnt. Rows without fingerprint must bypass this (``learning_with_bypass``).
     """
     kt, it = (stream.schema[c].dataType.simpleString() for c in (key, id_col))
-    step = state.Learning([key, us, id_col], occurrences, window_sec * 1_000_000, candidate_ms or window_sec * 1000, admitted_ms)
+    step = state.Learning(occurrences, window_sec * 1_000_000, candidate_ms or window_sec * 1000, admitted_ms)
     return state.with_state(stream.select(key, us, id_col), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}, decision string, reason string")
 
 
@@ -154,7 +154,7 @@ def stream_rate(stream: DataFrame, key: str, us: str, id_col: str, limit: int, s
     key was idle for longer than both reach. Batch twin: ``sliding_rate``.
     """
     kt, it = (stream.schema[c].dataType.simpleString() for c in (key, id_col))
-    step = state.Rate([key, us, id_col], limit, slot_sec * 1_000_000, slots, hold_sec * 1_000_000, ttl_ms or max(slot_sec * slots, hold_sec) * 1000)
+    step = state.Rate(limit, slot_sec * 1_000_000, slots, hold_sec * 1_000_000, ttl_ms or max(slot_sec * slots, hold_sec) * 1000)
     return state.with_state(stream.select(key, us, id_col), [key], step, f"{key} {kt}, {us} bigint, {id_col} {it}, rate bigint, anomaly boolean, anomaly_start boolean, held boolean")
 
 
@@ -182,7 +182,7 @@ def stream_snapshots(stream: DataFrame, group: list[str], snapshot: str, keys: l
     rows = stream.select(*group, F.col(snapshot).cast("bigint").alias(snapshot), F.when(known, F.to_json(F.struct(*keys))).alias("entity"),
                          F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in fields]), {"ignoreNullFields": "false"}).alias("fields"))
     out = [f"{c} {kinds[c]}" for c in group] + [f"{snapshot} bigint", "entity string", "action string", "changed array<string>", "old map<string,string>"]
-    found = state.with_state(rows, group, state.Snapshots(group, snapshot, ttl_ms), ", ".join(out))
+    found = state.with_state(rows, group, state.Snapshots(ttl_ms), ", ".join(out))
     own = F.from_json("entity", ", ".join(f"{k} {kinds[k]}" for k in keys))
     return found.withColumn("__k", own).select(*group, snapshot, *[F.col(f"__k.{k}").alias(k) for k in keys], "action", "changed", "old")
 
