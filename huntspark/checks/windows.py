@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bursts, windows as W
+from ..operators import bursts, entries as E, windows as W
 from .base import DAY, EV, HOUR, evidence
 
 
@@ -191,6 +191,26 @@ def w09(spark, d):
 W09_SQL = f"""WITH {EV}, l AS (SELECT event_id, user_id, k, lag(k) OVER (PARTITION BY user_id ORDER BY us, event_id) AS p FROM ev)
 SELECT event_id, user_id, CASE WHEN p IS NULL THEN NULL WHEN k >= p THEN k - p ELSE k END AS delta FROM l"""
 
+URLS = ("/s.php?cmd=id", "/a?id=1 union select 2", "/up/shell.php", "/x")
+
+
+def w06_access(spark, d):
+    """Entry of every host: the best request by outcome, vector and time, else the first command of its web process."""
+    e = evidence(spark, d)
+    url = F.element_at(F.array(*[F.lit(u) for u in URLS]), (F.col("k") % 4 + 1).cast("int"))
+    web = e.where("event_type = 'view' AND user_id % 3 > 0").select(F.col("event_id").alias("evidence_id"), "us", "host", url.alias("url"), F.expr("IF(k % 7 = 0, 'blocked', '')").alias("action"),
+                                                                   F.expr("CASE WHEN k % 5 > 2 THEN 404 WHEN k % 5 = 2 THEN 200 END").alias("status"))
+    ex = e.where("event_type = 'click'").select(F.col("event_id").alias("evidence_id"), "us", "host", F.expr("IF(k % 5 = 0, 'cat uploads/x', 'id')").alias("command"), (F.col("k") % 2 == 0).alias("web"))
+    return E.initial_access(web, ex, ["host"], ["shell.php", "php"], F.col("web"), start_us=T0 + 5 * DAY, end_us=T0 + 15 * DAY)
+
+
+W06A_SQL = f"""WITH {EV}, w AS (SELECT * FROM ev WHERE us BETWEEN {T0 + 5 * DAY} AND {T0 + 15 * DAY}),
+q AS (SELECT host, us, event_id, CASE WHEN k % 7 = 0 THEN 'blocked' WHEN k % 5 > 2 THEN 'failed' WHEN k % 5 = 2 THEN 'success' ELSE 'unknown' END AS outcome, k % 4 AS c FROM w WHERE event_type = 'view' AND user_id % 3 > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY CASE outcome WHEN 'success' THEN 0 WHEN 'unknown' THEN 1 WHEN 'failed' THEN 2 ELSE 3 END, c, us, event_id) AS rn FROM q),
+x AS (SELECT host, us, event_id, CASE WHEN k % 5 = 0 THEN 'webshell' ELSE 'web_exploit:rce' END AS vector, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS rn FROM w WHERE event_type = 'click' AND k % 2 = 0)
+SELECT host, us, event_id AS evidence_id, ['web_exploit:rce', 'web_exploit:sqli', 'webshell', 'web_exploit'][c + 1] AS vector, outcome, ['compromise_trigger', 'compromise_trigger', 'observed_control_point', 'suspicious_request'][c + 1] AS role, 'web' AS source FROM r WHERE rn = 1
+UNION ALL SELECT host, us, event_id, vector, NULL, 'compromise_trigger', 'exec' FROM x WHERE rn = 1 AND host NOT IN (SELECT host FROM r)"""
+
 CHECKS = {
     "W01_burst_waves": (w01, W01_SQL),
     "W02_dedupe_first": (w02, W02_SQL),
@@ -200,7 +220,7 @@ CHECKS = {
     "W03_execution_dedupe": (w03_execution, W03E_SQL), "W03_login_dedupe": (w03_logins, W03L_SQL),
     "W04_sliding_rate": (w04, W04_SQL),
     "W05_rolling_admission": (w05, W05_SQL),
-    "W06_initial_access": (w06, W06_SQL),
+    "W06_initial_access": (w06, W06_SQL), "W06_entry_points": (w06_access, W06A_SQL),
     "W07_narrow_window": (w07, W07_SQL),
     "W08_evidence_refs": (w08, W08_SQL),
     "W09_counter_delta": (w09, W09_SQL),

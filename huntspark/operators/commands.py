@@ -195,7 +195,8 @@ def judged(df: DataFrame, column: str = "command", name: str = "__cmd") -> DataF
     segments, plain = F.col(f"{name}.segments"), F.col(f"{name}.plain")
     answers = {"writes_persistence": F.exists(segments, lambda s: writes_persistence(s["argv"])), "runs_download": runs_download(plain, segments),
                "only_receives": only_receives(segments), "stages_data": stages_data(segments)}
-    return d.withColumn(name, F.struct(*[F.coalesce(answers[q], F.lit(False)).alias(q) for q in QUESTIONS]))
+    # A generator of one row: the answers are settled here and not again wherever a rule or filter uses them.
+    return d.withColumn(name, F.explode(F.array(F.struct(*[F.coalesce(answers[q], F.lit(False)).alias(q) for q in QUESTIONS]))))
 
 
 QUESTIONS = ("writes_persistence", "runs_download", "only_receives", "stages_data")

@@ -14,13 +14,19 @@ SEC = 1_000_000
 
 
 def execution_chain(execs: DataFrame, connects: DataFrame, files: DataFrame, persistence: DataFrame, connect_sec: int = 120, file_sec: int = 300,
-                    persistence_sec: int = 600, base: float = 0.85, boost: float = 0.08, cap: float = 0.95) -> DataFrame:
+                    persistence_sec: int = 600, base: float = 0.85, boost: float = 0.08, cap: float = 0.95, anchor_us: int | None = None, lookback_sec: int = 300, end_us: int | None = None) -> DataFrame:
     """Each exec with the number of connections, file changes and persistence changes near it.
 
     Every nearby connection adds ``boost`` up to ``cap``. All tables: evidence_id,
     host, us. The counts come from running sums; ``execution_refs`` lists the rows.
+    Execs from ``lookback_sec`` before the anchor to the end of the investigation
+    count; what is near them may lie outside.
     """
     d = execs.where(F.col("us").isNotNull())
+    if anchor_us is not None:
+        d = d.where(F.col("us") >= anchor_us - lookback_sec * SEC)
+    if end_us is not None:
+        d = d.where(F.col("us") <= end_us)
     for name, table, sec in (("connects", connects, connect_sec), ("file_ops", files, file_sec), ("persistence", persistence, persistence_sec)):
         d = with_window_agg(d, table.withColumn("__one", F.lit(1).cast("bigint")), ["host"], "evidence_id", "us", "us", sec * SEC, sec * SEC, {name: ("__one", "sum")})
     return d.withColumn("confidence", F.round(F.least(F.lit(cap), F.lit(base) + F.lit(boost) * F.col("connects")), 2))

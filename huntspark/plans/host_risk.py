@@ -21,7 +21,7 @@ from ..session import cut_lineage
 from ..sources.readers import scan_asset
 
 ITEM = {"risk_id": "string", "risk_module": "string", "severity": "string", "confidence": "double", "verdict": "string", "recommended_action": "string", "host": "string", "us": "bigint",
-        "listener_process": "string", "listener_port": "int", "command": "string", "src_ip": "string", "matched_rules": "array<string>", "risk_tags": "array<string>", "evidence_ref": "string", "summary": "string"}
+        "listener_process": "string", "listener_pid": "string", "listener_port": "int", "command": "string", "src_ip": "string", "matched_rules": "array<string>", "risk_tags": "array<string>", "evidence_ref": "string", "summary": "string"}
 
 
 def as_items(df: DataFrame, module: str) -> DataFrame:
@@ -73,11 +73,58 @@ def rule_items(rows: DataFrame, module: str, pack: dict, ceiling: float = 0.95,
     return as_items(d.withColumn("evidence_ref", F.col("evidence_id").cast("string")), module)
 
 
+def persistence_items(rows: DataFrame, pack: dict = R.PERSISTENCE_PACK, ceiling: float = 0.95, floor: str = "P2") -> DataFrame:
+    """Changes of what starts by itself. Tables: evidence_id, us, host, path, event_type, …"""
+    return rule_items(R.condition_rules(rows, pack).withColumn("summary", F.col("path")), "persistence", pack, ceiling, floor)
+
+
+def syslog_items(rows: DataFrame, pack: dict = R.SYSLOG_PACK, ceiling: float = 0.95, floor: str = "P2") -> DataFrame:
+    """Messages of the system log that tell of misuse."""
+    return rule_items(R.condition_rules(rows, pack, text_fields=("message",)).withColumn("summary", F.left("message", F.lit(120))), "syslog", pack, ceiling, floor)
+
+
+def dns_items(rows: DataFrame, connects: DataFrame | None = None, ceiling: float = 0.95, floor: str = "P2") -> DataFrame:
+    """Queries that look like tunnels or generated names, and connections that leave for an encrypted resolver."""
+    pack = {"output": R.CONNECT_PACK["output"]}
+    found = rule_items(R.dns_row_rules(rows).withColumn("summary", F.col("query")), "dns", pack, ceiling, floor)
+    if connects is None:
+        return found
+    return found.unionByName(rule_items(R.dns_privacy_rules(connects).withColumn("summary", F.concat_ws(":", "dst_ip", "dst_port")), "dns", pack, ceiling, floor))
+
+
+def host_risk(tables: dict[str, DataFrame], ceiling: float = 0.95, floor: str = "P2", exec_sec: int = 300, persistence_sec: int = 600, connect_sec: int = 300, **judging) -> DataFrame:
+    """All modules over the evidence there is, as judged items.
+
+    ``tables`` by evidence type; those that miss are skipped: host_exec,
+    host_connect, host_file_op, host_persistence, syslog_risk_alert, dns_log,
+    and the waves of ``burst_waves`` as ssh_waves.
+    """
+    have = lambda n: tables.get(n)
+    first = next(iter(tables.values()))
+    near = first.sparkSession.createDataFrame([], "evidence_id string, us bigint, host string, hosts array<string>, listener string")
+    modules = []
+    if have("host_exec") is not None:
+        other = [tables.get(n, near) for n in ("host_connect", "host_file_op", "host_persistence")]
+        modules.append(exec_items(tables["host_exec"], *other, ceiling=ceiling, floor=floor, window_sec=exec_sec, persistence_sec=persistence_sec))
+    if have("host_connect") is not None:
+        modules.append(connect_items(tables["host_connect"], tables.get("host_exec", near.withColumn("command", F.lit(None).cast("string"))), ceiling=ceiling, floor=floor, window_sec=connect_sec))
+    for name, build in (("host_persistence", persistence_items), ("syslog_risk_alert", syslog_items)):
+        if have(name) is not None:
+            modules.append(build(tables[name], ceiling=ceiling, floor=floor))
+    if have("dns_log") is not None:
+        modules.append(dns_items(tables["dns_log"], tables.get("host_connect"), ceiling, floor))
+    if have("ssh_waves") is not None:
+        modules.append(burst_items(tables["ssh_waves"], ceiling=ceiling, floor=floor))
+    return assess(modules, **judging)
+
+
 def assess(modules: list[DataFrame], policy: dict | None = None, whitelist: list[dict] | None = None, rule_map: dict | None = None, tactics: dict | None = None) -> DataFrame:
     """Union of module items, merged, judged by policy before whitelist, mapped to techniques."""
     # The items are few against the evidence; written once, the merge can read them twice.
     items = cut_lineage(reduce(DataFrame.unionByName, modules))
-    merged = A.merge_items(items.withColumn("__ref", F.coalesce("evidence_ref", F.col("us").cast("string"), F.lit(""))).withColumn("__lp", F.coalesce(F.col("listener_port").cast("string"), F.lit(""))),
+    # The listener is told by its process id; its port stands in where there is none.
+    pid, port = (F.when(~F.col(c).cast("string").isin("", "0"), F.col(c).cast("string")) for c in ("listener_pid", "listener_port"))
+    merged = A.merge_items(items.withColumn("__ref", F.coalesce("evidence_ref", F.col("us").cast("string"), F.lit(""))).withColumn("__lp", F.coalesce(pid, port, F.lit(""))),
                            ["risk_module", "host", "__ref", "__lp"], "risk_id").drop("__ref", "__lp", "merged")
     d = R.whitelist(R.behavior_policy(merged, policy or {}), whitelist or [])
     return R.attack_techniques(d, rule_map or {}, {}, tactics or {"": ""})
