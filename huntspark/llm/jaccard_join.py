@@ -18,14 +18,18 @@ keep it sparse:
    make one group, so near copies, which share very many columns, meet a few
    times only;
 3. the whole sets of the rows in groups (a filter of fixed size skips most
-   others before the shuffle). A group is a block of the product; a large
-   group is cut into blocks, each pair of which is a task. A task adds up
-   overlaps over slices of columns and drops pairs whose overlap so far plus
-   what is left cannot reach the bound their sizes set. It returns only which
-   rows its links connect.
-
-No pair is skipped in a group, so no link is lost, and what leaves a task is at
-most one row per set in it.
+   others before the shuffle). A group is a block of the product. Of a large
+   group the row of its least member is multiplied first, in parts: what it
+   links is connected, and pairs among these rows need no look. The rows it does
+   not link, cut into blocks, are multiplied with each other and with all the
+   rest, each pair of blocks in a task. So a row moves once or twice, however
+   large its group of copies is. A task adds up overlaps over slices of columns
+   and drops pairs whose overlap so far plus what is left cannot reach the bound
+   their sizes set. It returns only which rows its links connect.
+
+No pair is skipped in a group but those that are connected already, so nothing
+that links connect is lost, and what leaves a task is at most one row per set in
+it.
 """
 from __future__ import annotations
 
@@ -253,6 +257,56 @@ def _ties(batches):
     yield pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
 
+def _stars(batches):
+    """Runs of one (least, part): whether the least set, which every part has, links each set of the part."""
+    out: list = []
+    head, name = None, None
+    for pdf in batches:
+        for least, part, who, n, tokens in zip(pdf["least"], pdf["part"], pdf["id"], pdf["n"], pdf["tokens"]):
+            if (least, part) != name:
+                # Rows are sorted so that the least set comes first.
+                name, head = (least, part), np.frombuffer(tokens, "<i8")
+                continue
+            own = np.frombuffer(tokens, "<i8")
+            at = np.minimum(np.searchsorted(head, own), len(head) - 1)
+            overlap = int((head[at] == own).sum())
+            out.append((least, who, n, 100 * overlap >= PERCENT * (len(head) + len(own) - overlap)))
+        if len(out) > 50_000:
+            yield pd.DataFrame(out, columns=["least", "id", "n", "linked"])
+            out = []
+    yield pd.DataFrame(out, columns=["least", "id", "n", "linked"]).astype({"least": "int64", "id": "int64", "n": "int64", "linked": bool})
+
+
+def _blocks_of(rows: DataFrame) -> DataFrame:
+    """``least, blocks``: how many blocks the sets of each group make."""
+    return rows.groupBy("least").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def _dealt(blocks: str):
+    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+
+def _linked_by_least(members: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
+    """``least, id, n, linked`` of large groups (``members`` with ``blocks``), the least set itself left out."""
+    parts = members.filter("id <> least").withColumn("part", _dealt("blocks")).select("least", "part", "id", "n")
+    heads = members.filter("id = least").select("least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "id", "n")
+    rows = parts.unionByName(heads).join(found, "id").repartition(tasks, "least", "part")
+    rows = rows.sortWithinPartitions("least", "part", F.col("id") != F.col("least"))
+    return rows.select("least", "part", "id", "n", "tokens").mapInPandas(_stars, "least bigint, id bigint, n bigint, linked boolean")
+
+
+def _open_pairs(stars: DataFrame, blocks: DataFrame, heads: DataFrame) -> DataFrame:
+    """``least, i, j, part, id``: blocks of rows the least does not link, with each other and with the blocks of all the others."""
+    rest = stars.filter("NOT linked").select("least", "id", "n")
+    mine = rest.join(_blocks_of(rest).withColumnRenamed("blocks", "open"), "least").join(blocks, "least").withColumn("part", _dealt("open"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("open") + F.col("blocks") - 1))
+    mine = mine.withColumn("with", partner).select("least", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "id")
+    closed = stars.filter("linked").select("least", "id").unionByName(heads.select("least", "id"))
+    closed = closed.join(_blocks_of(rest).withColumnRenamed("blocks", "open"), "least").join(blocks, "least").withColumn("part", F.col("open") + _dealt("blocks"))
+    closed = closed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("open") - 1))).select("least", "i", F.col("part").alias("j"), "part", "id")
+    return mine.unionByName(closed)
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs``.
 
@@ -277,16 +331,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     met = cut_lineage(lists.join(least, "column").filter("id <> least").select("least", "id").distinct())
     heads = met.select("least").distinct().select("least", F.col("least").alias("id"))
     members = met.unionByName(heads).join(able, "id")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large = members.groupBy("least").agg(blocks.alias("blocks")).filter("blocks > 1")
-    members = members.join(large, "least", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = members.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("least", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "id")
+    blocks = cut_lineage(_blocks_of(members).filter("blocks > 1"))
+    small = members.join(blocks, "least", "left_anti").select("least", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "id")
+    large = members.join(blocks, "least")
     bits = filter_bits(met.select("id").unionByName(met.select(F.col("least").alias("id"))).distinct())
-    found = wanted_sets(docs, text, bits, width).dropDuplicates(["id"])
-    pairs = members.join(found, "id").repartition(2 * n, "least", "i", "j").sortWithinPartitions("least", "i", "j")
-    links = cut_lineage(pairs.select("least", "i", "j", "part", "id", "tokens").mapInPandas(_ties, "a bigint, b bigint"))
+    found = cut_lineage(wanted_sets(docs, text, bits, width).dropDuplicates(["id"]))
+    stars = cut_lineage(_linked_by_least(large, found, 2 * n))
+    pairs = small.unionByName(_open_pairs(stars, blocks, large.filter("id = least")))
+    pairs = pairs.join(found, "id").repartition(2 * n, "least", "i", "j").sortWithinPartitions("least", "i", "j")
+    links = pairs.select("least", "i", "j", "part", "id", "tokens").mapInPandas(_ties, "a bigint, b bigint")
+    links = cut_lineage(links.unionByName(stars.filter("linked").select(F.col("id").alias("a"), F.col("least").alias("b"))))
     classes = components(links)
     docs_of = rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "id")
     some = docs_of.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("first"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from .tokens import buffers, piece_keys
 
 #: Documents and bytes that are cut at once; eleven bits of a sort key tell the documents apart.
-DOCS, SLICE = 2048, 3_000_000
+DOCS, SLICE = 2048, 1_500_000
 #: Bits of a shingle's hash.
 BITS = 53
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
