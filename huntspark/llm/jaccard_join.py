@@ -16,7 +16,8 @@ keep it sparse:
    A column names the least of its rows, and every row that meets it in some
    column joins the group of that least row. Columns that share their least row
    make one group, so near copies, which share very many columns, meet a few
-   times only;
+   times only. A row leaves the groups that it meets by few columns, as far as
+   its partners' count of shared columns is sure to hold in the others;
 3. the whole sets of the rows in groups (a filter of fixed size skips most
    others before the shuffle). A group is a block of the product. Of a large
    group the row of its least member is multiplied first, in parts: what it
@@ -36,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shingles
 from .common import cut_lineage, partitions
@@ -307,6 +308,18 @@ def _open_pairs(stars: DataFrame, blocks: DataFrame, heads: DataFrame) -> DataFr
     return mine.unionByName(closed)
 
 
+def _worthwhile(times: DataFrame, need) -> DataFrame:
+    """``least, id``: rows in groups, without those that a row joins by few columns and can do without.
+
+    Two rows that link share at least ``need`` columns of either. Each may leave
+    groups as long as it met them by less than half of its own ``need`` columns
+    together: both have then left groups by fewer columns than they share, so
+    they still meet in one.
+    """
+    rest = Window.partitionBy("id").orderBy("c", "least").rowsBetween(Window.unboundedPreceding, 0)
+    return times.withColumn("upto", F.sum("c").over(rest)).filter(2 * F.col("upto") >= need).select("least", "id")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs``.
 
@@ -326,9 +339,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # A partner has at least PERCENT of this row's size, and shares HEAD + PERCENT - 100 per cent of its own.
     need = F.floor(F.col("n") * percent / 100 * (HEAD + percent - 100) / 100)
     able = cut_lineage(shared.groupBy("id").count().join(sizes, "id").filter(F.col("count") >= need).select("id", "n"))
-    lists = cut_lineage(shared.join(able.select("id"), "id"))
+    lists = cut_lineage(shared.join(able, "id"))
     least = lists.groupBy("column").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("column", "least")
-    met = cut_lineage(lists.join(least, "column").filter("id <> least").select("least", "id").distinct())
+    times = lists.join(least, "column").filter("id <> least").groupBy("least", "id", "n").agg(F.count("*").alias("c"))
+    met = cut_lineage(_worthwhile(times, need))
     heads = met.select("least").distinct().select("least", F.col("least").alias("id"))
     members = met.unionByName(heads).join(able, "id")
     blocks = cut_lineage(_blocks_of(members).filter("blocks > 1"))
