@@ -117,9 +117,9 @@ def repaired(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     Returns ``conv_id string, chunk, seq, turn, role_in, role, action, text,
     rendered``: ``action`` is keep, relabel, merge, relabel+merge or insert;
     the ``rendered`` pieces of a conversation, joined by ``chunk`` and ``seq``,
-    are its formatted text. Turns are ordered by number (NULL first, in
-    hash order), then role and text; an exact repeat of a turn is left out. A
-    NULL conversation id is a conversation of its own. NULL texts are empty, a NULL or
+    are its formatted text. Turns are ordered by number (NULL first, in hash
+    order), then role and text; every turn is kept, also an exact repeat. A task
+    holds the turns of a chunk of turn numbers, with their repeats. A NULL conversation id is a conversation of its own. NULL texts are empty, a NULL or
     unknown role is free to become any. Other columns are not carried.
     """
     number = F.col(turn).cast("bigint")
@@ -132,7 +132,7 @@ def repaired(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     span = rows.groupBy("_conv").agg(F.min("_chunk").alias("a"), F.max("_chunk").alias("b"))
     long = span.filter("a < b").select("_conv")
     roles = rows.join(long, "_conv", "left_semi").select("_conv", "_chunk", "_order", "_role", "_text")
-    roles = cut_lineage(roles.dropDuplicates().withColumn("_text", F.xxhash64("_text")))
+    roles = cut_lineage(roles.withColumn("_text", F.xxhash64("_text")))
 
     def sorted_runs(df: DataFrame) -> DataFrame:
         return df.repartition("_conv", "_chunk").sortWithinPartitions("_conv", "_chunk", "_order", "_role", "_text")
@@ -173,7 +173,6 @@ def repaired(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     def render(batches):
         out = []
         for (c, k), run in _runs(batches, ("_conv", "_chunk", "_turn", "_role", "_text", "_entry", "_to_go", "_last")):
-            run = [r for i, r in enumerate(run) if not i or r[2:5] != run[i - 1][2:5]]
             state, to_go, last = (START, END, True) if run[0][6] is None else (int(run[0][5]), np.array(run[0][6], dtype=float), bool(run[0][7]))
             chosen, end = repair([known(r[3]) for r in run], state, to_go)
             seq = 0

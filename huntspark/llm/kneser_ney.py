@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut_lineage
 from .jaccard_join import _places, filter_bits
 from .shingles import SLICE
+from .tokens import buffers
 
 ORDER = 4
 START = "\x02"
@@ -76,6 +77,16 @@ def windows(texts: list[str], order: int):
     return joined, _keys(points, order)[mask], mask, length
 
 
+def strings(column: pa.Array, most: int = SLICE // 2):
+    """Runs of a text column of about ``most`` bytes, as lists: a batch never stands in Python strings whole."""
+    _, offsets = buffers(column)
+    at = 0
+    while at < len(column):
+        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1), len(column))
+        yield at, column.slice(at, end - at).to_pylist()
+        at = end
+
+
 def slices(texts: list[str], most: int = STEP):
     """Consecutive runs of texts of about ``most`` characters."""
     at, n = 0, 0
@@ -92,7 +103,7 @@ def gram_counts(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     """``gram, c`` of all texts."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist(), SLICE // 2):
+            for _, part in strings(batch.column(0)):
                 joined, keys, mask, _ = windows(part, order)
                 if len(keys):
                     by = np.argsort(keys)
@@ -161,13 +172,14 @@ def _blocks(batches):
     """``(block, keys, texts)`` of the rows of a task, cut at a fixed number of characters."""
     base, number, keys, texts, n = TaskContext.get().partitionId() << 24, 0, [], [], 0
     for batch in batches:
-        for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keys.append(key)
-            texts.append(t)
-            n += len(t)
-            if n >= BLOCK_CHARS:
-                yield base + number, keys, texts
-                number, keys, texts, n = number + 1, [], [], 0
+        for at, some in strings(batch.column(1)):
+            for key, t in zip(batch.column(0).slice(at, len(some)).to_pylist(), some):
+                keys.append(key)
+                texts.append(t)
+                n += len(t)
+                if n >= BLOCK_CHARS:
+                    yield base + number, keys, texts
+                    number, keys, texts, n = number + 1, [], [], 0
     if texts:
         yield base + number, keys, texts
 

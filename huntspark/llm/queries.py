@@ -118,7 +118,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 """
 
 
-def _op4_sql(depth: int = 4, support: int = 20, z: float = 2.0, weight: float = 10.0, threshold: float = 0.5) -> str:
+def _op4_sql(depth: int = 6, support: int = 20, z: float = 2.0, weight: float = 10.0, threshold: float = 0.5) -> str:
     rest = "substr(url, strpos(url, '://') + 3)"
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     longest = sorted(URL_RULES, key=lambda r: -len(r[1]) - len(r[2]))
@@ -139,7 +139,7 @@ def _op4_sql(depth: int = 4, support: int = 20, z: float = 2.0, weight: float =
                 f"""t{k} AS (SELECT s.host, s.path, s.pages, s.good, s.bad, s.segs, s.template || CASE WHEN s.seg IS NULL THEN '' WHEN k.stays THEN '/' || s.seg ELSE '/*' END AS template
         FROM s{k} s LEFT JOIN k{k} k ON s.host = k.host AND s.template = k.template AND s.seg = k.seg)"""]
     return f"""WITH {", ".join(out)},
-known AS (SELECT host, path, good, bad, template || CASE WHEN len(segs) > {depth} THEN '/**' ELSE '' END AS template FROM t{depth}),
+known AS (SELECT host, path, good, bad, template || repeat('/*', greatest(len(segs) - {depth}, 0)) AS template FROM t{depth}),
 base AS (SELECT coalesce(sum(bad) / nullif(sum(good) + sum(bad), 0), 0) AS base FROM known),
 hosts AS (SELECT host, (sum(bad) + {weight} * any_value(base)) / (sum(good) + sum(bad) + {weight}) AS share FROM known, base GROUP BY host),
 per AS (SELECT host, template, (sum(bad) + {weight} * any_value(share)) / (sum(good) + sum(bad) + {weight}) AS bad_share FROM known JOIN hosts USING (host) GROUP BY host, template)

@@ -46,13 +46,23 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return best
 
 
-def templates(paths: DataFrame, depth: int = 4, support: int = 20, z: float = 2.0) -> DataFrame:
+def levels(paths: DataFrame, support: int) -> int:
+    """The deepest level that a branch with enough pages can reach: below it no host has that many pages."""
+    size = F.size(F.split(F.regexp_replace("path", "^/", ""), "/"))
+    sizes = paths.groupBy("host", size.alias("k")).agg(F.sum("pages").alias("pages"))
+    through = F.sum("pages").over(Window.partitionBy("host").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.withColumn("through", through).filter(F.col("through") >= support).agg(F.max("k")).first()[0] or 0
+
+
+def templates(paths: DataFrame, support: int = 20, z: float = 2.0) -> DataFrame:
     """``paths`` (``host, path, pages, good, bad``) with the ``template`` of each.
 
     A segment with digits only, or with fewer than ``support`` pages, or whose
     share of bad labels is within ``z`` standard errors of its siblings', goes
-    into the wildcard. Segments below ``depth`` form one wildcard.
+    into the wildcard. The tree is as deep as there are branches with enough
+    pages; below, every segment is a wildcard.
     """
+    depth = levels(paths, support)
     rows = paths.withColumns({"_segs": F.split(F.regexp_replace("path", "^/", ""), "/"), "template": F.lit("")})
     for level in range(1, depth + 1):
         rows = rows.withColumn("_seg", F.try_element_at("_segs", F.lit(level)))
@@ -69,11 +79,13 @@ def templates(paths: DataFrame, depth: int = 4, support: int = 20, z: float = 2.
         rows = rows.join(stays, ["host", "template", "_seg"], "left")
         part = F.when(~there, F.lit("")).when(F.coalesce("_stays", F.lit(False)), F.concat(F.lit("/"), "_seg")).otherwise(F.lit("/*"))
         rows = rows.withColumn("template", F.concat("template", part)).drop("_stays", "_seg")
-    deeper = F.when(F.size("_segs") > depth, F.lit("/**")).otherwise(F.lit(""))
+        if level % 4 == 0:
+            rows = cut_lineage(rows)
+    deeper = F.repeat(F.lit("/*"), F.greatest(F.size("_segs") - depth, F.lit(0)))
     return rows.withColumn("template", F.concat("template", deeper)).drop("_segs")
 
 
-def judged(pages: DataFrame, rules, url: str = "url", label: str | None = None, depth: int = 4, support: int = 20, z: float = 2.0,
+def judged(pages: DataFrame, rules, url: str = "url", label: str | None = None, support: int = 20, z: float = 2.0,
            weight: float = 10.0, threshold: float = 0.5) -> DataFrame:
     """``pages`` with ``host, path, rule, template, bad_share, verdict``.
 
@@ -91,7 +103,7 @@ def judged(pages: DataFrame, rules, url: str = "url", label: str | None = None,
     bad = F.col(label).cast("int") if label else F.when(F.col("_rule.verdict") == "block", 1).when(F.col("_rule.verdict") == "allow", 0)
     paths = cut_lineage(rows.select("host", "path", bad.alias("_bad")).groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.count_if(F.col("_bad") == 0).alias("good"), F.count_if(F.col("_bad") == 1).alias("bad")))
-    known = cut_lineage(templates(paths, depth, support, z).select("host", "path", "template", "good", "bad"))
+    known = cut_lineage(templates(paths, support, z).select("host", "path", "template", "good", "bad"))
     hosts = _host_shares(known, weight)
     per = known.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).join(hosts, "host")
     per = per.select("host", "template", ((F.col("b") + weight * F.col("host_share")) / (F.col("g") + F.col("b") + weight)).alias("bad_share"))

@@ -223,3 +223,22 @@ def test_filters_hold_every_key(n):
     assert exact_dedup.maybe(keys, *made).all()
     assert exact_dedup.maybe(draw.integers(-2**63, 2**63 - 1, 50_000, dtype=np.int64), *made).mean() < 0.01
     assert n < 1000 or len(made[3]) < 1.5 * n
+
+
+# Limits that earlier operators had ---------------------------------------------
+def test_url_trees_are_as_deep_as_their_branches(spark):
+    rows = [(i, f"http://h.example/a/b/c/d/e/{'good' if i % 2 else 'bad'}/{i}", i % 2) for i in range(400)] + [(1000 + i, f"http://h.example/x/{i}/" + "y/" * i, 1) for i in range(30)]
+    from huntspark.llm import url_templates
+
+    pages = spark.createDataFrame([(i, u, 1 - g) for i, u, g in rows], "page_id long, url string, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in url_templates.judged(pages, [], label="bad").collect()}
+    assert all(got[i] == (f"/a/b/c/d/e/{'good' if i % 2 else 'bad'}/*", "allow" if i % 2 else "block") for i in range(400))
+    assert got[1005][0].count("/") == rows[405][1].removeprefix("http://h.example").count("/")
+
+
+def test_every_turn_is_kept(spark):
+    from huntspark.llm import chat
+
+    turns = spark.createDataFrame([(1, None, "user", "ok"), (1, None, "assistant", "yes"), (1, None, "user", "ok"), (1, None, "assistant", "fine")], "conv_id int, turn int, role string, text string")
+    got = [r.text for r in chat.repaired(turns).collect() if r.action != "insert"]
+    assert sorted(got) == ["fine", "ok", "ok", "yes"]
