@@ -197,7 +197,6 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     def ask(batches):
         for block, _, texts in _blocks(batches):
             met = np.zeros(1 << SLOT_BITS, np.uint64)
-            found: list[str] = []
             late = np.empty(0, np.uint64)
             for part in slices(texts):
                 joined, keys, mask, _ = windows(part, order)
@@ -209,14 +208,15 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 new = new[np.append(True, np.diff(keys[new]) != 0)] if len(new) else new
                 if len(late):
                     new = new[late[np.minimum(np.searchsorted(late, keys[new]), len(late) - 1)] != keys[new]]
-                found += [joined[p:p + order] for p in np.flatnonzero(mask)[new].tolist()]
+                # Each part is sent at once: as Arrow strings the grams of a block are a fraction of what they are in Python.
+                grams = pa.array([joined[p:p + order] for p in np.flatnonzero(mask)[new].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block, np.int64)), grams], names=["block", "gram"])
                 free = met[slot[new]] == 0
                 met[slot[new[free]]] = keys[new[free]]
                 # Those whose slot another one holds.
                 other = keys[new][met[slot[new]] != keys[new]]
                 if len(other):
                     late = np.sort(np.concatenate([late, other]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int64)), pa.array(found, pa.string())], names=["block", "gram"])
 
     def carry(batches):
         import pickle
@@ -230,22 +230,25 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     known = model.probabilities(cut_lineage(asked.select("gram").distinct()))
     answers = asked.join(known, "gram").select("block", "gram", F.log("p").cast("float").alias("logp"))
 
-    def judge(_, texts_of: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+    def judge(texts_of, answer):
         import pickle
         import zstandard
         out = []
-        points = np.frombuffer("".join(answer["gram"]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        # The grams lie end to end in their column, so no string is made of each.
+        data, _ = buffers(answer.column("gram"))
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         known_keys = _keys(points, order)[::order] if len(points) else np.empty(0, np.uint64)
+        del data, points
         by = np.argsort(known_keys)
-        sorted_keys, logp = known_keys[by], answer["logp"].to_numpy(np.float64)[by]
+        sorted_keys, logp = known_keys[by], answer.column("logp").to_numpy().astype(np.float64)[by]
         table, value = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS)
         slot = (sorted_keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         table[slot], value[slot] = sorted_keys, logp
-        for data in texts_of["data"]:
-            keys, raw = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-            texts = [t.decode("utf-8", "surrogatepass") for t in raw]
+        for data in texts_of.column("data"):
+            keys, raw = pickle.loads(zstandard.ZstdDecompressor().decompress(data.as_buffer()))
             at = 0
-            for part in slices(texts):
+            for part in slices(raw):
+                part = [t.decode("utf-8", "surrogatepass") for t in part]
                 _, grams, _, n = windows(part, order)
                 slot = (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 got = value[slot]
@@ -258,12 +261,13 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 total, full = np.zeros(len(part)), np.flatnonzero(n)
                 if len(full):
                     total[full] = np.add.reduceat(got, (np.cumsum(n) - n)[full])
-                out.append(pd.DataFrame({"doc_id": pd.array(keys[at:at + len(part)], "Int64"), "n": n, "log_perplexity": np.where(n > 0, -total / np.maximum(n, 1), np.nan)}))
+                out.append(pa.table({"doc_id": pa.array(keys[at:at + len(part)], pa.int64()), "n": pa.array(n, pa.int64()), "log_perplexity": np.where(n > 0, -total / np.maximum(n, 1), np.nan)}))
                 at += len(part)
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64"), "log_perplexity": pd.Series(dtype="float64")})
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "log_perplexity": pa.array([], pa.float64())})
 
     texts = rows.mapInArrow(carry, "block bigint, data binary")
-    done = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(judge, "doc_id bigint, n bigint, log_perplexity double")
+    answers = answers.withColumnRenamed("block", "asker")
+    done = texts.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(judge, "doc_id bigint, n bigint, log_perplexity double")
     return done.withColumn("log_perplexity", F.when(~F.isnan("log_perplexity"), F.col("log_perplexity")))
 
 
