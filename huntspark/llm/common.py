@@ -9,13 +9,24 @@ from huntspark.session import cut_lineage, shared_dir
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-__all__ = ["SPACE", "WORD", "cut_lineage", "shared_dir", "table", "partitions", "uniform", "words_in"]
+__all__ = ["SPACE", "WORD", "cut_lineage", "give_back", "shared_dir", "table", "partitions", "uniform", "words_in"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hands memory that this worker no longer uses back to the machine; workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many shuffle partitions the cluster asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shingles
-from .common import cut_lineage, partitions
+from .common import cut_lineage, give_back, partitions
 from .components import components
 
 WIDTH = 5
@@ -137,6 +137,8 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     begins = np.append(True, column[1:] != column[:-1])
     times = np.diff(np.append(np.flatnonzero(begins), len(column)))
     keep = np.repeat(times > 1, times)
+    del order, fresh, begins, times
+    give_back()
     return pd.DataFrame({"column": (column[keep].astype(np.int64) << 24) | int(pdf["shard"].iloc[0]), "id": who[keep]})
 
 
@@ -255,6 +257,8 @@ def _ties(batches):
             out = []
     if held and (done := close()) is not None:
         out.append(done)
+    held = []
+    give_back()
     yield pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
 

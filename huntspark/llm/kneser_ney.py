@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, give_back
 from .jaccard_join import _places, filter_bits
 from .shingles import SLICE
 from .tokens import buffers
@@ -217,6 +217,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 other = keys[new][met[slot[new]] != keys[new]]
                 if len(other):
                     late = np.sort(np.concatenate([late, other]))
+            give_back()
 
     def carry(batches):
         import pickle
@@ -263,6 +264,8 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                     total[full] = np.add.reduceat(got, (np.cumsum(n) - n)[full])
                 out.append(pa.table({"doc_id": pa.array(keys[at:at + len(part)], pa.int64()), "n": pa.array(n, pa.int64()), "log_perplexity": np.where(n > 0, -total / np.maximum(n, 1), np.nan)}))
                 at += len(part)
+        del known_keys, sorted_keys, logp, table, value
+        give_back()
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "log_perplexity": pa.array([], pa.float64())})
 
     texts = rows.mapInArrow(carry, "block bigint, data binary")

@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import give_back
 from .tokens import buffers, piece_keys
 
 #: Documents and bytes that are cut at once; eleven bits of a sort key tell the documents apart.
@@ -71,6 +72,7 @@ def sets(texts: pa.Array, width: int = 5):
             np.searchsorted(both, np.arange(n, dtype=np.uint64) << np.uint64(BITS)), len(both))
         yield at, both & np.uint64((1 << BITS) - 1), bounds
         at = end
+    give_back()
 
 
 def set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
