@@ -14,8 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import tokens
+from .common import give_back
 
 LONGEST = 4096
+#: Pieces of text that a worker remembers; the stages before leave it less room than it has alone.
+REMEMBER = 250_000
 END_ID = 2
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -46,6 +49,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     buckets = longest.bit_length()
 
     def run(batches):
+        tokens.encoder(tokenizer, special).remember = REMEMBER
         used = np.zeros(buckets, np.int64)
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -69,6 +73,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                         keys.slice(at, len(count)).take(pa.array(doc[cut])), pa.array((ends - length - begin[doc])[cut]), pa.array(length[cut]), pa.array(count[doc][cut]),
                         pa.array((base | (bucket << 32) | number)[cut]), pa.array(np.zeros(len(doc[cut]), np.int64)), binary[cut].cast(pa.binary())],
                         names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                give_back()
 
     return docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS doc_id", f"CAST(`{text}` AS STRING) AS text").mapInArrow(run, SCHEMA)
 
