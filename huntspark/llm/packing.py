@@ -17,8 +17,8 @@ from . import tokens
 from .common import give_back
 
 LONGEST = 4096
-#: Pieces of text that a worker remembers; the stages before leave it less room than it has alone.
-REMEMBER = 250_000
+#: Bytes of text that are packed at once; the stages before leave a worker less room than it has alone.
+SLICE = 500_000
 END_ID = 2
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -49,12 +49,11 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     buckets = longest.bit_length()
 
     def run(batches):
-        tokens.encoder(tokenizer, special).remember = REMEMBER
         used = np.zeros(buckets, np.int64)
         base = TaskContext.get().partitionId() << 36
         for batch in batches:
             keys = batch.column(0)
-            for at, ids, count in tokens.encoded(batch.column(1), tokenizer, end_id, special):
+            for at, ids, count in tokens.encoded(batch.column(1), tokenizer, end_id, special, SLICE):
                 doc, length = decompose(count, longest)
                 ends = np.cumsum(length)
                 begin = np.cumsum(count) - count

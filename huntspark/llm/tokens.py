@@ -200,12 +200,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def encoded(texts: pa.Array, path: str, end_id: int | None = None, special: bool = False):
+def encoded(texts: pa.Array, path: str, end_id: int | None = None, special: bool = False, most: int = SLICE):
     """Yields ``(first row, ids, ids per row)`` for slices of a text column, each text ended by ``end_id``."""
     data, offsets = buffers(texts)
     work, at = encoder(path, special), 0
     while at < len(offsets) - 1:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         ids, count = work.encode(data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at])
         if end_id is not None:
             ids, count = np.insert(ids, np.cumsum(count), end_id), count + 1
