@@ -255,15 +255,23 @@ def timeline_sources(timeline: DataFrame, evidence: DataFrame, id_col: str, type
 def assemble_records(lines: DataFrame, id_col: str, kind: str, idx: str, value: str, required: list[str]) -> DataFrame:
     """Lines of one id to one event: values of each kind ordered by index, and whether all required kinds came.
 
-    One id is one native record, so its list is as long as the record.
+    One id is one native record, so its list is as long as the record. Lines
+    without id belong to nothing: each is a record of its own.
     """
+    alone = lines.where(F.col(id_col).isNull())
+    lines = lines.where(F.col(id_col).isNotNull())
     parts = F.array_sort(F.collect_list(F.struct(F.col(kind).alias("k"), F.col(idx).alias("i"), F.col(value).alias("v"))))
     g = lines.groupBy(id_col).agg(parts.alias("__p"))
     pick = lambda k: F.transform(F.filter("__p", lambda p: p["k"] == k), lambda p: p["v"])
     complete = F.lit(True)
     for k in required:
         complete = complete & (F.size(pick(k)) > 0)
-    return g.select(id_col, *[pick(k).alias(k) for k in required], F.size("__p").alias("n_lines"), complete.alias("complete"))
+    whole = g.select(id_col, *[pick(k).alias(k) for k in required], F.size("__p").alias("n_lines"), complete.alias("complete"))
+    own = lambda k: F.filter(F.array(F.col(value)), lambda v: F.col(kind) == k)
+    only = F.lit(True)
+    for k in required:
+        only = only & F.coalesce(F.col(kind) == k, F.lit(False))
+    return whole.unionByName(alone.select(id_col, *[own(k).alias(k) for k in required], F.lit(1).alias("n_lines"), only.alias("complete")))
 
 
 def assemble_fragments(parts: DataFrame, keys: list[str], number: str, total: str, text: str) -> DataFrame:

@@ -280,3 +280,9 @@ def test_payload_of_a_dotted_column(spark):
     df = spark.createDataFrame([("", "a=1&b=2", "/u"), (None, None, "/u"), ("own", "x", "/u")], "payload string, `request.body` string, url string")
     got = N.resolve_payload(df).collect()
     assert sorted((r.payload, r.payload_source or "") for r in got) == [("/u", ""), ("a=1&b=2", "request.body"), ("own", "payload")]
+
+
+def test_lines_without_id_are_records_of_their_own(spark):
+    df = spark.createDataFrame([(None, "a", 1, "x"), (None, "b", 1, "y"), (7, "b", 2, "q"), (7, "a", 1, "p"), (7, "b", 1, "o")], "id int, kind string, i int, v string")
+    got = sorted((str(r.id), r.a, r.b, r.n_lines, r.complete) for r in A.assemble_records(df, "id", "kind", "i", "v", ["a", "b"]).collect())
+    assert got == [("7", ["p"], ["o", "q"], 3, True), ("None", [], ["y"], 1, False), ("None", ["x"], [], 1, False)]
