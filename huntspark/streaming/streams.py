@@ -92,36 +92,40 @@ def stream_dedupe_exact(stream: DataFrame, key: str, us: str, id_col: str, withi
     return known.unionByName(rows.where(F.col(key).isNull()))
 
 
-def stream_assemble(stream: DataFrame, id_col: str, ts: str, kind: str, idx: str, value: str, required: tuple[str, str], max_age_sec: int = 60, delay: str = "10 seconds") -> DataFrame:
+def stream_assemble(stream: DataFrame, id_col: str, ts: str, kind: str, idx: str, value: str, required: tuple[str, str], max_age_sec: int = 60, delay: str = "10 seconds", buckets: int = 1024) -> DataFrame:
     """Records of one id, sent on when both required kinds are there or when they are too old.
 
     Emits id, the two value lists joined by blanks in index order, status
     (complete / expired). State goes with the emission. Lines without id belong
-    to nothing: each is sent on by itself, as ``no_id``. Batch twin: ``assemble_records``.
+    to nothing: each is sent on by itself, as ``no_id``. A line without time is
+    as old as the watermark. Batch twin: ``assemble_records``.
+
+    Open lines are kept by ``buckets`` of ids, so a call and a state row serve
+    many small ids; a bucket waits for the earliest end among its ids.
     """
     a, b = required
     it = stream.schema[id_col].dataType.simpleString()
+    names = ["id", "ms", "due", "kind", "idx", "value"]
 
     def step(k, parts, kept: GroupState):
-        held = [] if not kept.exists else [tuple(x.split("\u0001", 2)) for x in kept.get[1]]
-        first = kept.get[0] if kept.exists else None
-        timed_out = kept.hasTimedOut
-        if not timed_out:
-            for p in parts:
-                held += [(str(x), str(i), str(v)) for x, i, v in zip(p["kind"], p["idx"], p["value"])]
-                lo = int(p["us"].min()) // 1000
-                first = lo if first is None else min(first, lo)
-        pick = lambda n: " ".join(v for x, i, v in sorted(held, key=lambda r: (int(r[1]), r[2])) if x == n)
-        whole = {a, b} <= {x for x, _, _ in held}
-        if whole or timed_out:
-            yield pd.DataFrame({id_col: [k[0]], a: [pick(a)], b: [pick(b)], "n_lines": [len(held)], "status": ["complete" if whole else "expired"]})
-            kept.remove()
+        now = kept.getCurrentWatermarkMs()
+        frames = [pd.DataFrame(dict(zip(names, kept.get)))] if kept.exists else []
+        frames += [pd.DataFrame({"id": p[id_col], "ms": p["ms"].fillna(now).astype("int64"), "due": -1, "kind": p["kind"], "idx": p["idx"], "value": p["value"]}) for p in parts if len(p)]
+        if not frames:
             return
-        kept.update((first, ["\u0001".join(x) for x in held]))
-        kept.setTimeoutTimestamp(max(first + max_age_sec * 1000, kept.getCurrentWatermarkMs() + 1))
+        sent, rest = state.assembled(pd.concat(frames, ignore_index=True), now, max_age_sec * 1000, (a, b))
+        if len(rest["id"]):
+            kept.update(tuple(rest[n] for n in names))
+            kept.setTimeoutTimestamp(min(rest["due"]))
+        elif kept.exists:
+            kept.remove()
+        if len(sent):
+            yield sent.set_axis([id_col, a, b, "n_lines", "status"], axis=1)
 
-    s = stream.withWatermark(ts, delay).select(id_col, ts, F.unix_micros(ts).alias("us"), F.col(kind).alias("kind"), F.col(idx).cast("int").alias("idx"), F.col(value).cast("string").alias("value"))
-    whole = s.where(F.col(id_col).isNotNull()).groupBy(id_col).applyInPandasWithState(step, f"{id_col} {it}, {a} string, {b} string, n_lines bigint, status string", "first bigint, held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    s = stream.withWatermark(ts, delay).select(id_col, ts, F.floor(F.unix_micros(ts) / 1000).alias("ms"), F.col(kind).alias("kind"), F.col(idx).cast("int").alias("idx"), F.coalesce(F.col(value).cast("string"), F.lit("None")).alias("value"))
+    held = f"id array<{it}>, ms array<bigint>, due array<bigint>, kind array<string>, idx array<int>, value array<string>"
+    whole = (s.where(F.col(id_col).isNotNull()).withColumn("__bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets))).groupBy("__bucket")
+             .applyInPandasWithState(step, f"{id_col} {it}, {a} string, {b} string, n_lines bigint, status string", held, "append", GroupStateTimeout.EventTimeTimeout))
     only = lambda n: F.when(F.col("kind") == n, F.col("value")).otherwise("").alias(n)
     return whole.unionByName(s.where(F.col(id_col).isNull()).select(id_col, only(a), only(b), F.lit(1).cast("bigint").alias("n_lines"), F.lit("no_id").alias("status")))
 
