@@ -168,7 +168,7 @@ def stream_rate_windowed(stream: DataFrame, ts: str, keys: list[str], limit: int
             .select(*keys, F.col("window.start").alias("window_start"), "rate"))
 
 
-def stream_snapshots(stream: DataFrame, group: list[str], snapshot: str, keys: list[str], fields: list[str], ttl_ms: int | None = None) -> DataFrame:
+def stream_snapshots(stream: DataFrame, group: list[str], snapshot: str, keys: list[str], fields: list[str], ttl_ms: int | None = None, buckets: int | None = None) -> DataFrame:
     """What each snapshot of a group (host, collection) changed against the one before: created, modified, deleted.
 
     State: the entities of the group, keyed by entity and changed in place, so a
@@ -178,6 +178,10 @@ def stream_snapshots(stream: DataFrame, group: list[str], snapshot: str, keys: l
     snapshot is a row with NULL keys. ``ttl_ms`` ends the state of groups that
     send no more. Fields are compared as text; of rows with one key the greatest
     stays. For one series of all rows use ``snapshot_diffs``.
+
+    Every entity that changes is a call to the state store. Where groups are many
+    and small, ``buckets`` keeps them together: one state row per bucket of
+    groups, read and written once in a batch; idle groups end in the same way.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     known = F.lit(True)
@@ -186,7 +190,12 @@ def stream_snapshots(stream: DataFrame, group: list[str], snapshot: str, keys: l
     rows = stream.select(*group, F.col(snapshot).cast("bigint").alias(snapshot), F.when(known, F.to_json(F.struct(*keys))).alias("entity"),
                          F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in fields]), {"ignoreNullFields": "false"}).alias("fields"))
     out = [f"{c} {kinds[c]}" for c in group] + [f"{snapshot} bigint", "entity string", "action string", "changed array<string>", "old map<string,string>"]
-    found = state.with_state(rows, group, state.Snapshots(ttl_ms), ", ".join(out))
+    if buckets:
+        name = F.to_json(F.array(*[F.col(c).cast("string") for c in group]))
+        rows = rows.select(F.pmod(F.xxhash64(*group), F.lit(buckets)).alias("__bucket"), *group, name.alias("__group"), snapshot, "entity", "fields")
+        found = state.with_state(rows, ["__bucket"], state.SnapshotBuckets(ttl_ms), ", ".join(out))
+    else:
+        found = state.with_state(rows, group, state.Snapshots(ttl_ms), ", ".join(out))
     own = F.from_json("entity", ", ".join(f"{k} {kinds[k]}" for k in keys))
     return found.withColumn("__k", own).select(*group, snapshot, *[F.col(f"__k.{k}").alias(k) for k in keys], "action", "changed", "old")
 
