@@ -6,7 +6,7 @@ URLs correlate when their paths are equal, so it is an equi key.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import web
 from ..functions.common import any_of, first_match
@@ -186,13 +186,44 @@ def success_evidence(alerts: DataFrame, requests: DataFrame, host_rows: DataFram
 
 
 def success_refs(alerts: DataFrame, requests: DataFrame, host_rows: DataFrame, context_min: int = 10, before_min: int = 5, after_min: int = 30) -> DataFrame:
-    """The (alert_id, ref) list behind ``success_evidence``: every sign, long form."""
-    w = context_min * MINUTE
-    ctx = requests.where("target_ip IS NOT NULL AND status BETWEEN 200 AND 399").select(F.col("us").alias("c_us"), F.col("path_key").alias("c_path"), F.col("target_ip").alias("c_host"), F.explode(publish(F.col("src_ip"))).alias("c_ip"))
-    a = alerts.select("alert_id", F.col("us").alias("a_us"), "path_key", F.explode(probe(F.col("src_ip"))).alias("a_ip"))
-    pairs = interval_pairs(a, ctx, [("path_key", "c_path"), ("a_ip", "c_ip")], "a_us", "c_us", w, w).select("alert_id", "c_us", "c_host").distinct()
-    signs = host_rows.where("indicator IS NOT NULL").select(F.col("evidence_id").alias("ref"), F.col("us").alias("s_us"), F.col("host").alias("s_host"))
-    return interval_pairs(pairs, signs, [("c_host", "s_host")], "c_us", "s_us", before_min * MINUTE, after_min * MINUTE).select("alert_id", "ref").distinct()
+    """The (alert_id, ref) list behind ``success_evidence``: every sign, long form.
+
+    The contexts of an alert on one host cover a few stretches of time: within a
+    block no wider than one context's reach they cover everything from the first
+    to the last. So the contexts fold to their ends per block, the stretches of
+    an (alert, host) are made disjoint, and every sign in one is a row of the
+    result. No (alert, context) pairs are formed, and only ids of several signs
+    are told apart afterwards.
+    """
+    w, before, after = context_min * MINUTE, before_min * MINUTE, after_min * MINUTE
+    signs = host_rows.where("indicator IS NOT NULL").select(F.col("evidence_id").alias("ref"), F.col("us").cast("bigint").alias("s_us"), F.col("host").alias("s_host")).where("s_us IS NOT NULL AND s_host IS NOT NULL").distinct()
+    width = max(before + after, 1)
+    keys = ["path_key", "__ip", "host", "__cell"]
+    ctx = (requests.where("target_ip IS NOT NULL AND path_key IS NOT NULL AND us IS NOT NULL AND status BETWEEN 200 AND 399")
+           .select(F.col("us").cast("bigint").alias("us"), "path_key", F.col("target_ip").alias("host"), F.explode(publish(F.col("src_ip"))).alias("__ip")).withColumn("__cell", block_of(F.col("us"), width)))
+    ctx = ctx.select(*keys, "us", F.col("us").alias("c_us"))
+    if before + after == 0:  # a context reaches its own moment only
+        hits = ctx.join(signs, (F.col("host") == F.col("s_host")) & (F.col("us") == F.col("s_us"))).select(F.col("path_key").alias("c_path"), F.col("__ip").alias("c_ip"), "c_us", "ref").distinct()
+        asked = alerts.select("alert_id", F.col("us").alias("a_us"), "path_key", F.explode(probe(F.col("src_ip"))).alias("a_ip"))
+        return interval_pairs(asked, hits, [("path_key", "c_path"), ("a_ip", "c_ip")], "a_us", "c_us", w, w).select("alert_id", "ref").distinct()
+    a = alerts.where("us IS NOT NULL AND path_key IS NOT NULL").select("alert_id", F.col("us").cast("bigint").alias("us"), "path_key", F.explode(probe(F.col("src_ip"))).alias("__ip")).distinct()
+    near = a.withColumn("__cell", F.explode(F.sequence(block_of(F.col("us") - w, width), block_of(F.col("us") + w, width)))).join(ctx.select(*keys).distinct(), ["path_key", "__ip", "__cell"])
+    near = near.withColumn("__who", F.struct("alert_id", "us", *keys))
+    ends = window_agg(near, ctx, keys, "__who", "us", "us", w, max(w, 1), {"lo": ("c_us", "min"), "hi": ("c_us", "max")})
+    ends = ends.select("__who.*", "lo", F.least("hi", F.col("__who.us") + w).alias("hi")).where(F.col("lo") <= F.col("us") + w)
+    ends = ends.select("alert_id", "host", (F.col("lo") - before).alias("lo"), (F.col("hi") + after).alias("hi"))
+    so_far = Window.partitionBy("alert_id", "host").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    free = ends.withColumn("lo", F.greatest("lo", F.max("hi").over(so_far) + 1)).where("lo <= hi")
+    span = max(2 * (before + after), 1)
+    cells = free.withColumn("__cell", F.explode(F.sequence(block_of(F.col("lo"), span), block_of(F.col("hi"), span))))
+    several = signs.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("ref").alias("__ref"))
+    same = F.col("ref").eqNullSafe(F.col("__ref"))
+
+    def inside(s: DataFrame) -> DataFrame:
+        s = s.withColumn("__s_cell", block_of(F.col("s_us"), span))
+        return cells.join(s, (F.col("host") == F.col("s_host")) & (F.col("__cell") == F.col("__s_cell")) & F.col("s_us").between(F.col("lo"), F.col("hi"))).select("alert_id", "ref")
+
+    return inside(signs.join(several, same, "left_anti")).unionByName(inside(signs.join(several, same, "left_semi")).distinct())
 
 
 def campaign_success(requests: DataFrame, host_rows: DataFrame, start_us: int, end_us: int, param_targets=()) -> DataFrame:
