@@ -22,6 +22,8 @@ import pyarrow as pa
 
 #: Pieces a worker remembers before it begins anew.
 REMEMBER = 1_000_000
+#: Pieces that are given to the library at once.
+BATCH = 2_000
 #: Bytes of text that are cut at once.
 SLICE = 2_000_000
 
@@ -114,15 +116,16 @@ class Encoder:
         self.slot_key, self.slot_place = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's results hold far more than ids: few of them exist at a time.
+        encoded = [e.ids for at in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[at:at + BATCH], add_special_tokens=False)]
         count = np.fromiter(map(len, encoded), np.int32, len(encoded))
         flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(count.sum()))
         first = len(self.ids) + np.cumsum(count) - count
         place = (len(self.first) + np.arange(len(keys))).astype(np.int32)
         self.ids, self.first, self.count = np.concatenate([self.ids, flat]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        all_keys, all_place = np.concatenate([self.keys, keys]), np.concatenate([self.place, place])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.place = all_keys[order], all_place[order]
+        # Both are sorted: the new ones go to their places among the known ones.
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place)
         slot = keys >> np.uint64(64 - SLOT_BITS)
         free = self.slot_place[slot] < 0
         self.slot_key[slot[free]], self.slot_place[slot[free]] = keys[free], place[free]

@@ -231,3 +231,27 @@ def test_idle_groups_leave_their_bucket():
     clock[0] = 1500
     assert send("C", 1)[0][3] == "observed" and step.held.value[0] == ["A", "C"]
     assert send("B", 2)[0][3] == "observed"
+
+
+# -- pipeline -------------------------------------------------------------------
+def test_few_pieces_are_with_the_library_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from huntspark.llm import queries, tokens
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    texts = [" ".join(f"w{i * j} x" for j in range(30)) for i in range(20)]
+    whole = [x for x, *_ in [(ids.tolist(),) for _, ids, _ in tokens.encoded(pa.array(texts), path, 2)]]
+    monkeypatch.setattr(tokens, "BATCH", 7)
+    work, seen = tokens.Encoder(path), []
+    asked = work.tokenizer
+
+    class Spy:
+        def encode_batch_fast(self, some, **kw):
+            seen.append(len(some))
+            return asked.encode_batch_fast(some, **kw)
+
+    work.tokenizer = Spy()
+    monkeypatch.setitem(tokens._ENCODERS, (path, False), work)
+    assert [ids.tolist() for _, ids, _ in tokens.encoded(pa.array(texts), path, 2)] == whole
+    assert max(seen) == 7 and len(seen) > 10 and (work.keys[1:] > work.keys[:-1]).all()
