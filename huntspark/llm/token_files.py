@@ -8,6 +8,8 @@ works on any store that Spark can reach. A frame holds whole documents:
     fixed head, big-endian: magic 4, partition 4, number in partition 4, documents 4, ids 8, vocabulary 4, block 4, blocks 4
     little-endian arrays: document ids 8 each, NULL flags 1, ids per document 8, coded bytes per block 4, checksum per block 4
     checksum of all the above 4, then the coded blocks
+
+The first of the blocks holds the frequencies of the frame's ids, which the others need.
 """
 from __future__ import annotations
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import range_coder, tokens
 from .common import cut_lineage, partitions
 
-MAGIC = b"RCF1"
+MAGIC = b"RCF2"
 HEAD = struct.Struct(">4siiiqiii")
 #: Behind every frame; 128 bits that are not chance.
 MARK = "\n=9f41c7e2a05d8b36e8714f2b0cda6953=\n"
@@ -34,7 +36,7 @@ class DamagedBlock(ValueError):
 
 def frame(part: int, number: int, keys: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocabulary: int, block: int) -> bytes:
     coded = range_coder.encode_blocks(ids, vocabulary, block)
-    sums = [range_coder.checksum(ids[at:at + block]) for at in range(0, len(ids), block)]
+    sums = [zlib.crc32(c) for c in coded[:1]] + [range_coder.checksum(ids[at:at + block]) for at in range(0, len(ids), block)]
     head = HEAD.pack(MAGIC, part, number, len(keys), len(ids), vocabulary, block, len(coded)) + b"".join([
         keys.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), counts.astype("<u8").tobytes(), np.array(list(map(len, coded)), "<u4").tobytes(), np.array(sums, "<u4").tobytes()])
     return head + struct.pack(">I", zlib.crc32(head)) + b"".join(coded)
@@ -55,8 +57,11 @@ def unframe(data: bytes):
     if magic != MAGIC or struct.unpack_from(">I", data, at)[0] != zlib.crc32(data[:at]):
         raise DamagedBlock(f"head of frame {part}/{number}")
     ends = at + 4 + np.cumsum(sizes, dtype=np.int64)
-    ids = range_coder.decode_blocks([data[e - s:e] for e, s in zip(ends.tolist(), sizes.tolist())], n, vocabulary, block)
-    for i, s in enumerate(sums.tolist()):
+    coded = [data[e - s:e] for e, s in zip(ends.tolist(), sizes.tolist())]
+    if coded and zlib.crc32(coded[0]) != sums[0]:
+        raise DamagedBlock(f"frequencies of frame {part}/{number}")
+    ids = range_coder.decode_blocks(coded, n, vocabulary, block)
+    for i, s in enumerate(sums[1:].tolist()):
         if range_coder.checksum(ids[i * block:(i + 1) * block]) != s:
             raise DamagedBlock(f"block {i} of frame {part}/{number}")
     return part, number, keys, nulls.astype(bool), counts.astype(np.int64), ids

@@ -22,8 +22,10 @@ import pyarrow as pa
 
 #: Pieces a worker remembers before it begins anew.
 REMEMBER = 1_000_000
-#: Pieces that are given to the library at once.
-BATCH = 2_000
+#: Pieces that are given to the library at once, and in one text.
+BATCH, TOGETHER = 2_000, 50
+#: What stands between pieces in one text: an added token, around which the library encodes as if the rest stood alone.
+BETWEEN = "\U0010fffe\U0010ffff"
 #: Bytes of text that are cut at once.
 SLICE = 2_000_000
 
@@ -96,13 +98,18 @@ def piece_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 class Encoder:
     remember = REMEMBER
+    #: The tokenizer for pieces that stand together in one text, if there is one.
+    joined = None
 
     def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
+        # The second has the mark between pieces as well; no id of it leaves this class.
+        self.tokenizer, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.joined.encode_special_tokens = not special
+        self.joined.add_tokens([AddedToken(BETWEEN, normalized=False, special=False)])
+        self.between = self.joined.token_to_id(BETWEEN)
         strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and t.content] if special else []
         # The longest first, as the library matches them.
         self.special = re.compile(b"|".join(re.escape(t) for t in sorted(strings, key=len, reverse=True))) if strings else None
@@ -115,11 +122,22 @@ class Encoder:
         # A piece is looked up in one slot first; where another piece holds it, among the sorted keys.
         self.slot_key, self.slot_place = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of some pieces, and their number per piece."""
+        together = [BETWEEN.join(texts[at:at + TOGETHER]) for at in range(0, len(texts), TOGETHER)] if self.joined else []
+        if self.joined and sum(t.count(BETWEEN) for t in together) + len(together) == len(texts):
+            encoded = [e.ids for e in self.joined.encode_batch_fast(together, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(chain(e, (self.between,)) for e in encoded), np.uint32, sum(map(len, encoded)) + len(encoded))
+            ends = ids == self.between
+            return ids[~ends], (np.diff(np.flatnonzero(ends), prepend=-1) - 1).astype(np.int32)
+        # The mark stands in a piece itself.
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, encoded), np.int32, len(encoded))
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(count.sum())), count
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         # The library's results hold far more than ids: few of them exist at a time.
-        encoded = [e.ids for at in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[at:at + BATCH], add_special_tokens=False)]
-        count = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(count.sum()))
+        flat, count = map(np.concatenate, zip(*[self._ids(texts[at:at + BATCH]) for at in range(0, len(texts), BATCH)]))
         first = len(self.ids) + np.cumsum(count) - count
         place = (len(self.first) + np.arange(len(keys))).astype(np.int32)
         self.ids, self.first, self.count = np.concatenate([self.ids, flat]), np.concatenate([self.first, first]), np.concatenate([self.count, count])

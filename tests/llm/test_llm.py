@@ -550,3 +550,51 @@ def test_pipeline_stages_on_odd_tables(spark, odd, none):
 def test_every_operator_has_a_query():
     numbers = sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and json.dumps(sorted(queries.ORACLES))
+
+
+def test_coder_does_few_steps_for_many_blocks(monkeypatch):
+    """A frame of many ids is many short blocks: what counts is how often all of them move."""
+    steps = []
+    predict = range_coder.Model.predict
+    monkeypatch.setattr(range_coder.Model, "predict", lambda self, a: steps.append(a) or predict(self, a))
+    rng = np.random.default_rng(5)
+    ids = np.minimum(50_000, rng.pareto(0.7, 300_000) * 3).astype(np.int64)
+    coded = range_coder.encode_blocks(ids, 65_536)
+    assert len(steps) <= 1024 and (range_coder.decode_blocks(coded, len(ids), 65_536) == ids).all() and len(steps) <= 2048
+    # Any block can be read with nothing but the frequencies.
+    assert (range_coder.decode_blocks([coded[0], coded[7]], 1024, 65_536) == ids[6 * 1024:7 * 1024]).all()
+    # Order 0 is fitted: not more than a tenth above the entropy.
+    times = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * sum(map(len, coded)) / len(ids) < 1.1 * -(times * np.log2(times)).sum()
+
+
+def test_carries_reach_what_was_written():
+    out = range_coder._Writer(2, 40)
+    out.words[:3], out.at[0] = (7, 2**32 - 1, 2**32 - 1), 3
+    out.low[:], out.range[:] = (2**64 - 5, 9), (2**40, 2**40)
+    out.code(2, np.array([3, 0], np.uint64), np.array([1, 1], np.uint64), 2)
+    assert out.words[:3].tolist() == [8, 0, 0] and out.words[out.width] == 0
+
+
+def test_damaged_frequencies_are_noticed():
+    ids = np.arange(5000) % 700
+    data = token_files.frame(0, 0, np.array([1]), np.array([False]), np.array([5000]), ids, 65_536, 512)
+    at = data.index(range_coder.encode_blocks(ids, 65_536, 512)[0])
+    with pytest.raises(token_files.DamagedBlock, match="frequencies"):
+        token_files.unframe(data[:at + 9] + bytes([data[at + 9] ^ 1]) + data[at + 10:])
+
+
+@pytest.mark.parametrize("special", [False, True])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_in_one_text_have_their_own_ids(name, special):
+    encoder = tokens.Encoder(queries.vocabulary(name), special)
+    alone = tokens.Encoder(queries.vocabulary(name), special)
+    alone.joined = None
+    pieces = [" a", "a<|endoftext|>b", "<|endo", "ftext|>", "", "  ", "\n\n", "e", "́", "'", "s", " ABC1"] * 20
+    for some in (pieces, [*pieces, f"x{tokens.BETWEEN}y"], ["one"]):
+        for got, want in zip(encoder._ids(some), alone._ids(some), strict=True):
+            assert got.tolist() == want.tolist()
+    calls = []
+    encoder.joined = type("Counted", (), {"encode_batch_fast": lambda _, texts, **how: calls.append(len(texts)) or alone.tokenizer.encode_batch_fast(["x"], **how)})()
+    encoder._ids(pieces)
+    assert calls == [-(-len(pieces) // tokens.TOGETHER)]
