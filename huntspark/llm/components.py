@@ -10,7 +10,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round: neighbours are tied to the least of them instead of to each other.
 
     ``edges`` has ``u > v``. Large: of every node the greater neighbours go to
-    its least neighbour. Small: the node and its lesser neighbours do.
+    its least neighbour. Small: the node and its lesser neighbours do. A large
+    round makes one row of each edge at most, so only the small one that follows
+    takes equal rows together.
     """
     if large:
         pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").dropDuplicates()
+    out = out.filter("u <> v")
+    return out if large else out.dropDuplicates()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -286,7 +286,7 @@ def trusted_rows(docs: DataFrame, trusted: DataFrame, key: str = "doc_id") -> Da
             ok &= (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
         return pd.Series(ok)
 
-    ids = trusted.select(F.col(key).cast("bigint").alias("_trusted")).distinct()
+    ids = trusted.select(F.col(key).cast("bigint").alias("_trusted"))
     return docs.filter(maybe(F.xxhash64(F.col(key).cast("bigint")))).join(ids, F.col(key) == F.col("_trusted"), "left_semi")
 
 
@@ -302,18 +302,21 @@ def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     and the lower score of the id count. Other columns are left out.
     """
     base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    good = trusted.select(F.col(key).cast("bigint").alias("doc_id")).distinct()
+    # Written once: the filter, the model and the rows below read it.
+    good = cut_lineage(trusted.select(F.col(key).cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct())
     model = Model(gram_counts(trusted_rows(base, good), "text", order), order)
     found = cut_lineage(scores(base.select("doc_id", "text"), model))
-    found = found.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("log_perplexity").alias("log_perplexity"), F.count("*").alias("_copies"))
-    langs = base.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    rows = cut_lineage(found.join(langs, found["doc_id"].eqNullSafe(langs["doc_id"])).drop(langs["doc_id"]))
-    sample = rows.join(good, "doc_id", "left_semi").filter("log_perplexity IS NOT NULL")
-    middle = sample.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("median"))
-    rows = _by_lang(rows, middle)
+    # Scores, languages and trust meet by id in one aggregation.
+    parts = found.select("doc_id", "n", "log_perplexity", F.lit(1).alias("_copies")).unionByName(base.select("doc_id", "lang"), allowMissingColumns=True).unionByName(
+        good.withColumn("_good", F.lit(True)), allowMissingColumns=True)
+    rows = parts.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("log_perplexity").alias("log_perplexity"), F.sum("_copies").alias("_copies"),
+                                       F.min("lang").alias("lang"), F.coalesce(F.max("_good"), F.lit(False)).alias("_good"))
+    rows = cut_lineage(rows.filter("_copies > 0"))
+    middle = rows.filter("_good AND log_perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("median"))
+    rows = _by_lang(rows, cut_lineage(middle))  # one row per language
     score = (F.col("log_perplexity") * F.col("n") + F.col("median") * prior) / (F.col("n") + prior)
     rows = rows.withColumn("score", score)
-    high = rows.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("score", upper, 10_000).alias("high"))
+    high = rows.filter("_good").groupBy("lang").agg(F.percentile_approx("score", upper, 10_000).alias("high"))
     rows = _by_lang(rows, high)
     threshold = F.col("high") + spread * (F.col("high") - F.col("median"))
     rows = rows.withColumn("threshold", threshold)

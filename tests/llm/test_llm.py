@@ -598,3 +598,32 @@ def test_pieces_in_one_text_have_their_own_ids(name, special):
     encoder.joined = type("Counted", (), {"encode_batch_fast": lambda _, texts, **how: calls.append(len(texts)) or alone.tokenizer.encode_batch_fast(["x"], **how)})()
     encoder._ids(pieces)
     assert calls == [-(-len(pieces) // tokens.TOGETHER)]
+
+
+def test_trusted_ids_are_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    rows = [(i, f"the cat {i} sat on the mat {i * i}", "en") for i in range(40)] + [(None, "no id", "en"), (50, "other", None), (50, "text", "de")]
+    docs = common.cut_lineage(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    ids = spark.createDataFrame([(i,) for i in [*range(30), 3, 50, 999]] + [(None,)], "doc_id bigint").mapInPandas(counted, "doc_id bigint")
+    got = kneser_ney.judged(docs, ids).collect()
+    assert reads.value == 34
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.lang) for r in got) == sorted((r[0] is not None, r[0] or 0, "de" if r[0] == 50 else r[2]) for r in rows)
+    assert all(r.score is not None and r.threshold is not None for r in got)
+
+
+def test_rounds_of_components_shuffle_little(spark):
+    from huntspark.llm import components
+
+    edges = common.cut_lineage(spark.createDataFrame([(v + 1, v) for v in range(20)] + [(9, 2), (17, 1)], "u bigint, v bigint"))
+    large = components._star(edges, large=True)
+    small = components._star(large, large=False)
+    assert large.count() <= edges.count() and small.distinct().count() == small.count()
+    # The least neighbours and the edges they meet, each dealt once.
+    assert large._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2
+    assert {(r.node, r.least) for r in components.components(edges, "u", "v").collect()} == {(v, 0) for v in range(21)}
