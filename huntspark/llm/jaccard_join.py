@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shingles
-from .common import cut_lineage, give_back, partitions
+from .common import cut_lineage, give_back, partitions, small_batches
 from .components import components
 
 WIDTH = 5
@@ -332,6 +332,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     and NULL ones are linked with nothing, also not with each other. Equal rows
     are linked like any equal texts. Other columns are left out.
     """
+    small_batches(docs.sparkSession)
     rows = cut_lineage(measured(docs, key, text, width))
     often = rows.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HOT)
     hot = often.select("id").toPandas()["id"].to_numpy(np.int64)

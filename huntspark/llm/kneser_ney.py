@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage, give_back
+from .common import cut_lineage, give_back, small_batches
 from .jaccard_join import _places, filter_bits
 from .shingles import SLICE
 from .tokens import buffers
@@ -275,7 +275,12 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def trusted_rows(docs: DataFrame, trusted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``trusted``; a filter of fixed size keeps most other texts from moving."""
+    """The rows of ``docs`` whose id is in ``trusted``; a filter of fixed size keeps most other texts from moving.
+
+    The rows are shuffled also when few ids are trusted: a Python step behind a
+    broadcast join would share the filter's stage, and a task with two Python
+    steps holds two workers, which stay with the executor through later stages.
+    """
     bits = filter_bits(trusted.select(F.xxhash64(F.col(key).cast("bigint")).alias("id")))
 
     @F.pandas_udf("boolean")
@@ -287,7 +292,7 @@ def trusted_rows(docs: DataFrame, trusted: DataFrame, key: str = "doc_id") -> Da
         return pd.Series(ok)
 
     ids = trusted.select(F.col(key).cast("bigint").alias("_trusted"))
-    return docs.filter(maybe(F.xxhash64(F.col(key).cast("bigint")))).join(ids, F.col(key) == F.col("_trusted"), "left_semi")
+    return docs.filter(maybe(F.xxhash64(F.col(key).cast("bigint")))).join(ids.hint("merge"), F.col(key) == F.col("_trusted"), "left_semi")
 
 
 def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
@@ -301,6 +306,7 @@ def judged(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     one by one and listed together; if their texts differ the first language
     and the lower score of the id count. Other columns are left out.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     # Written once: the filter, the model and the rows below read it.
     good = cut_lineage(trusted.select(F.col(key).cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct())

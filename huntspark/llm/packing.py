@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import give_back
+from .common import give_back, small_batches
 
 LONGEST = 4096
 #: Bytes of text that are packed at once; the stages before leave a worker less room than it has alone.
@@ -47,6 +47,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
     buckets = longest.bit_length()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         used = np.zeros(buckets, np.int64)

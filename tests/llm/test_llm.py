@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -617,6 +618,51 @@ def test_trusted_ids_are_read_once(spark, tmp_path):
     assert all(r.score is not None and r.threshold is not None for r in got)
 
 
+@pytest.mark.parametrize("many", [1, 30])
+def test_a_task_of_the_model_has_one_python_step(spark, many):
+    rows = [(1, "ab"), (1, "abc"), (2, "xyz"), (3, None), (None, "abcd")] + [(10 + i, "pq") for i in range(many)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = common.cut_lineage(spark.createDataFrame([(1,), (3,), (77,), (None,)] + [(10 + i,) for i in range(many)], "doc_id bigint"))
+    good = kneser_ney.trusted_rows(docs, ids)
+    assert sorted((r.doc_id, r.text or "") for r in good.collect()) == sorted((k, t or "") for k, t in rows if k not in (None, 2))
+    counts = kneser_ney.gram_counts(good, "text", 2)
+    assert {r.gram: r.c for r in counts.collect()} == {"\x02a": 2, "ab": 2, "bc": 1, "\x02p": many, "pq": many}
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" in plan and "BroadcastHashJoin" not in plan
+    physical = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    between = physical[physical.index("MapInArrow"):physical.index("ArrowEvalPython")]
+    assert " Exchange hashpartitioning" in between
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "repeat('ab ', 4000) AS text", "'en' AS lang")
+    spark.conf.unset(common.MAX_BYTES)
+    try:
+        packing.packed(docs, queries.vocabulary("word_bpe_49k.json"))
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n bigint, size bigint").collect()
+        assert sum(r.n for r in sizes) == 3000 and max(r["size"] for r in sizes) < 2 * common.BATCH_BYTES
+        spark.conf.set(common.MAX_BYTES, "1000000")
+        common.small_batches(spark)
+        assert spark.conf.get(common.MAX_BYTES) == "1000000"
+    finally:
+        spark.conf.unset(common.MAX_BYTES)
+
+
+def test_results_do_not_depend_on_batches(spark):
+    docs = common.cut_lineage(spark.read.parquet(f"{SF}/documents.parquet").coalesce(1))
+    trusted = queries.trusted_ids(spark, SF)
+    results = []
+    try:
+        for most in ("3000", "64000000"):
+            spark.conf.set(common.MAX_BYTES, most)
+            results.append([sorted(map(repr, rows.collect())) for rows in (
+                packing.packed(docs, queries.vocabulary("word_bpe_49k.json"), special=True), jaccard_join.near_groups(docs),
+                kneser_ney.judged(docs, trusted).select("doc_id", "n", F.round("log_perplexity", 9), "keep"))])
+    finally:
+        spark.conf.unset(common.MAX_BYTES)
+    assert results[0] == results[1] and all(results[0])
+
+
 def test_rounds_of_components_shuffle_little(spark):
     from huntspark.llm import components
 
