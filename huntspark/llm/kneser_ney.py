@@ -150,21 +150,32 @@ class Model:
             F.sum("c").alias("total"), (F.sum(self.discount(k)) / F.sum("c")).alias("left"))
 
     def probabilities(self, wanted: DataFrame) -> DataFrame:
-        """``gram, p`` of distinct grams of the full order."""
+        """``gram, p`` of distinct grams of the full order.
+
+        The shorter orders are written one by one: as one plan the joins of all
+        orders run at once, and the driver holds what Spark keeps of each of
+        their stages and tasks.
+        """
         asked = {self.order: wanted.select("gram")}
-        for k in range(self.order - 1, 0, -1):
-            asked[k] = asked[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct()
+        if self.order > 1:
+            ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.substring("gram", self.order - k + 1, k).alias("gram")) for k in range(1, self.order)]))
+            shorter = cut_lineage(wanted.select(ends.alias("end")).select("end.*").distinct())
+            asked |= {k: shorter.filter(F.col("k") == k).select("gram") for k in range(1, self.order)}
         out = None
         for k in range(1, self.order + 1):
-            rows = asked[k].join(self.grams[k].select("gram", F.greatest(F.col("c") - self.discount(k), F.lit(0.0)).alias("own")), "gram", "left")
-            rows = rows.withColumn("context", F.substring("gram", 1, k - 1)).join(self.contexts[k], "context", "left")
+            rows = asked[k]
             if k == 1:
                 below = F.lit(1.0 / self.letters)
             else:
                 rows = rows.withColumn("short", F.substring("gram", 2, k - 1)).join(out.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
                 below = F.col("below")
+            rows = rows.withColumn("context", F.substring("gram", 1, k - 1)).join(self.contexts[k], "context", "left")
+            # Last, so that the rows lie by gram for what follows.
+            rows = rows.join(self.grams[k].select("gram", F.greatest(F.col("c") - self.discount(k), F.lit(0.0)).alias("own")), "gram", "left")
             p = F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * below
             out = rows.select("gram", p.alias("p"))
+            if k < self.order:
+                out = cut_lineage(out)
         return out
 
 

@@ -673,3 +673,16 @@ def test_rounds_of_components_shuffle_little(spark):
     # The least neighbours and the edges they meet, each dealt once.
     assert large._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2
     assert {(r.node, r.least) for r in components.components(edges, "u", "v").collect()} == {(v, 0) for v in range(21)}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_orders_of_the_model_are_jobs_of_their_own(spark, order):
+    train = ["abracadabra", "alakazam abra", "hocus pocus cadabra", "", "été"]
+    model = kneser_ney.Model(kneser_ney.gram_counts(spark.createDataFrame([(t,) for t in train], "text string"), "text", order), order)
+    grams = sorted({(kneser_ney.START * (order - 1) + t)[j:j + order] for t in ["abra cadabra", "zzz", "hocus", "tété"] for j in range(len(t))})
+    known = model.probabilities(common.cut_lineage(spark.createDataFrame([(g,) for g in grams], "gram string")))
+    # Rows and tables of one order only.
+    assert known._jdf.queryExecution().sparkPlan().toString().count("Join ") <= 3
+    p = plain_kneser_ney(train, order)
+    got = {r.gram: r.p for r in known.collect()}
+    assert sorted(got) == grams and all(got[g] == pytest.approx(p(g), rel=1e-9) for g in grams)
